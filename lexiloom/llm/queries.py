@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import checked_broadcast, cut, table
-from . import looks
+from . import graph, looks
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -24,5 +24,9 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     return looks.with_form(samples.select("sample_id", "text").distinct(), "text", "text_form", looks.learn_form(samples, "text"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return graph.pair_groups(table(spark, d, "match_pairs"), "sample_a", "sample_b")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_texts": p1_texts}
+    return {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found}
