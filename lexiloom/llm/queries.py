@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import checked_broadcast, cut, table
-from . import graph, looks
+from . import bpe, graph, looks, mixing, percentiles, splits
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,5 +28,60 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return graph.pair_groups(table(spark, d, "match_pairs"), "sample_a", "sample_b")
 
 
+def _strengths(spark: SparkSession, d: str) -> DataFrame:
+    return percentiles.strengths(table(spark, d, "tokens"))
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Exact percentiles of strength by language and viseme."""
+    out = percentiles.radix_percentiles(_strengths(spark, d), ["language", "viseme_id"], "strength")
+    return out.select("language", "viseme_id", "n", *[F.round(f"p{p:02d}", 6).alias(f"p{p:02d}") for p in percentiles.PERCENTS])
+
+
+def p4_partials(spark: SparkSession, d: str) -> DataFrame:
+    """Partial results per day of generation; a sample's day is its first, null if unknown."""
+    days = table(spark, d, "samples").where("sample_id is not null").groupBy("sample_id").agg(F.to_date(F.min("generated_at")).alias("day"))
+    return percentiles.partials(_strengths(spark, d).join(days, "sample_id", "left"), ["day", "language", "viseme_id"], "strength")
+
+
+def p4_merged(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds of the percentiles, from the partial results of all days."""
+    return percentiles.merged_percentiles(p4_partials(spark, d), ["language", "viseme_id"])
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    return cut(splits.keep_together(table(spark, d, "sample_origins")), "groups")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return splits.broken_groups(_groups(spark, d), splits.current_splits(table(spark, d, "split_members")))
+
+
+def p5_splits(spark: SparkSession, d: str) -> DataFrame:
+    """A split for every sample, groups kept together."""
+    return splits.assign_splits(_groups(spark, d), splits.ratios_in_force(table(spark, d, "split_report_v2")))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    listed = docs.join(F.broadcast(mixing.targets_in_force(table(spark, d, "mix_targets")).select("source")), "source", "left_semi")
+    n = bpe.encode(listed.withColumn("k", F.struct("doc_id", "source")), "k", only_count=True)
+    return n.select("k.doc_id", "k.source", "n_tokens")
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of the mixture and how often each is repeated."""
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached by each source."""
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_texts": p1_texts, "p2_found": p2_found}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p8_ids, p9_mixture, p9_shares)}
