@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import checked_broadcast, cut, table
-from . import bpe, graph, looks, mixing, percentiles, splits
+from . import bpe, duplicates, graph, looks, mixing, percentiles, splits
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,6 +62,24 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.assign_splits(_groups(spark, d), splits.ratios_in_force(table(spark, d, "split_report_v2")))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.split_overlaps(table(spark, d, "samples"), table(spark, d, "split_members")).select("sample_a", "sample_b")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps with train per split and source."""
+    return duplicates.overlap_report(duplicates.split_overlaps(table(spark, d, "samples"), table(spark, d, "split_members")), table(spark, d, "sample_origins"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return duplicates.near_duplicates(table(spark, d, "samples"), table(spark, d, "tokens"), table(spark, d, "phoneme_inventory"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The group of every sample."""
+    return duplicates.duplicate_groups(table(spark, d, "samples"), table(spark, d, "tokens"), table(spark, d, "phoneme_inventory"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
@@ -84,4 +102,4 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p8_ids, p9_mixture, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p6_found, p6_report, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares)}
