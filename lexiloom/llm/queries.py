@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import checked_broadcast, cut, table
-from . import bpe, duplicates, graph, looks, mixing, percentiles, splits
+from . import bpe, duplicates, encoding, graph, looks, mixing, percentiles, splits
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -101,5 +101,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p10_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Garbled documents with their text restored where it can be."""
+    return encoding.garbled(table(spark, d, "documents")).select("doc_id", "restored", (~F.contains("restored", F.lit("\ufffd"))).alias("whole"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p6_found, p6_report, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p6_found, p6_report, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
