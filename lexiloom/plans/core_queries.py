@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from ..operators import inlining
-from ..storage import table
+from ..functions import columns as C
+from ..operators import batching, dedup, inlining, linguistic, metrics, nesting, profile, score, split, validation, vocab
+from ..storage import cut, table
+
+
+def _tokens(spark: SparkSession, d: str) -> DataFrame:
+    return profile.unique_tokens(table(spark, d, "tokens"))
+
+
+def _round(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -20,5 +30,398 @@ def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
     return inlining.delivery_tables(table(spark, d, "raw_records"))["token"]
 
 
+# Scans, nesting, joins
+
+
+def scan_pruned(spark, d):
+    """Column-pruned, filtered scan."""
+    return table(spark, d, "tokens").select("sample_id", "token_index", "phoneme", "language", "viseme_id", "strength").where("language = 'zh' and strength >= 50 and strength <= 100").distinct()
+
+
+def narrow_tokens(spark, d):
+    t = _tokens(spark, d)
+    return t.select("sample_id", "phoneme", F.coalesce("syllable_role", F.lit("other")).alias("syllable_role"), "viseme_id").distinct()
+
+
+def nest_sequences(spark, d):
+    s = dedup.sequences(table(spark, d, "tokens"))
+    return s.select("sample_id", F.size("phonemes").cast("long").alias("n"), F.array_join("phonemes", " ").alias("phonemes"))
+
+
+def renest_roundtrip(spark, d):
+    """Fields that differ after nesting and flattening again: none."""
+    t = _tokens(spark, d).select("sample_id", "token_index", "phoneme", "language", "strength", "syllable_role")
+    ranked = t.withColumn("token_index", F.row_number().over(Window.partitionBy("sample_id").orderBy("token_index")).cast("long"))
+    return nesting.differences(ranked, nesting.flatten(nesting.nest(ranked)).select(*ranked.columns), ["sample_id", "token_index"])
+
+
+def samples_with_tokens(spark, d):
+    """Every sample with its number of tokens, 0 for none."""
+    n = nesting.nest(_tokens(spark, d).select("sample_id", "token_index", "phoneme"), table(spark, d, "samples"))
+    return n.where("batch_id is not null").select("sample_id", "batch_id", F.size("tokens").cast("long").alias("tokens"))
+
+
+def left_meta_join(spark, d):
+    """Tokens per batch of their sample; null for tokens without one."""
+    t = nesting.with_metadata(_tokens(spark, d), table(spark, d, "samples"), ["batch_id"])
+    return t.groupBy("batch_id").agg(F.count("*").alias("tokens"), F.count_distinct("sample_id").alias("samples"))
+
+
+def sources_union(spark, d):
+    """Several sources as one, by name."""
+    a = table(spark, d, "samples").select("sample_id", F.lit("samples").alias("origin"))
+    b = table(spark, d, "sample_origins").select(F.lit("origins").alias("origin"), "sample_id")
+    return a.unionByName(b).groupBy("origin").agg(F.count("*").alias("n"), F.count_distinct("sample_id").alias("ids"))
+
+
+def echo_fields(spark, d):
+    """Teacher fields of the request next to the prediction at the same position."""
+    t = _tokens(spark, d)
+    p = score.by_inventory(t, table(spark, d, "phoneme_inventory")).select("sample_id", "token_index", "predicted").distinct()
+    return nesting.echo(t.select("sample_id", "token_index", "teacher_word_index", "teacher_char_index"), p, ["sample_id", "token_index"])
+
+
+# Validation
+
+
+def token_violations(spark, d):
+    return validation.flat_violations(_tokens(spark, d))
+
+
+def record_violations(spark, d):
+    """Rules broken by the samples of all deliveries."""
+    rows = table(spark, d, "raw_records").select("raw_id", "payload").distinct()
+    return validation.rule_counts(validation.violations(rows, "payload"))
+
+
+def json_typed(spark, d):
+    """Typed leaves of the generation metadata."""
+    v = F.try_parse_json("generation")
+    g = lambda p, t: F.try_variant_get(v, p, t)
+    s = table(spark, d, "samples").select("sample_id", "generation").distinct()
+    return s.select("sample_id", g("$.source", "string").alias("source"), g("$.worker", "bigint").alias("worker"), g("$.options.retry", "boolean").alias("retry"))
+
+
+def categories(spark, d):
+    """Counts of nullable categories after normalisation."""
+    t = _tokens(spark, d)
+    names = ("syllable_role", "articulatory_height", "teacher_raw_phoneme")
+    x = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), C.category(F.col(c)).alias("value")) for c in names])).alias("x")
+    return t.select(x).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
+
+
+# Profile
+
+
+def frequencies(spark, d):
+    return profile.frequencies(_tokens(spark, d))
+
+
+def length_profile(spark, d):
+    return _round(profile.lengths(_tokens(spark, d)), "mean", "p50", "p95")
+
+
+def strength_profile(spark, d):
+    t = _tokens(spark, d).where("strength between 0 and 100")
+    return _round(profile.numeric_profile(t, "strength"), "mean", "std", "p05", "p50", "p95")
+
+
+def class_means(spark, d):
+    return _round(profile.class_means(_tokens(spark, d).where("strength between 0 and 100"), "viseme_id", "strength"), "mean")
+
+
+def boundary_counts(spark, d):
+    return profile.boundary_counts(_tokens(spark, d))
+
+
+def unknown_rate(spark, d):
+    return _round(profile.coverage(_tokens(spark, d), table(spark, d, "phoneme_inventory")), "unknown_rate")
+
+
+def top_unknown(spark, d):
+    return profile.top_unknown(_tokens(spark, d), table(spark, d, "phoneme_inventory"))
+
+
+def missing_classes(spark, d):
+    return profile.missing_classes(_tokens(spark, d).where("strength > 99.5"))
+
+
+def strength_histogram(spark, d):
+    return profile.histogram(_tokens(spark, d).where("strength between 0 and 100"), "strength", 0, 100, 20, ["viseme_id"])
+
+
+def phrase_positions(spark, d):
+    return profile.positions(_tokens(spark, d))
+
+
+def manifest_check(spark, d):
+    """Stated counts of the last split report against counts of its members."""
+    report = table(spark, d, "split_report_v2").orderBy(F.desc("run_id")).limit(1).select("counts.*")
+    m = table(spark, d, "split_members")
+    last = m.groupBy("sample_id").agg(F.max(F.struct("assigned_at", "split_name")).alias("m")).select("m.split_name")
+    actual = last.agg(*[F.count_if(F.col("split_name") == s).alias(s) for s in ("train", "validation", "test")])
+    return profile.manifest_differences(report, actual)
+
+
+# Vocabulary
+
+
+def vocab_build(spark, d):
+    return vocab.build_one(_tokens(spark, d), "phoneme")
+
+
+def vocab_all(spark, d):
+    return vocab.build(_tokens(spark, d))
+
+
+def vocab_sizes(spark, d):
+    return vocab.sizes(vocab.build(_tokens(spark, d)))
+
+
+def vocab_problems(spark, d):
+    return vocab.problems(cut(vocab.build(_tokens(spark, d)), "vocabulary"))
+
+
+def encode_tokens(spark, d):
+    t = _tokens(spark, d)
+    return vocab.encode(t, vocab.build(t))
+
+
+def encode_inventory(spark, d):
+    """Phonemes against the inventory: misses are 1."""
+    v = vocab.build_one(table(spark, d, "phoneme_inventory"), "phoneme").select(F.lit("phoneme").alias("field"), "token", "id")
+    return vocab.encode(_tokens(spark, d), v, ("phoneme",))
+
+
+# Duplicates and splits
+
+
+def exact_groups(spark, d):
+    """Signatures several samples have: size and first member."""
+    s = dedup.signatures(table(spark, d, "samples"), dedup.sequences(table(spark, d, "tokens")))
+    return s.groupBy("signature").agg(F.count("*").alias("n"), F.min("sample_id").alias("first")).where("n > 1").select(F.md5("signature").alias("signature"), "n", "first")
+
+
+def shingle_counts(spark, d):
+    s = dedup.sequences(table(spark, d, "tokens"))
+    return s.select("sample_id", F.size(dedup.shingles(F.col("phonemes"))).cast("long").alias("shingles"))
+
+
+def _duplicates(spark, d):
+    return dedup.duplicate_groups(table(spark, d, "samples"), table(spark, d, "tokens"))
+
+
+def near_pairs(spark, d):
+    return _round(_duplicates(spark, d)["near"], "similarity")
+
+
+def duplicate_groups(spark, d):
+    return _duplicates(spark, d)["groups"]
+
+
+def duplicate_summary(spark, d):
+    return dedup.summary(_duplicates(spark, d))
+
+
+def kept_samples(spark, d):
+    return split.keep_one(_duplicates(spark, d)["groups"])
+
+
+def split_assign(spark, d):
+    return split.assign(_duplicates(spark, d)["groups"])
+
+
+def split_report(spark, d):
+    return _round(split.split_report(split_assign(spark, d)), "ratio")
+
+
+def split_leaks(spark, d):
+    """Leaks of the split made here: none."""
+    s = dedup.signatures(table(spark, d, "samples"), dedup.sequences(table(spark, d, "tokens")))
+    return split.leaks(cut(split_assign(spark, d), "assigned"), s)
+
+
+def contamination(spark, d):
+    """Signatures whose samples lie in several of the current splits."""
+    m = table(spark, d, "split_members").where("sample_id is not null and split_name is not null")
+    now = m.groupBy("sample_id").agg(F.max(F.struct("assigned_at", "split_name")).alias("m")).select("sample_id", F.col("m.split_name").alias("split"))
+    s = dedup.signatures(table(spark, d, "samples"), dedup.sequences(table(spark, d, "tokens")))
+    return s.join(now, "sample_id").groupBy("signature").agg(F.count_distinct("split").alias("splits"), F.count("*").alias("n")).where("splits > 1").select(F.md5("signature").alias("signature"), "splits", "n")
+
+
+def text_signatures(spark, d):
+    s = table(spark, d, "samples").select("sample_id", "text").distinct()
+    return s.select("sample_id", F.md5(C.text_signature(F.col("text"))).alias("signature"))
+
+
+# Linguistic rules
+
+
+def pseudo_strength(spark, d):
+    return _round(linguistic.pseudo_strength(_tokens(spark, d)).select("sample_id", "token_index", "pseudo_strength"), "pseudo_strength")
+
+
+def segment_roles(spark, d):
+    t = linguistic.syllable_roles(_tokens(spark, d), ["sample_id", "teacher_word_index", "teacher_char_index"])
+    return t.select("sample_id", "token_index", "role")
+
+
+def articulation_of(spark, d):
+    p = _tokens(spark, d).select("phoneme").distinct()
+    return linguistic.with_articulation(p).select("phoneme", "a_type", "a_height", "a_place", "a_manner")
+
+
+def word_edges(spark, d):
+    t = linguistic.word_boundaries(_tokens(spark, d), "sample_id", "token_index", "teacher_word_index")
+    return t.select("sample_id", "token_index", "starts_word", "ends_word")
+
+
+def phrase_edges(spark, d):
+    """Phrase boundaries, silence standing for punctuation."""
+    t = _tokens(spark, d).withColumn("word", F.when(F.col("articulatory_type") == "silence", F.when(F.col("phoneme") == "∅", "。").otherwise("，")).otherwise("x"))
+    return linguistic.phrase_boundaries(t, "sample_id", "token_index", "word").select("sample_id", "token_index", "ends_phrase", "starts_phrase", "boundary")
+
+
+def occurrences(spark, d):
+    return linguistic.occurrence(_tokens(spark, d), "sample_id", "token_index", "teacher_char_index").select("sample_id", "token_index", F.col("occurrence").cast("long").alias("occurrence"))
+
+
+def _chars(spark, d):
+    c = linguistic.characters(table(spark, d, "samples").select("sample_id", "text").distinct())
+    tone = F.when(~C.is_han(F.col("ch")), None).when(F.col("ch") == "一", 1).when(F.col("ch") == "不", 4).otherwise(F.ascii("ch") % 4 + 1)
+    return c.withColumn("tone", tone)
+
+
+def surface_tones(spark, d):
+    """Tone sandhi over the texts; the lexical tone is an input, here made from the code point."""
+    return linguistic.surface_tones(_chars(spark, d)).where("tone is not null").select("sample_id", F.col("pos").cast("long").alias("pos"), F.col("surface").cast("long").alias("surface"))
+
+
+def tone_sequences(spark, d):
+    return linguistic.tone_sequences(linguistic.surface_tones(_chars(spark, d)))
+
+
+# Batches
+
+
+def _lengths(spark, d):
+    return _tokens(spark, d).groupBy("sample_id").agg(F.count("*").alias("len"))
+
+
+def length_buckets(spark, d):
+    return _lengths(spark, d).groupBy(C.length_bucket(F.col("len")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def token_budget_batches(spark, d):
+    b = batching.plan_batches(_lengths(spark, d), "sample_id", "len", 6000)
+    return b.groupBy("batch").agg(F.count("*").alias("n"), F.max("len").alias("longest"), F.sum("len").alias("tokens"))
+
+
+def padded_batches(spark, d):
+    t = _tokens(spark, d).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("token_index", F.coalesce("viseme_id", F.lit(batching.IGNORE)).alias("v")))).alias("t")).select("sample_id", F.col("t.v").alias("labels"), F.size("t").cast("long").alias("len"))
+    b = batching.plan_batches(t, "sample_id", "len", 6000)
+    return batching.batch_sizes(batching.pad_batches(b, "batch", {"labels": batching.IGNORE}), "batch", "labels")
+
+
+def fixed_batches(spark, d):
+    return batching.fixed_batches(_lengths(spark, d), "sample_id", 16).groupBy("batch").agg(F.count("*").alias("n"), F.sum("len").alias("tokens"))
+
+
+# Metrics: the inventory's usual class against the label, the rule's strength against the measured one
+
+
+def _scored(spark, d):
+    t = linguistic.pseudo_strength(_tokens(spark, d), english_stress_only=True)
+    t = score.by_inventory(t, table(spark, d, "phoneme_inventory"))
+    return t.where("strength between 0 and 100 and viseme_id is not null and predicted is not null").withColumn("pseudo_strength", F.round("pseudo_strength", 4))
+
+
+def confusion(spark, d):
+    return metrics.confusion(_scored(spark, d), "viseme_id", "predicted", 18)
+
+
+def class_prf(spark, d):
+    return _round(metrics.per_class(confusion(spark, d)), "precision", "recall", "f1")
+
+
+def overall_metrics(spark, d):
+    m = metrics.overall(cut(confusion(spark, d), "confusion"))
+    return _round(m, "accuracy", "macro_f1", "weighted_f1")
+
+
+def regression_metrics(spark, d):
+    return _round(metrics.errors(_scored(spark, d), F.col("strength"), F.col("pseudo_strength")), "mae", "rmse", "median")
+
+
+def regression_by_class(spark, d):
+    return _round(metrics.errors(_scored(spark, d), F.col("strength"), F.col("pseudo_strength"), ["viseme_id"]).select("viseme_id", "n", "mae"), "mae")
+
+
+def slice_metrics(spark, d):
+    return _round(metrics.slice_metrics(_scored(spark, d), "viseme_id", "predicted", "strength", "pseudo_strength"), "accuracy", "macro_f1", "mae")
+
+
+def failure_topk(spark, d):
+    t = _scored(spark, d).withColumn("error", F.round(F.abs(F.col("pseudo_strength") - F.col("strength")), 4))
+    return metrics.failures(t, "viseme_id", "predicted", "error", ["sample_id", "token_index"]).select("sample_id", "token_index", "viseme_id", "predicted", "error")
+
+
+def weighted_losses(spark, d):
+    w = C.source_weight(F.col("strength_source"), {"pseudo_rule_b": 0.5, "human": 2.0})
+    return _round(metrics.weighted_losses(_scored(spark, d), F.col("pseudo_strength") / 100 - F.col("strength") / 100, w, 0.1), "huber", "l1", "mse")
+
+
+def composite_metric(spark, d):
+    m = overall_metrics(spark, d).crossJoin(regression_metrics(spark, d))
+    return m.select(F.round(metrics.composite(F.col("macro_f1"), F.col("mae")), 5).alias("composite"))
+
+
+def calibration(spark, d):
+    return _round(metrics.calibration(_scored(spark, d), "viseme_id", "pseudo_strength", "strength"), "slope", "intercept")
+
+
+def gate_checks(spark, d):
+    m = overall_metrics(spark, d).crossJoin(regression_metrics(spark, d).withColumnRenamed("median", "med"))
+    s = m.select(F.lit(10).alias("global_step"), F.lit(False).alias("saw_non_finite_loss"), F.lit(0.5).alias("final_train_loss"), F.col("accuracy").alias("final_train_viseme_accuracy"), F.col("mae").alias("final_train_strength_mae"), F.struct(F.col("accuracy").alias("val_viseme_accuracy"), F.col("mae").alias("val_strength_mae")).alias("validation"))
+    return metrics.gate(s)
+
+
+# Training logs: events of a user stand for the steps of a run
+
+
+def _log(spark, d):
+    e = table(spark, d, "events")
+    return e.select(F.col("user_id").alias("run"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("step"), "value")
+
+
+def log_windows(spark, d):
+    w = _log(spark, d).groupBy("run", F.floor((F.col("step") - 1) / 5).alias("window")).agg(F.count("*").alias("steps"), F.avg("value").alias("mean"))
+    return _round(w, "mean")
+
+
+def best_so_far(spark, d):
+    return metrics.running_best(_log(spark, d), "run", "step", "value").select("run", "step", "best", "improved", F.col("since").cast("long").alias("since"))
+
+
+def early_stop(spark, d):
+    return metrics.early_stop(metrics.running_best(_log(spark, d), "run", "step", "value"), "run", "step", 5)
+
+
+def lr_schedule(spark, d):
+    s = spark.range(1, 1001).select(F.col("id").alias("step"))
+    return s.select("step", F.round(metrics.learning_rate(F.col("step"), 3e-4, 100, 1000), 12).alias("lr"))
+
+
+def retention(spark, d):
+    return metrics.newest(_log(spark, d), "run", "step", 3)
+
+
+def run_islands(spark, d):
+    """Runs of equal events of a user: gaps and islands."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("user_id", "event_type", (F.row_number().over(w) - F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).alias("island"))
+    return e.groupBy("user_id", "event_type", "island").agg(F.count("*").alias("n")).groupBy("event_type", "n").agg(F.count("*").alias("runs"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p3_samples": p3_samples, "p3_tokens": p3_tokens}
+    return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}
