@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut
-from .prefix import running_total
+from ..operators.prefix import running_total
 
 
 def targets_in_force(mix_targets: DataFrame) -> DataFrame:
