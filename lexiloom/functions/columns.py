@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NA = "[NA]"
 
@@ -144,7 +145,7 @@ def tone_digit(pinyin: Column) -> Column:
     return F.nullif(F.regexp_extract(pinyin, "([1-5])$", 1), F.lit("")).try_cast("int")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _round1(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else round(v, 1)).astype("float64")
 
