@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..storage import checked_broadcast, cut
 
@@ -14,14 +15,14 @@ DIGIT = 16
 SKETCH_BITS = 24
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def ordered_bits(x: pd.Series) -> pd.Series:
     """Integers in the order of the values (-0.0 as 0.0)."""
     b = (x.to_numpy("float64") + 0.0).view("int64")
     return pd.Series(b ^ ((b >> 63) & 0x7FFFFFFFFFFFFFFF))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def value_of(k: pd.Series) -> pd.Series:
     b = k.to_numpy("int64")
     return pd.Series((b ^ ((b >> 63) & 0x7FFFFFFFFFFFFFFF)).view("float64"))
