@@ -151,7 +151,7 @@ SELECT sample_id, token_index, CASE WHEN sample_id IS NULL OR teacher_word_index
         "strength_histogram": f"WITH {T} SELECT viseme_id, CASE WHEN strength >= 100 THEN 21 ELSE floor(strength / 100 * 20)::BIGINT + 1 END bucket, count(*) n FROM t WHERE {OK} GROUP BY 1, 2",
         "phrase_positions": f"WITH {T} SELECT {position} phrase_position, count(*) n FROM t GROUP BY 1",
         "manifest_check": "WITH n AS (SELECT split_name, count(*) n FROM (SELECT sample_id, max_by(split_name, (assigned_at, split_name)) split_name FROM split_members GROUP BY 1) GROUP BY 1), r AS (SELECT counts FROM split_report_v2 ORDER BY run_id DESC LIMIT 1), f AS (SELECT 'train' field, counts.train::VARCHAR stated FROM r UNION ALL SELECT 'validation', counts.validation::VARCHAR FROM r UNION ALL SELECT 'test', counts.test::VARCHAR FROM r) SELECT field, stated, coalesce(n, 0)::VARCHAR actual FROM f LEFT JOIN n ON field = split_name WHERE stated IS DISTINCT FROM coalesce(n, 0)::VARCHAR",
-        "vocab_build": "SELECT '[PAD]' AS token, 0::BIGINT id UNION ALL SELECT '[UNK]', 1 UNION ALL SELECT phoneme, row_number() OVER (ORDER BY phoneme) + 1 FROM (SELECT DISTINCT phoneme FROM tokens WHERE phoneme IS NOT NULL)",
+        "vocab_build": "SELECT '[PAD]' AS token, 0::BIGINT id UNION ALL SELECT '[UNK]', 1 UNION ALL SELECT phoneme, row_number() OVER (ORDER BY phoneme) + 1 FROM (SELECT DISTINCT phoneme FROM tokens WHERE phoneme NOT IN ('[PAD]', '[UNK]'))",
         "vocab_all": f"WITH {VOCAB} SELECT field, token, id::BIGINT id FROM v",
         "vocab_sizes": f"WITH {VOCAB} SELECT field, count(*) n FROM v GROUP BY 1",
         "encode_tokens": f"WITH {VOCAB} SELECT sample_id, token_index, {encoded} FROM t",
@@ -181,7 +181,7 @@ SELECT sample_id, token_index, CASE WHEN sample_id IS NULL OR teacher_word_index
         "failure_topk": f"WITH {SCORED} SELECT sample_id, token_index, viseme_id, predicted, error FROM (SELECT *, round(abs(pseudo_strength - strength), 4) error FROM s) WHERE viseme_id <> predicted OR error > 15 ORDER BY (viseme_id = predicted)::INT, error DESC, sample_id, token_index LIMIT 500",
         "weighted_losses": f"WITH {SCORED}, q AS (SELECT abs({err}) d, {weight} w FROM s) SELECT round(sum(w * CASE WHEN d < 0.1 THEN 0.5 * d * d / 0.1::DOUBLE ELSE d - 0.05 END) / sum(w), 6) huber, round(sum(w * d) / sum(w), 6) l1, round(sum(w * d * d) / sum(w), 6) mse FROM q",
         "composite_metric": f"WITH {OVERALL} SELECT round(macro_f1 - mae / 100, 5) composite FROM o, r",
-        "calibration": f"WITH {SCORED} SELECT viseme_id, count(*) n, round(regr_slope(strength, pseudo_strength), 6) slope, round(regr_intercept(strength, pseudo_strength), 6) intercept FROM s GROUP BY 1",
+        "calibration": f"WITH {SCORED} SELECT viseme_id, count(*) n, CASE WHEN min(pseudo_strength) < max(pseudo_strength) THEN round(regr_slope(strength, pseudo_strength), 6) END slope, CASE WHEN min(pseudo_strength) < max(pseudo_strength) THEN round(regr_intercept(strength, pseudo_strength), 6) END intercept FROM s GROUP BY 1",
         "gate_checks": f"WITH {OVERALL} SELECT unnest(['training ran', 'no NaN or Inf', 'train loss finite', 'train accuracy', 'train strength error', 'validation present', 'validation accuracy', 'validation strength error']) AS \"check\", unnest([true, true, true, accuracy >= 0.95, mae <= 5, true, accuracy >= 0.95, mae <= 5]) passed FROM o, r",
         "log_windows": f"WITH {LOG} SELECT run, ((step - 1) // 5)::BIGINT AS \"window\", count(*) steps, round(avg(value), 6) AS mean FROM lg GROUP BY 1, 2",
         "best_so_far": f"WITH {BEST} SELECT run, step, best, improved, since::BIGINT since FROM z3",
