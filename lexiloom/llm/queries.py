@@ -111,4 +111,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p6_found, p6_report, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_partials, p4_percentiles, p4_merged, p5_found, p5_splits, p6_found, p6_report, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
