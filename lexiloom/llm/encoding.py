@@ -30,7 +30,8 @@ from ..storage import cut
 ENTER, GAP, GAP_ODD = 12.5, 0.05, 3.0
 #: A text is searched only if it has a character below this log probability; garbled spans always have.
 RARE = -9.0
-#: Least log probability of a small Greek or Cyrillic letter behind another; below NEVER a restored character counts as one that clean text never has, at a cost.
+#: Least log probability of a small letter behind another of its script; below NEVER a restored character counts as one that clean text never has, at a cost.
+SMALL = frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяёѕіјһԁԝѵ")
 SAME_SCRIPT, NEVER, NEVER_COST = -4.5, -13.5, 6.0
 LOST = "�"
 UTF8 = regex.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
@@ -72,12 +73,12 @@ PAIRS = [(right, wrong) for right in RIGHT for wrong in (*SINGLE, *MULTI) if rig
 
 
 def observed(text: str, logp) -> list[float]:
-    """Running sums of the clean state's log probabilities. A Greek or Cyrillic letter behind another of its script, if it is small, has at least ``SAME_SCRIPT``: rare letters come in words."""
+    """Running sums of the clean state's log probabilities. A small Greek or Russian letter (or one that looks Latin) behind another letter of its script has at least ``SAME_SCRIPT``: rare letters come in words."""
     out, total, before = [0.0], 0.0, 0
     for c in text:
         p = logp(c)
         kind = 1 if "\u0370" <= c <= "\u03ff" else 2 if "\u0400" <= c <= "\u04ff" else 0
-        if kind and kind == before and p < SAME_SCRIPT and c.islower():
+        if kind and kind == before and p < SAME_SCRIPT and (kind == 1 and c.islower() or c in SMALL):
             p = SAME_SCRIPT
         before = kind
         total += p
@@ -114,22 +115,24 @@ def units(text: str, pair: int, logp, sums: list[float]) -> list[Unit]:
     for c in text:
         edges.append(edges[-1] + (1 if c < "\x80" or c == LOST else width(c, wrong)))
     at = {b: k for k, b in enumerate(edges)}
-    k = 0
-    while k < len(found):
-        first = k
-        while k + 1 < len(found) and found[k + 1][0] == found[k][1]:
-            k += 1
-        k += 1
-        while first < k and found[first][0] not in at:
-            first += 1
-        if first == k:
+    # Matches that follow each other without a gap form units from one character boundary to the next.
+    start, parts = None, []
+    for k, (s, e) in enumerate(found):
+        if start is None:
+            if s not in at:
+                continue
+            start = s
+        follows = k + 1 < len(found) and found[k + 1][0] == e
+        if e not in at and follows:
             continue
-        s, e = found[first][0], found[k - 1][1]
+        parts.append((start, e))
+        start = None
+    for s, e in parts:
         i, j, tail = at[s], at.get(e), ""
         if j is None:  # the last byte was read together with what follows
             j = bisect.bisect_left(edges, e)
             tail = data[e : edges[j]].decode("ascii", "replace")
-        if sums[i] - sums[j] < 10:
+        if sums[i] - sums[j] < 5:
             continue
         try:
             r = data[s:e].decode(right) + tail
