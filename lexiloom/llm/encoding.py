@@ -69,6 +69,8 @@ def width(c: str, encoding: str) -> int:
     return len(c.encode(encoding, "replace"))
 
 
+#: Double-byte characters read as Cyrillic cost more to enter: Latin text written with look-alike letters resembles them.
+CYRILLIC_MORE, DOUBTFUL = 8.0, frozenset(("gb18030", w) for w in ("koi8_r", "cp1251", "cp866"))
 PAIRS = [(right, wrong) for right in RIGHT for wrong in (*SINGLE, *MULTI) if right != wrong]
 
 
@@ -161,7 +163,7 @@ def best_path(text: str, every: list[Unit]) -> tuple[float, list[Unit]]:
     for k, u in enumerate(every):
         p = bisect.bisect_right(ends, u.start) - 1
         before, came = (best[p] if p >= 0 else (0.0, -1))
-        value = before - ENTER
+        value = before - ENTER - (CYRILLIC_MORE if PAIRS[u.pair] in DOUBTFUL else 0.0)
         seen = last.setdefault(u.pair, [])
         for q in reversed(seen[-8:]):
             v = every[q]
