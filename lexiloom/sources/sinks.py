@@ -86,7 +86,7 @@ def replace(path: Path, text: str) -> None:
 RESERVED = ("ts", "stage", "message")
 
 
-def append_event(path: str, stage: str, message: str = "", **fields) -> None:
+def append_event(path: str, stage: str, message: str = "", /, **fields) -> None:
     """One JSON line; fields with a reserved name get the prefix ``field_``."""
     row = {"ts": time.time(), "stage": stage, "message": message, **{f"field_{k}" if k in RESERVED else k: v for k, v in fields.items()}}
     with open(path, "a", encoding="utf-8") as f:
