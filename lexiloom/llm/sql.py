@@ -1,5 +1,13 @@
-"""SQL for those queries of this package that SQL can express, by name."""
+"""SQL for those queries of this package that SQL can express, by name. The others are tested against brute force."""
+
+PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    percentiles = ", ".join(f"round(quantile_cont(s.strength, {p / 100}), 6) p{p:02d}" for p in PERCENTS)
+    once = "SELECT min({'language': language, 'viseme_id': viseme_id, 'strength': strength}) s FROM tokens WHERE strength BETWEEN 0 AND 100 AND NOT isnan(strength) GROUP BY sample_id, token_index"
+    links = "SELECT sample_a a, sample_b b FROM match_pairs WHERE sample_a IS NOT NULL AND sample_b IS NOT NULL"
+    return {
+        "p2_found": f"WITH RECURSIVE e AS ({links} UNION SELECT b, a FROM ({links}) UNION SELECT a, a FROM ({links}) UNION SELECT b, b FROM ({links})), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a sample_id, min(b) group_id FROM r GROUP BY 1",
+        "p4_percentiles": f"SELECT s.language AS language, s.viseme_id AS viseme_id, count(*) n, {percentiles} FROM ({once}) GROUP BY 1, 2",
+    }
