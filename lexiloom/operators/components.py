@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, drop_cut, skew_safe
+from ..storage import drop_cut, measured_cut, skew_safe
 
 
 def _directed(edges: DataFrame) -> DataFrame:
@@ -22,19 +22,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     with skew_safe(spark):
-        now = cut(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-        while True:
+        state = lambda df: measured_cut(df, "stars", n=F.count(F.lit(1)), s=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+        now, before = state(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        while before["n"]:
             both = _directed(now)
             least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-            large = both.where("y > x").join(least, "x").select(F.col("y").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-            large = cut(large, "stars")
+            large, _ = state(both.where("y > x").join(least, "x").select(F.col("y").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
             least = large.groupBy("a").agg(F.min("b").alias("m"))
             tied = large.join(least, "a").select("a", "b", "m")
-            small = cut(tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(tied.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "stars")
-            changed = small.join(now, ["a", "b"], "left_anti").limit(1).count() or now.join(small, ["a", "b"], "left_anti").limit(1).count()
+            small, after = state(tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(tied.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
             drop_cut(now)
             drop_cut(large)
-            now = small
-            if not changed:
+            # Equal numbers and sums of hashes: no edge changed, all components are stars.
+            done, now, before = after == before, small, after
+            if done:
                 break
         return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())

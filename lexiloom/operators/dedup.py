@@ -83,24 +83,34 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH, c
         inside = sets.select("id", F.explode(bottom_k(F.col("hashes"), k)).alias("hash")).join(skipped.select("hash"), "hash", "left_semi").select("id").distinct()
         pairs = pairs.unionByName(prefix_pairs(sets.join(inside, "id", "left_semi"), threshold)).distinct()
     pairs = cut(pairs, "candidates")
+    return verified(sets, pairs, threshold), pairs, skipped
+
+
+def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of the candidate pairs at or above the threshold."""
     x, y = (sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    s = jaccard(F.col("ha"), F.col("hb"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", s.alias("similarity")).where(F.col("similarity") >= threshold), pairs, skipped
+    return pairs.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("ha"), F.col("hb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def duplicate_groups(samples: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH, cap: int = BUCKET) -> dict[str, DataFrame]:
+def duplicate_groups(samples: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH, cap: int = BUCKET, exact: bool = True) -> dict[str, DataFrame]:
     """Frames: ``groups(sample_id, root)`` of every sample with tokens, ``near(a, b, similarity)``, ``exact(a, b)``, ``candidates(a, b)``, ``skipped(hash, n)``.
 
-    Near search works on one sample per phoneme sequence; copies join its group through the exact edges.
+    Near search works on one sample per phoneme sequence; copies join its group through the exact edges. ``exact`` searches by
+    prefixes, which finds every pair at or above the threshold and compares fewer; else sketches are compared.
     """
     seqs = cut(sequences(tokens), "sequences")
-    exact = cut(exact_edges(signatures(samples, seqs)), "exact")
+    copies = cut(exact_edges(signatures(samples, seqs)), "exact")
     one = seqs.groupBy("phonemes").agg(F.min("sample_id").alias("id"))
-    near, candidates, skipped = near_pairs(one.select("id", shingles(F.col("phonemes")).alias("hashes")), threshold, k, cap)
+    sets = cut(one.select("id", shingles(F.col("phonemes")).alias("hashes")), "sets")
+    if exact:
+        candidates = cut(prefix_pairs(sets, threshold), "candidates")
+        near, skipped = verified(sets, candidates, threshold), sets.select(F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("n")).limit(0)
+    else:
+        near, candidates, skipped = near_pairs(sets, threshold, k, cap)
     near = cut(near, "near")
-    roots = components(exact.unionByName(near.select("a", "b")))
+    roots = components(copies.unionByName(near.select("a", "b")))
     groups = seqs.select("sample_id").join(roots.withColumnRenamed("id", "sample_id"), "sample_id", "left").select("sample_id", F.coalesce("root", "sample_id").alias("root"))
-    return {"groups": groups, "near": near, "exact": exact, "candidates": candidates, "skipped": skipped}
+    return {"groups": groups, "near": near, "exact": copies, "candidates": candidates, "skipped": skipped}
 
 
 def summary(found: dict[str, DataFrame]) -> DataFrame:

@@ -13,9 +13,9 @@ COUNTED = ("viseme_id", "language", "surface_tone", "stress", "syllable_role", "
 QUANTILES = (0.05, 0.5, 0.95)
 
 
-def unique_tokens(tokens: DataFrame) -> DataFrame:
-    """Fully repeated rows once."""
-    return tokens.distinct()
+def unique_tokens(tokens: DataFrame, *columns: str) -> DataFrame:
+    """Rows once by sample_id, token_index and the wanted columns (default: all). Asking for few columns keeps the scan and the shuffle narrow."""
+    return (tokens.select("sample_id", "token_index", *[c for c in columns if c not in ("sample_id", "token_index")]) if columns else tokens).distinct()
 
 
 def frequencies(tokens: DataFrame, fields: tuple[str, ...] = COUNTED) -> DataFrame:

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import NA, category
+from ..functions.columns import NA, category, lookup
 from ..storage import checked_broadcast, cut
 
 PAD, UNK = "[PAD]", "[UNK]"
@@ -80,14 +80,27 @@ def build(tokens: DataFrame, extend: bool = True) -> DataFrame:
     return seeds.unionByName(ranked)
 
 
+#: Values up to which a field's dictionary becomes a constant map in the plan; larger ones are joined.
+INLINE = 100
+
+
 def encode(tokens: DataFrame, vocabulary: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
-    """``sample_id, token_index`` and one id column per field; values the dictionary lacks are 1. The dictionary is broadcast once, as a map per field, if it is small; else each field is joined."""
+    """``sample_id, token_index`` and one id column per field; values the dictionary lacks are 1.
+
+    Fields with at most ``INLINE`` values (all closed ones) are looked up in constant maps within the scan's stage; the others are
+    joined, with a broadcast if they are small.
+    """
     voc = cut(vocabulary, "vocabulary")
-    out = tokens.select("sample_id", "token_index", *[field_value(f).alias(f) for f in fields])
+    small = {r.field for r in sizes(voc).where(F.col("n") <= INLINE).collect()}
+    maps: dict[str, dict[str, int]] = {}
+    for r in voc.where(F.col("field").isin(*small)).collect() if small else []:
+        maps.setdefault(r.field, {})[r.token] = r.id
+    out = tokens.select("sample_id", "token_index", *[F.coalesce(lookup(field_value(f), maps[f]), F.lit(UNK_ID)).cast("long").alias(f) if f in maps else field_value(f).alias(f) for f in fields])
     for f in fields:
-        one = voc.where(F.col("field") == f).select(F.col("token").alias(f), F.col("id").alias(f"_{f}"))
-        out = out.join(checked_broadcast(one), f, "left")
-    return out.select("sample_id", "token_index", *[F.coalesce(f"_{f}", F.lit(UNK_ID)).cast("long").alias(f) for f in fields])
+        if f not in maps:
+            one = voc.where(F.col("field") == f).select(F.col("token").alias(f), F.col("id").alias("_id"))
+            out = out.join(checked_broadcast(one), f, "left").withColumn(f, F.coalesce("_id", F.lit(UNK_ID)).cast("long")).drop("_id")
+    return out.select("sample_id", "token_index", *fields)
 
 
 def decode(ids: DataFrame, vocabulary: DataFrame, field: str) -> DataFrame:

@@ -10,8 +10,13 @@ from ..operators import batching, dedup, inlining, linguistic, metrics, nesting,
 from ..storage import cut, table
 
 
-def _tokens(spark: SparkSession, d: str) -> DataFrame:
-    return profile.unique_tokens(table(spark, d, "tokens"))
+def _tokens(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return profile.unique_tokens(table(spark, d, "tokens"), *columns)
+
+
+ART = tuple(f"articulatory_{c}" for c in vocab.ARTICULATORY)
+EDGES = tuple(f"boundary_{c}" for c in vocab.BOUNDARY)
+RULE = ("language", "surface_tone", "stress", "syllable_role", *ART, *EDGES)
 
 
 def _round(df: DataFrame, *names: str) -> DataFrame:
@@ -39,7 +44,7 @@ def scan_pruned(spark, d):
 
 
 def narrow_tokens(spark, d):
-    t = _tokens(spark, d)
+    t = _tokens(spark, d, "phoneme", "syllable_role", "viseme_id")
     return t.select("sample_id", "phoneme", F.coalesce("syllable_role", F.lit("other")).alias("syllable_role"), "viseme_id").distinct()
 
 
@@ -50,20 +55,20 @@ def nest_sequences(spark, d):
 
 def renest_roundtrip(spark, d):
     """Fields that differ after nesting and flattening again: none."""
-    t = _tokens(spark, d).select("sample_id", "token_index", "phoneme", "language", "strength", "syllable_role")
+    t = _tokens(spark, d, "phoneme", "language", "strength", "syllable_role").select("sample_id", "token_index", "phoneme", "language", "strength", "syllable_role")
     ranked = t.withColumn("token_index", F.row_number().over(Window.partitionBy("sample_id").orderBy("token_index")).cast("long"))
     return nesting.differences(ranked, nesting.flatten(nesting.nest(ranked)).select(*ranked.columns), ["sample_id", "token_index"])
 
 
 def samples_with_tokens(spark, d):
     """Every sample with its number of tokens, 0 for none."""
-    n = nesting.nest(_tokens(spark, d).select("sample_id", "token_index", "phoneme"), table(spark, d, "samples"))
+    n = nesting.nest(_tokens(spark, d, "phoneme").select("sample_id", "token_index", "phoneme"), table(spark, d, "samples"))
     return n.where("batch_id is not null").select("sample_id", "batch_id", F.size("tokens").cast("long").alias("tokens"))
 
 
 def left_meta_join(spark, d):
     """Tokens per batch of their sample; null for tokens without one."""
-    t = nesting.with_metadata(_tokens(spark, d), table(spark, d, "samples"), ["batch_id"])
+    t = nesting.with_metadata(_tokens(spark, d, "phoneme"), table(spark, d, "samples"), ["batch_id"])
     return t.groupBy("batch_id").agg(F.count("*").alias("tokens"), F.count_distinct("sample_id").alias("samples"))
 
 
@@ -76,7 +81,7 @@ def sources_union(spark, d):
 
 def echo_fields(spark, d):
     """Teacher fields of the request next to the prediction at the same position."""
-    t = _tokens(spark, d)
+    t = _tokens(spark, d, "phoneme", "teacher_word_index", "teacher_char_index")
     p = score.by_inventory(t, table(spark, d, "phoneme_inventory")).select("sample_id", "token_index", "predicted").distinct()
     return nesting.echo(t.select("sample_id", "token_index", "teacher_word_index", "teacher_char_index"), p, ["sample_id", "token_index"])
 
@@ -85,7 +90,7 @@ def echo_fields(spark, d):
 
 
 def token_violations(spark, d):
-    return validation.flat_violations(_tokens(spark, d))
+    return validation.flat_violations(_tokens(spark, d, "phoneme", "language", "surface_tone", "stress", "viseme_id", "strength"))
 
 
 def record_violations(spark, d):
@@ -104,7 +109,7 @@ def json_typed(spark, d):
 
 def categories(spark, d):
     """Counts of nullable categories after normalisation."""
-    t = _tokens(spark, d)
+    t = _tokens(spark, d, "syllable_role", "articulatory_height", "teacher_raw_phoneme")
     names = ("syllable_role", "articulatory_height", "teacher_raw_phoneme")
     x = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), C.category(F.col(c)).alias("value")) for c in names])).alias("x")
     return t.select(x).groupBy("x.field", "x.value").agg(F.count("*").alias("n"))
@@ -114,44 +119,44 @@ def categories(spark, d):
 
 
 def frequencies(spark, d):
-    return profile.frequencies(_tokens(spark, d))
+    return profile.frequencies(_tokens(spark, d, *profile.COUNTED))
 
 
 def length_profile(spark, d):
-    return _round(profile.lengths(_tokens(spark, d)), "mean", "p50", "p95")
+    return _round(profile.lengths(_tokens(spark, d, "phoneme")), "mean", "p50", "p95")
 
 
 def strength_profile(spark, d):
-    t = _tokens(spark, d).where("strength between 0 and 100")
+    t = _tokens(spark, d, "strength").where("strength between 0 and 100")
     return _round(profile.numeric_profile(t, "strength"), "mean", "std", "p05", "p50", "p95")
 
 
 def class_means(spark, d):
-    return _round(profile.class_means(_tokens(spark, d).where("strength between 0 and 100"), "viseme_id", "strength"), "mean")
+    return _round(profile.class_means(_tokens(spark, d, "viseme_id", "strength").where("strength between 0 and 100"), "viseme_id", "strength"), "mean")
 
 
 def boundary_counts(spark, d):
-    return profile.boundary_counts(_tokens(spark, d))
+    return profile.boundary_counts(_tokens(spark, d, "phoneme", "boundary_phrase_end", "boundary_word_end", "strength_source"))
 
 
 def unknown_rate(spark, d):
-    return _round(profile.coverage(_tokens(spark, d), table(spark, d, "phoneme_inventory")), "unknown_rate")
+    return _round(profile.coverage(_tokens(spark, d, "phoneme"), table(spark, d, "phoneme_inventory")), "unknown_rate")
 
 
 def top_unknown(spark, d):
-    return profile.top_unknown(_tokens(spark, d), table(spark, d, "phoneme_inventory"))
+    return profile.top_unknown(_tokens(spark, d, "phoneme"), table(spark, d, "phoneme_inventory"))
 
 
 def missing_classes(spark, d):
-    return profile.missing_classes(_tokens(spark, d).where("strength > 99.5"))
+    return profile.missing_classes(_tokens(spark, d, "viseme_id", "strength").where("strength > 99.5"))
 
 
 def strength_histogram(spark, d):
-    return profile.histogram(_tokens(spark, d).where("strength between 0 and 100"), "strength", 0, 100, 20, ["viseme_id"])
+    return profile.histogram(_tokens(spark, d, "viseme_id", "strength").where("strength between 0 and 100"), "strength", 0, 100, 20, ["viseme_id"])
 
 
 def phrase_positions(spark, d):
-    return profile.positions(_tokens(spark, d))
+    return profile.positions(_tokens(spark, d, *EDGES))
 
 
 def manifest_check(spark, d):
@@ -167,30 +172,30 @@ def manifest_check(spark, d):
 
 
 def vocab_build(spark, d):
-    return vocab.build_one(_tokens(spark, d), "phoneme")
+    return vocab.build_one(_tokens(spark, d, "phoneme"), "phoneme")
 
 
 def vocab_all(spark, d):
-    return vocab.build(_tokens(spark, d))
+    return vocab.build(_tokens(spark, d, *vocab.FIELDS))
 
 
 def vocab_sizes(spark, d):
-    return vocab.sizes(vocab.build(_tokens(spark, d)))
+    return vocab.sizes(vocab.build(_tokens(spark, d, *vocab.FIELDS)))
 
 
 def vocab_problems(spark, d):
-    return vocab.problems(cut(vocab.build(_tokens(spark, d)), "vocabulary"))
+    return vocab.problems(cut(vocab.build(_tokens(spark, d, *vocab.FIELDS)), "vocabulary"))
 
 
 def encode_tokens(spark, d):
-    t = _tokens(spark, d)
+    t = cut(_tokens(spark, d, *vocab.FIELDS), "tokens")
     return vocab.encode(t, vocab.build(t))
 
 
 def encode_inventory(spark, d):
     """Phonemes against the inventory: misses are 1."""
     v = vocab.build_one(table(spark, d, "phoneme_inventory"), "phoneme").select(F.lit("phoneme").alias("field"), "token", "id")
-    return vocab.encode(_tokens(spark, d), v, ("phoneme",))
+    return vocab.encode(_tokens(spark, d, "phoneme"), v, ("phoneme",))
 
 
 # Duplicates and splits
@@ -207,8 +212,8 @@ def shingle_counts(spark, d):
     return s.select("sample_id", F.size(dedup.shingles(F.col("phonemes"))).cast("long").alias("shingles"))
 
 
-def _duplicates(spark, d):
-    return dedup.duplicate_groups(table(spark, d, "samples"), table(spark, d, "tokens"))
+def _duplicates(spark, d, exact=True):
+    return dedup.duplicate_groups(table(spark, d, "samples"), table(spark, d, "tokens"), exact=exact)
 
 
 def near_pairs(spark, d):
@@ -220,7 +225,8 @@ def duplicate_groups(spark, d):
 
 
 def duplicate_summary(spark, d):
-    return dedup.summary(_duplicates(spark, d))
+    """Counts of the sketch search."""
+    return dedup.summary(_duplicates(spark, d, exact=False))
 
 
 def kept_samples(spark, d):
@@ -258,32 +264,32 @@ def text_signatures(spark, d):
 
 
 def pseudo_strength(spark, d):
-    return _round(linguistic.pseudo_strength(_tokens(spark, d)).select("sample_id", "token_index", "pseudo_strength"), "pseudo_strength")
+    return _round(linguistic.pseudo_strength(_tokens(spark, d, *RULE)).select("sample_id", "token_index", "pseudo_strength"), "pseudo_strength")
 
 
 def segment_roles(spark, d):
-    t = linguistic.syllable_roles(_tokens(spark, d), ["sample_id", "teacher_word_index", "teacher_char_index"])
+    t = linguistic.syllable_roles(_tokens(spark, d, "phoneme", "teacher_word_index", "teacher_char_index"), ["sample_id", "teacher_word_index", "teacher_char_index"])
     return t.select("sample_id", "token_index", "role")
 
 
 def articulation_of(spark, d):
-    p = _tokens(spark, d).select("phoneme").distinct()
+    p = _tokens(spark, d, "phoneme").select("phoneme").distinct()
     return linguistic.with_articulation(p).select("phoneme", "a_type", "a_height", "a_place", "a_manner")
 
 
 def word_edges(spark, d):
-    t = linguistic.word_boundaries(_tokens(spark, d), "sample_id", "token_index", "teacher_word_index")
+    t = linguistic.word_boundaries(_tokens(spark, d, "teacher_word_index"), "sample_id", "token_index", "teacher_word_index")
     return t.select("sample_id", "token_index", "starts_word", "ends_word")
 
 
 def phrase_edges(spark, d):
     """Phrase boundaries, silence standing for punctuation."""
-    t = _tokens(spark, d).withColumn("word", F.when(F.col("articulatory_type") == "silence", F.when(F.col("phoneme") == "∅", "。").otherwise("，")).otherwise("x"))
+    t = _tokens(spark, d, "phoneme", "articulatory_type").withColumn("word", F.when(F.col("articulatory_type") == "silence", F.when(F.col("phoneme") == "∅", "。").otherwise("，")).otherwise("x"))
     return linguistic.phrase_boundaries(t, "sample_id", "token_index", "word").select("sample_id", "token_index", "ends_phrase", "starts_phrase", "boundary")
 
 
 def occurrences(spark, d):
-    return linguistic.occurrence(_tokens(spark, d), "sample_id", "token_index", "teacher_char_index").select("sample_id", "token_index", F.col("occurrence").cast("long").alias("occurrence"))
+    return linguistic.occurrence(_tokens(spark, d, "teacher_char_index"), "sample_id", "token_index", "teacher_char_index").select("sample_id", "token_index", F.col("occurrence").cast("long").alias("occurrence"))
 
 
 def _chars(spark, d):
@@ -305,7 +311,7 @@ def tone_sequences(spark, d):
 
 
 def _lengths(spark, d):
-    return _tokens(spark, d).groupBy("sample_id").agg(F.count("*").alias("len"))
+    return _tokens(spark, d, "phoneme").groupBy("sample_id").agg(F.count("*").alias("len"))
 
 
 def length_buckets(spark, d):
@@ -318,7 +324,7 @@ def token_budget_batches(spark, d):
 
 
 def padded_batches(spark, d):
-    t = _tokens(spark, d).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("token_index", F.coalesce("viseme_id", F.lit(batching.IGNORE)).alias("v")))).alias("t")).select("sample_id", F.col("t.v").alias("labels"), F.size("t").cast("long").alias("len"))
+    t = _tokens(spark, d, "phoneme", "viseme_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("token_index", F.coalesce("viseme_id", F.lit(batching.IGNORE)).alias("v")))).alias("t")).select("sample_id", F.col("t.v").alias("labels"), F.size("t").cast("long").alias("len"))
     b = batching.plan_batches(t, "sample_id", "len", 6000)
     return batching.batch_sizes(batching.pad_batches(b, "batch", {"labels": batching.IGNORE}), "batch", "labels")
 
@@ -331,7 +337,7 @@ def fixed_batches(spark, d):
 
 
 def _scored(spark, d):
-    t = linguistic.pseudo_strength(_tokens(spark, d), english_stress_only=True)
+    t = linguistic.pseudo_strength(_tokens(spark, d, "phoneme", "viseme_id", "strength", "strength_source", *RULE), english_stress_only=True)
     t = score.by_inventory(t, table(spark, d, "phoneme_inventory"))
     return t.where("strength between 0 and 100 and viseme_id is not null and predicted is not null").withColumn("pseudo_strength", F.round("pseudo_strength", 4))
 

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; the count is taken before the join.
@@ -40,6 +40,13 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured_cut(df: DataFrame, name: str = "t", **measures: Column) -> tuple[DataFrame, dict]:
+    """:func:`cut`, and aggregates of the rows taken while they are written, ``n`` (their number) by default; so loops need no job to see whether they are done."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(k) for k, c in (measures or {"n": F.count(F.lit(1))}).items()]), name)
+    return out, seen.get
+
+
 def drop_cut(df: DataFrame) -> None:
     """Deletes the files of a frame made by :func:`cut`, once nothing reads it any more."""
     spark = df.sparkSession
