@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, drop_cut, skew_safe
+from ..storage import cut, drop_cut, measured_cut, skew_safe
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -27,11 +27,10 @@ def _flatten(parents: DataFrame) -> DataFrame:
     """Pointer jumping: ``(x, p)`` until every p is a root (a row with x = p). Depth halves each round."""
     while True:
         up = parents.select(F.col("x").alias("p"), F.col("p").alias("g"))
-        nxt = cut(parents.join(up, "p").select("x", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")), "jump")
-        moved = nxt.where("moved").limit(1).count()
+        nxt, seen = measured_cut(parents.join(up, "p").select("x", F.col("g").alias("p"), (F.col("g") != F.col("p")).alias("moved")), "jump", moved=F.count_if("moved"))
         drop_cut(parents)
         parents = nxt.select("x", "p")
-        if not moved:
+        if not seen["moved"]:
             return parents
 
 
@@ -45,15 +44,15 @@ def hook_and_shortcut(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     with skew_safe(spark):
-        left = cut(simple(edges), "edges")
+        left, size = measured_cut(simple(edges), "edges")
         rounds: list[DataFrame] = []
-        while left.limit(1).count():
+        while size["n"]:
             hooks = _both(left).groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("p"))
             stars = _flatten(cut(hooks, "hooks"))
             rounds.append(stars)
             a = stars.select(F.col("x").alias("u"), F.col("p").alias("pu"))
             b = stars.select(F.col("x").alias("v"), F.col("p").alias("pv"))
-            nxt = cut(simple(left.join(a, "u").join(b, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))), "edges")
+            nxt, size = measured_cut(simple(left.join(a, "u").join(b, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))), "edges")
             drop_cut(left)
             left = nxt
         if not rounds:
@@ -65,29 +64,31 @@ def hook_and_shortcut(edges: DataFrame) -> DataFrame:
         return labels
 
 
-def _chains(two: DataFrame) -> DataFrame:
+def _chains(two: DataFrame) -> DataFrame | None:
     """List ranking of degree-two chains.
 
     ``two(x, a, b)`` has each inner vertex with its neighbours. A vertex stays an end if it is not inner, or if its hash is
     smaller than those of both neighbours (so a ring has an end too, and chain parts are short). Each inner vertex gets a
-    pointer per direction, doubled by joins until both reach an end. Returns ``x, e1, e2`` for the inner vertices left out.
+    pointer per direction, doubled by joins until both reach an end. Returns ``x, e1, e2`` for the inner vertices left out, or
+    None if there are none.
     """
     h = lambda c: F.struct(F.xxhash64(c), F.col(c))
     inner = two.select("x").withColumn("inner", F.lit(True))
     t = two.join(inner.select(F.col("x").alias("a"), F.col("inner").alias("ia")), "a", "left").join(inner.select(F.col("x").alias("b"), F.col("inner").alias("ib")), "b", "left")
     lowest = F.coalesce("ia", F.lit(False)) & F.coalesce("ib", F.lit(False)) & (h("x") < h("a")) & (h("x") < h("b"))
-    t = cut(t.where(~lowest).select("x", "a", "b"), "inner")
+    t, found = measured_cut(t.where(~lowest).select("x", "a", "b"), "inner")
+    if not found["n"]:
+        return None
     # An arc (x from f) leads on to the other neighbour n of x.
     arcs = t.select("x", F.explode(F.array(F.struct(F.col("a").alias("f"), F.col("b").alias("n")), F.struct(F.col("b").alias("f"), F.col("a").alias("n")))).alias("e")).select("x", "e.f", "e.n")
     # Pointer: the arc reached last, (at, came) with at = n, came = x; it is done if `at` is no inner vertex any more.
     ptr = cut(arcs.select("x", "f", F.col("n").alias("at"), F.col("x").alias("came")), "arcs")
     while True:
         up = ptr.select(F.col("x").alias("at"), F.col("f").alias("came"), F.col("at").alias("at2"), F.col("came").alias("came2"))
-        nxt = cut(ptr.join(up, ["at", "came"], "left").select("x", "f", F.coalesce("at2", "at").alias("at"), F.coalesce("came2", "came").alias("came"), F.col("at2").isNotNull().alias("moved")), "arcs")
-        moved = nxt.where("moved").limit(1).count()
+        nxt, seen = measured_cut(ptr.join(up, ["at", "came"], "left").select("x", "f", F.coalesce("at2", "at").alias("at"), F.coalesce("came2", "came").alias("came"), F.col("at2").isNotNull().alias("moved")), "arcs", moved=F.count_if("moved"))
         drop_cut(ptr)
         ptr = nxt.drop("moved")
-        if not moved:
+        if not seen["moved"]:
             return ptr.groupBy("x").agg(F.min("at").alias("e1"), F.max("at").alias("e2"))
 
 
@@ -97,7 +98,7 @@ def strip_compress_solve(edges: DataFrame) -> DataFrame:
     Strips degree-one vertices and compresses degree-two chains until neither is left, solves the reduced core by
     hooking and shortcutting, and hands labels back to the removed vertices. Each removal keeps one pointer to a vertex that
     outlived it; the pointers form a forest that is flattened by pointer jumping, so restoring takes logarithmically many
-    joins. Degrees come from a pre-aggregated count; edges are removed by their (unique) pair of ends, so a hub is never a
+    joins. Both removals of a round use the same degrees. Degrees come from a pre-aggregated count; edges are removed by their (unique) pair of ends, so a hub is never a
     join key until its own leaves look it up.
     """
     spark = edges.sparkSession
@@ -106,34 +107,34 @@ def strip_compress_solve(edges: DataFrame) -> DataFrame:
         vertices = cut(_both(left).select("x").distinct(), "vertices")
         pointers: list[DataFrame] = []
         while True:
-            ends = cut(_both(left).groupBy("x").agg(F.count("*").alias("n"), F.min("y").alias("a"), F.max("y").alias("b")), "degrees")
-            leaves = ends.where("n = 1")
-            # Of a component that is a single edge only the larger end is stripped.
-            single = leaves.select(F.col("x").alias("a"), F.lit(1).alias("both"))
-            leaves = leaves.join(single, "a", "left").where("both is null or x > a").select("x", F.col("a").alias("p"))
-            leaves = cut(leaves, "leaves")
-            stripped = leaves.limit(1).count() > 0
-            if stripped:
+            ends, kinds = measured_cut(_both(left).groupBy("x").agg(F.count("*").alias("n"), F.min("y").alias("a"), F.max("y").alias("b")), "degrees", one=F.count_if(F.col("n") == 1), two=F.count_if(F.col("n") == 2))
+            gone, short = [], None
+            two = ends.where("n = 2").select("x", "a", "b")
+            if kinds["one"]:
+                leaves = ends.where("n = 1")
+                # Of a component that is a single edge only the larger end is stripped.
+                single = leaves.select(F.col("x").alias("a"), F.lit(1).alias("both"))
+                leaves = cut(leaves.join(single, "a", "left").where("both is null or x > a").select("x", F.col("a").alias("p")), "leaves")
                 pointers.append(leaves)
-                gone = leaves.select(F.least("x", "p").alias("u"), F.greatest("x", "p").alias("v"))
-                nxt = cut(left.join(gone, ["u", "v"], "left_anti"), "edges")
-                drop_cut(left)
-                drop_cut(ends)
-                left = nxt
-                ends = cut(_both(left).groupBy("x").agg(F.count("*").alias("n"), F.min("y").alias("a"), F.max("y").alias("b")), "degrees")
-            inner = _chains(ends.where("n = 2").select("x", "a", "b"))
-            inner = cut(inner, "chains")
-            compressed = inner.limit(1).count() > 0
-            if compressed:
+                gone.append(leaves.select(F.least("x", "p").alias("u"), F.greatest("x", "p").alias("v")))
+                # A vertex that a leaf points to stays this round.
+                two = two.join(leaves.select(F.col("p").alias("x")), "x", "left_anti")
+            inner = _chains(two) if kinds["two"] else None
+            if inner is not None:
+                inner = cut(inner, "chains")
                 pointers.append(inner.select("x", F.col("e1").alias("p")))
-                gone = inner.join(ends, "x").select("x", F.explode(F.array("a", "b")).alias("y")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+                gone.append(inner.join(ends, "x").select("x", F.explode(F.array("a", "b")).alias("y")).select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct())
                 short = simple(inner.select(F.col("e1").alias("u"), F.col("e2").alias("v")))
-                nxt = cut(left.join(gone, ["u", "v"], "left_anti").unionByName(short).distinct(), "edges")
-                drop_cut(left)
-                left = nxt
-            drop_cut(ends)
-            if not stripped and not compressed:
+            if not gone:
+                drop_cut(ends)
                 break
+            rest = left
+            for g in gone:
+                rest = rest.join(g, ["u", "v"], "left_anti")
+            nxt = cut(rest.unionByName(short).distinct() if short is not None else rest, "edges")
+            drop_cut(left)
+            drop_cut(ends)
+            left = nxt
         core = hook_and_shortcut(left)
         removed = pointers[0] if pointers else left.select(F.col("u").alias("x"), F.col("v").alias("p")).limit(0)
         for p in pointers[1:]:
