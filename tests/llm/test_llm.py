@@ -275,8 +275,9 @@ def test_hot_copies_are_dealt_out(spark, rows, monkeypatch):
 
 
 def test_split_overlaps(spark, rows):
-    texts = make_texts()
-    side = {k: RNG.choice(["train", "train", "test", "validation", None]) for k in texts}
+    texts = make_texts(250)
+    r = random.Random(4)
+    side = {k: r.choice(["train", "train", "test", "validation", None]) for k in texts}
     samples = with_clashes(spark.createDataFrame([*texts.items(), ("n1", None), ("s000", texts["s000"])], "sample_id string, text string"))
     members = with_clashes(spark.createDataFrame([(k, v, 2) for k, v in side.items() if v] + [(k, "train", 1) for k in side if side[k]], "sample_id string, split_name string, assigned_at int"))
     want = {(a, b) for a, b in brute_alike(texts, 0.6) if side[a] and side[b] and (side[a] == "train") != (side[b] == "train")}
