@@ -71,10 +71,13 @@ def build(tokens: DataFrame, extend: bool = True) -> DataFrame:
     special = [(f, t, k) for f in FIELDS for k, t in enumerate((PAD, UNK))]
     seeds = spark.createDataFrame(special + seed_rows, "field string, token string, id long")
     sizes = spark.createDataFrame([(f, len(line.split()) + 2) for f, line in SEEDS.items()] + [("phoneme", 2)], "field string, base long")
-    seen = _long(tokens, ["sample_id", "token_index"]).groupBy("field", "token").agg(F.min(F.struct("sample_id", "token_index")).alias("first"))
-    new = seen.join(F.broadcast(seeds.select("field", "token")), ["field", "token"], "left_anti")
-    if not extend:
-        new = new.where("field = 'phoneme'")
+    # Seeds go before the aggregation, so only values the seeds lack are grouped.
+    closed = _long(tokens, ["sample_id", "token_index"]).where("field <> 'phoneme'").join(F.broadcast(seeds.select("field", "token")), ["field", "token"], "left_anti").groupBy("field", "token").agg(F.min(F.struct("sample_id", "token_index")).alias("first"))
+    new = tokens.select(F.lit("phoneme").alias("field"), F.col("phoneme").alias("token")).where(F.col("token").isNotNull() & ~F.col("token").isin(PAD, UNK)).distinct()
+    if extend:
+        new = closed.unionByName(new, allowMissingColumns=True)
+    else:
+        new = new.withColumn("first", F.lit(None).cast(closed.schema["first"].dataType))
     order = Window.partitionBy("field").orderBy(F.when(F.col("field") != "phoneme", F.col("first")), "token")
     ranked = new.withColumn("rank", F.row_number().over(order)).join(F.broadcast(sizes), "field").select("field", "token", (F.col("rank") + F.col("base") - 1).cast("long").alias("id"))
     return seeds.unionByName(ranked)
