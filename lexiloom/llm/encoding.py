@@ -6,16 +6,20 @@ probability, in clean text, of what its bytes say in the right encoding; ASCII b
 clean text. Entering a state costs ``ENTER``, carrying on across a gap costs by its length. The best path labels each
 character; labelled spans get their pair's inverse transform, again and again while something is found (text garbled twice).
 
-Character probabilities are counted over all texts, then once more over those in which nothing was found the first time.
+Character probabilities are counted over the texts in which nothing was found so far, without the stretches that are hardly clean
+(:func:`doubtful`), and all remaining texts are searched again until nothing more is found. So no share of garbled text hides itself.
 """
 
 from __future__ import annotations
 
 import bisect
 import codecs
+import itertools
 import math
+import re
+from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,15 +28,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, measured_cut
 
 #: Log-probability costs: a span as a whole, and inside it each ASCII character and each other character of a gap.
 ENTER, GAP, GAP_ODD = 12.5, 0.05, 3.0
-#: A text is searched only if it has a character below this log probability; garbled spans always have.
-RARE = -9.0
 #: Least log probability of a small letter behind another of its script; below NEVER a restored character counts as one that clean text never has, at a cost.
 SMALL = frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяёѕіјһԁԝѵ")
 SAME_SCRIPT, NEVER, NEVER_COST = -4.5, -13.5, 6.0
+#: Least gain of a stretch that may be part of a span.
+LEAST = -8
 LOST = "�"
 UTF8 = regex.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 GB = regex.compile(rb"[\x81-\xfe][\x30-\x39][\x81-\xfe][\x30-\x39]|[\x81-\xfe][\x40-\x7e\x80-\xfe]")
@@ -64,9 +68,18 @@ class Unit:
     pair: int
 
 
-@lru_cache(100_000)
-def width(c: str, encoding: str) -> int:
-    return len(c.encode(encoding, "replace"))
+class Widths(dict):
+    """Character -> number of its bytes; what the encoding lacks is one byte, as U+FFFD."""
+
+    def __init__(self, encoding: str):
+        self.encoding = encoding
+
+    def __missing__(self, c: str) -> int:
+        n = self[c] = 1 if c == LOST else len(c.encode(self.encoding, "replace"))
+        return n
+
+
+WIDTH = {w: Widths(w) for w in MULTI}
 
 
 #: Double-byte characters read as Cyrillic cost more to enter: Latin text written with look-alike letters resembles them.
@@ -74,8 +87,13 @@ CYRILLIC_MORE, DOUBTFUL = 8.0, frozenset(("gb18030", w) for w in ("koi8_r", "cp1
 PAIRS = [(right, wrong) for right in RIGHT for wrong in (*SINGLE, *MULTI) if right != wrong]
 
 
+CASED = re.compile("[\u0370-\u04ff]")
+
+
 def observed(text: str, logp) -> list[float]:
     """Running sums of the clean state's log probabilities. A small Greek or Russian letter (or one that looks Latin) behind another letter of its script has at least ``SAME_SCRIPT``: rare letters come in words."""
+    if not CASED.search(text):
+        return [0.0, *itertools.accumulate(map(logp, text))]
     out, total, before = [0.0], 0.0, 0
     for c in text:
         p = logp(c)
@@ -101,22 +119,19 @@ def units(text: str, pair: int, logp, sums: list[float]) -> list[Unit]:
         data = codecs.charmap_encode(text, "replace", byte_of(wrong))[0]
         for m in find.finditer(data):
             s, e = m.span()
-            if sums[s] - sums[e] < 10:
-                continue
             try:
                 r = m[0].decode(right)
             except UnicodeDecodeError:
                 continue
-            out.append(Unit(s, e, r, restored(r, logp) + sums[s] - sums[e], pair))
+            if (gain := restored(r, logp) + sums[s] - sums[e]) > LEAST:
+                out.append(Unit(s, e, r, gain, pair))
         return out
     data = (text.replace(LOST, "?") if LOST in text else text).encode(wrong, "replace")
     found = [m.span() for m in find.finditer(data)]
     if not found:
         return out
-    edges = [0]
-    for c in text:
-        edges.append(edges[-1] + (1 if c < "\x80" or c == LOST else width(c, wrong)))
-    at = {b: k for k, b in enumerate(edges)}
+    edges = [0, *itertools.accumulate(map(WIDTH[wrong].__getitem__, text))]
+    at = dict(zip(edges, itertools.count()))
     # Matches that follow each other without a gap form units from one character boundary to the next.
     start, parts = None, []
     for k, (s, e) in enumerate(found):
@@ -134,22 +149,74 @@ def units(text: str, pair: int, logp, sums: list[float]) -> list[Unit]:
         if j is None:  # the last byte was read together with what follows
             j = bisect.bisect_left(edges, e)
             tail = data[e : edges[j]].decode("ascii", "replace")
-        if sums[i] - sums[j] < 5:
-            continue
         try:
             r = data[s:e].decode(right) + tail
         except UnicodeDecodeError:
             continue
-        if r != text[i:j]:
-            out.append(Unit(i, j, r, restored(r, logp) + sums[i] - sums[j], pair))
+        if (gain := restored(r, logp) + sums[i] - sums[j]) > LEAST and r != text[i:j]:
+            out.append(Unit(i, j, r, gain, pair))
     return out
 
 
-def tried(text: str, logp) -> list[int]:
-    """Pairs worth a search: those whose wrong encoding has one of the text's rare characters."""
-    rare = [c for c in set(text) if c > "\x7f" and logp(c) < RARE]
-    can = {w for w in SINGLE if any(ord(c) in byte_of(w) for c in rare)} | {w for w in MULTI if any(width(c, w) == 2 or w == "cp932" and "\uff61" <= c <= "\uff9f" for c in rare)}
-    return [k for k, (_, w) in enumerate(PAIRS) if w in can]
+@lru_cache(None)
+def sequences(right: str, wrong: str) -> regex.Pattern:
+    """Stretches of a text read in a single-byte encoding that are one character of the right one."""
+    of: dict[int, str] = {}
+    for c, b in byte_of(wrong).items():
+        of[b] = of.get(b, "") + chr(c)
+    one = lambda *ranges: "[" + re.escape("".join(of.get(b, "") for lo, hi in ranges for b in range(lo, hi + 1))) + "]"
+    if right == "utf-8":
+        more = one((0x80, 0xBF))
+        return re.compile(f"{one((0xC2, 0xDF))}{more}|{one((0xE0, 0xEF))}{more}{{2}}|{one((0xF0, 0xF4))}{more}{{3}}")
+    high = one((0x81, 0xFE))
+    return re.compile(f"{high}[0-9]{high}[0-9]|{high}{one((0x40, 0x7E), (0x80, 0xFE))}")
+
+
+DOUBLE = [wrong for right, wrong in PAIRS if right == "gb18030" and wrong in MULTI]
+
+
+class Chances(dict):
+    """Character -> log probability, from a table."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+
+    def __missing__(self, c: str) -> float:
+        p = self[c] = float(self.table[ord(c)])
+        return p
+
+
+class MostGain(dict):
+    """Character -> the most a double-byte character read as another gains, in any of those pairs. Byte pairs stay pairs, so each character is a unit; infinite for one of another width."""
+
+    def __init__(self, logp):
+        self.logp = logp
+
+    def __missing__(self, c: str) -> float:
+        most = 0.0
+        for wrong in DOUBLE:
+            data = c.encode(wrong, "replace")
+            if c < "\x80" or c == LOST or data == b"?":
+                continue
+            if len(data) != 2:
+                most = math.inf
+            elif r := data.decode("gb18030", "ignore"):
+                most = max(most, restored(r, self.logp) - self.logp(c))
+        self[c] = most
+        return most
+
+
+def candidates(text: str, logp, most: MostGain) -> list[Unit]:
+    """Units of all pairs. A run of units of one pair pays ``ENTER``, so a pair whose positive gains together are no more is on no best path; no frequency decides but through the gain itself."""
+    sums, out = observed(text, logp), []
+    double = sum(map(most.__getitem__, text)) > ENTER
+    for pair, (right, wrong) in enumerate(PAIRS):
+        if wrong in SINGLE and not sequences(right, wrong).search(text) or right == "gb18030" and wrong in MULTI and not double:
+            continue
+        found = units(text, pair, logp, sums)
+        if sum(u.gain for u in found if u.gain > 0) > ENTER:
+            out += found
+    return out
 
 
 def best_path(text: str, every: list[Unit]) -> tuple[float, list[Unit]]:
@@ -189,13 +256,12 @@ def best_path(text: str, every: list[Unit]) -> tuple[float, list[Unit]]:
     return top, path[::-1]
 
 
-def repair(text: str, logp, rounds: int = 3) -> tuple[float, str]:
+def repair(text: str, logp, rounds: int = 3, most: MostGain | None = None) -> tuple[float, str]:
     """Gain of the first search (0: nothing found) and the restored text. Replacement characters mark bytes lost for good; they stay."""
-    first = 0.0
+    first, most = 0.0, MostGain(logp) if most is None else most
     for n in range(rounds):
-        sums = observed(text, logp)
-        found = [u for p in tried(text, logp) for u in units(text, p, logp, sums) if u.gain > -8]
-        gain, path = best_path(text, found)
+        found = candidates(text, logp, most)
+        gain, path = best_path(text, found) if found else (0.0, [])
         if not path:
             break
         first = first or gain
@@ -221,14 +287,56 @@ class Clean:
         return float(self.table[ord(c)])
 
 
-def count_characters(texts: DataFrame, column: str) -> Clean:
-    """Counts over all texts; at most one row per code point reaches the driver."""
+#: Bytes a stretch has at least to be left out of the counts, where shorter ones are common in clean text.
+LONG_UTF8, LONG_GB = regex.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+"), 4
+LATIN = ("cp1252", "mac_roman", "cp437", "cp1250")
+
+
+@lru_cache(None)
+def latin_runs(wrong: str) -> re.Pattern:
+    return re.compile("[" + re.escape("".join(chr(c) for c, b in byte_of(wrong).items() if b > 0x80 and chr(c) != LOST)) + f"]{{{LONG_GB},}}")
+
+
+def doubtful(text: str) -> str:
+    """``text`` without the stretches that are hardly clean, whatever their frequency, so that a source full of them does not count as clean.
+
+    They are UTF-8 sequences read in a single-byte encoding, six bytes or more of such sequences read as double-byte characters, and runs
+    of four or more accented letters and signs that are double-byte characters. Double-byte characters read as Cyrillic or as other double-byte
+    characters stay, since clean text of those scripts is decodable too.
+    """
+    for wrong in SINGLE:
+        text = sequences("utf-8", wrong).sub(" ", text)
+    for wrong in LATIN:
+        def gb(m):
+            try:
+                codecs.charmap_encode(m[0], "strict", byte_of(wrong))[0].decode("gb18030")
+            except UnicodeError:
+                return m[0]
+            return " "
+
+        text = latin_runs(wrong).sub(gb, text)
+    for wrong in MULTI:
+        data = text.replace(LOST, "?").encode(wrong, "replace")
+        spans = [m.span() for m in LONG_UTF8.finditer(data) if m.end() - m.start() >= 6]
+        if spans:
+            edges = [0, *itertools.accumulate(map(WIDTH[wrong].__getitem__, text))]
+            out, at = [], 0
+            for s, e in spans:
+                i, j = bisect.bisect_left(edges, s), bisect.bisect_left(edges, e)
+                out.append(text[at:i])
+                at = max(at, j)
+            text = " ".join(out) + " " + text[at:]
+    return text
+
+
+def count_characters(texts: DataFrame, column: str) -> Counter:
+    """Counts over all texts, doubtful stretches left out; at most one row per code point reaches the driver."""
 
     def run(batches):
         n = np.zeros(0x110000, np.int64)
         for batch in batches:
             for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
-                codes = np.frombuffer("".join(t for t in part.column(0).to_pylist() if t).encode("utf-32-le", "surrogatepass"), np.uint32)
+                codes = np.frombuffer("".join(t if t.isascii() else doubtful(t) for t in part.column(0).to_pylist() if t).encode("utf-32-le", "surrogatepass"), np.uint32)
                 if len(codes):
                     b = np.bincount(codes)
                     n[: len(b)] += b
@@ -236,7 +344,7 @@ def count_characters(texts: DataFrame, column: str) -> Clean:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["c", "n"])
 
     rows = texts.select(column).mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
-    return Clean(dict(zip(rows.column("c").to_pylist(), rows.column("n").to_pylist())))
+    return Counter(dict(zip(rows.column("c").to_pylist(), rows.column("n").to_pylist())))
 
 
 def search(texts: DataFrame, column: str, clean: Clean, out: str = "found") -> DataFrame:
@@ -246,25 +354,17 @@ def search(texts: DataFrame, column: str, clean: Clean, out: str = "found") -> D
     @F.pandas_udf("gain double, restored string")
     def label(s: pd.Series) -> pd.DataFrame:
         m = model.value
-        memo: dict[str, float] = {}
-
-        def logp(c: str) -> float:
-            v = memo.get(c)
-            if v is None:
-                v = memo[c] = float(m.table[ord(c)])
-            return v
-
+        logp = Chances(m.table).__getitem__
+        most = MostGain(logp)
         gains, restored = [], []
         for t in s:
             g = r = None
             if t and not t.isascii():
-                codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-                if m.table[codes[codes > 127]].min(initial=0) < RARE:
-                    gain, fixed = repair(t, logp)
-                    if gain > 0:
-                        g, r = gain, fixed
-                    elif LOST in t:
-                        g, r = 0.0, t
+                gain, fixed = repair(t, logp, most=most)
+                if gain > 0:
+                    g, r = gain, fixed
+                elif LOST in t:
+                    g, r = 0.0, t
             gains.append(g)
             restored.append(r)
         return pd.DataFrame({"gain": gains, "restored": restored}).astype({"gain": "float64"})
@@ -276,14 +376,21 @@ def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """``key, gain, restored`` of the rows of which any part was read in a wrong encoding. ``restored`` equals the original where no byte was lost; null and empty texts are never found.
 
     The model is fitted on distinct texts, so copies of one garbled text, however many, do not make it look clean. Each distinct
-    text is searched with the counts over all of them, and again with the counts over those unmarked; results go back to all rows.
+    text is searched with the counts over all of them, then the unmarked ones with the counts over those until no more is marked (a round
+    marks one text at least), and the marked ones with the last counts; results go back to all rows.
     """
     t = documents.select(key, text).where(F.col(text).isNotNull() & (F.col(text) != "")).withColumn("_h", F.xxhash64(text))
     one = cut(t.select(F.col(text).alias("_t"), "_h").dropDuplicates(["_h", "_t"]), "texts")
-    first = cut(search(one, "_t", count_characters(one, "_t")), "searched")
-    unmarked = first.where("found.restored is null")
-    clean = count_characters(unmarked, "_t")
-    again = search(unmarked.drop("found"), "_t", clean)
-    better = search(first.where("found.restored is not null").withColumnRenamed("found", "was"), "_t", clean).withColumn("found", F.when(F.col("found.restored").isNotNull(), F.col("found")).otherwise(F.col("was"))).drop("was")
-    marked = cut(again.where("found.restored is not null").unionByName(better), "marked")
+    unmarked, parts, counts = one, [], count_characters(one, "_t")
+    while True:
+        clean = Clean(counts)
+        searched, seen = measured_cut(search(unmarked, "_t", clean), "searched", n=F.count("found.restored"))
+        new = searched.where("found.restored is not null")
+        parts.append(new.withColumnRenamed("found", "was"))
+        if not seen["n"]:
+            break
+        counts = counts - count_characters(new, "_t")
+        unmarked = searched.where("found.restored is null").drop("found")
+    was = reduce(DataFrame.unionByName, parts)
+    marked = cut(search(was, "_t", clean).withColumn("found", F.when(F.col("found.restored").isNotNull(), F.col("found")).otherwise(F.col("was"))).drop("was"), "marked")
     return t.join(marked, (t["_h"] == marked["_h"]) & (t[text] == marked["_t"])).select(t[key], "found.gain", "found.restored")

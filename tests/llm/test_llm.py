@@ -381,6 +381,15 @@ def test_garbled(spark):
     assert encoding.garbled(df.limit(0)).count() == 0
 
 
+def test_garbled_however_frequent(spark):
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice(CLEAN) for _ in range(2)) + f" {i}") for i in range(120)]
+    docs += [(1000 + i, wrong(r.choice(CLEAN[:3]) + f" {i}", "utf-8", "cp1252")) for i in range(80)]
+    docs = [(i, t) for i, t in docs if "�" not in t]
+    got = {r.doc_id for r in encoding.garbled(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i for i, _ in docs if i >= 1000} and got
+
+
 def test_best_path_is_best():
     r = random.Random(2)
     for _ in range(40):
