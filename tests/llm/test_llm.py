@@ -390,6 +390,12 @@ def test_garbled_however_frequent(spark):
     assert got == {i for i, _ in docs if i >= 1000} and got
 
 
+def test_every_lost_byte_marks(spark):
+    docs = [(i, f"plain {i}") for i in range(20)] + [(100 + i, f"lost � byte {i}") for i in range(20)]
+    got = {r.doc_id: r.restored for r in encoding.garbled(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(docs[20:])
+
+
 def test_best_path_is_best():
     r = random.Random(2)
     for _ in range(40):
