@@ -236,3 +236,18 @@ def delivered_tokens(raw_records: DataFrame) -> DataFrame:
     s = s.select("raw_id", (F.col("_p") + 1).cast("long").alias("sample_pos"), F.coalesce(_get(v, "sample_id", "string"), F.lit("")).alias("sample_id"), v)
     t = s.select("raw_id", "sample_pos", "sample_id", F.posexplode(F.concat(*[instances(v, p) for p in ways["token"]])).alias("_i", "_v")).where(is_object(v))
     return t.select("raw_id", "sample_pos", "sample_id", (F.col("_i") + 1).cast("long").alias("token_index"))
+
+
+def delivered_samples(rows: DataFrame) -> DataFrame:
+    """``raw_id, sample, tokens`` of ``rows(raw_id, payload)``: each sample value the delivery graph cuts out as VARIANT, and its tokens from every path as an array, null if no path leads to a list.
+
+    Values that are no objects stay, so that they can be checked. A readable payload without samples is its own sample; an unreadable or null one gives one row with a null sample.
+    """
+    v = F.col("_v")
+    paths = {c: [p for _, p in DELIVERY_GRAPH.parents(c)] for c in ("sample", "token")}
+    none = F.array(v)
+    found = F.coalesce(*[F.when(F.size(x) > 0, x) for x in (instances(v, p) for p in paths["sample"])], none)
+    s = rows.select("raw_id", F.try_parse_json("payload").alias("_v")).select("raw_id", F.explode(found).alias("_v"))
+    lists = [_list(v, p[: p.index("[*]")]) for p in paths["token"]]
+    tokens = F.when(F.coalesce(*lists).isNotNull(), F.concat(*[instances(v, p) for p in paths["token"]]))
+    return s.select("raw_id", v.alias("sample"), tokens.alias("tokens"))

@@ -138,19 +138,22 @@ def token_checks(t: Column, r: Rules) -> list[tuple[str, Column]]:
     return [("token is no object", ~obj), *[(n, obj & F.coalesce(c, F.lit(False))) for n, c in rules]]
 
 
-def sample_checks(v: Column, r: Rules) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
-    """Checks before and behind those of the tokens."""
+def sample_checks(v: Column, r: Rules, given: Column | None = None) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
+    """Checks before and behind those of the tokens; ``given`` is the array of tokens where they are gathered from several paths, null if there is no list."""
     obj = _is(v, "OBJECT")
     tokens, version, meta = _at(v, "tokens"), _text(_at(v, "schema_version")), _at(v, "teacher_metadata")
-    n = F.size(F.try_variant_get(tokens, "$", "array<variant>"))
+    listed, n = _is(tokens, "ARRAY"), F.size(F.try_variant_get(tokens, "$", "array<variant>"))
+    absent = missing(tokens)
+    if given is not None:
+        listed, n, absent = given.isNotNull(), F.size(given), absent & given.isNull()
     first = [("sample is no object", ~obj)]
     if r.schema_version:
         first.append(("schema version", obj & F.coalesce((version != "") & (version != r.schema_version), F.lit(False))))
     first += [
-        ("tokens missing", obj & missing(tokens)),
-        ("tokens is no list", obj & ~missing(tokens) & ~_is(tokens, "ARRAY")),
-        ("tokens empty", obj & _is(tokens, "ARRAY") & (n == 0)),
-        ("too many tokens", obj & _is(tokens, "ARRAY") & (n > r.max_tokens)),
+        ("tokens missing", obj & absent),
+        ("tokens is no list", obj & ~absent & ~listed),
+        ("tokens empty", obj & listed & (n == 0)),
+        ("too many tokens", obj & listed & (n > r.max_tokens)),
     ]
     return first, [("teacher_metadata is no object", obj & ~missing(meta) & ~_is(meta, "OBJECT"))]
 
@@ -159,14 +162,15 @@ def _broken(checks: list[tuple[str, Column]], at: Column, base: int) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(at.cast("int").alias("token"), F.lit(base + k).alias("ord"), F.lit(n).alias("rule"))) for k, (n, c) in enumerate(checks)]))
 
 
-def violations(records: DataFrame, payload: str, rules: Rules = Rules()) -> DataFrame:
-    """``records`` with ``violations``, an array of (token, ord, rule) in the order found; token is 0-based, -1 before and a large number behind the tokens. Unreadable and null payloads violate 'unreadable'; so do NaN and infinity, which JSON lacks."""
-    first, last = sample_checks(F.col("_v"), rules)
-    tokens = F.coalesce(F.try_variant_get(F.col("_v"), "$['tokens']", "array<variant>"), F.expr("cast(array() as array<variant>)"))
-    inside = F.flatten(F.transform(tokens, lambda t, i: _broken(token_checks(t, rules), i, 100)))
+def violations(records: DataFrame, payload: str, rules: Rules = Rules(), tokens: str | None = None) -> DataFrame:
+    """With ``tokens``, an array column, ``payload`` is a parsed sample and these are its tokens. ``records`` with ``violations``, an array of (token, ord, rule) in the order found; token is 0-based, -1 before and a large number behind the tokens. Unreadable and null payloads violate 'unreadable'; so do NaN and infinity, which JSON lacks."""
+    given = F.col(tokens) if tokens else None
+    first, last = sample_checks(F.col("_v"), rules, given)
+    listed = F.coalesce(F.try_variant_get(F.col("_v"), "$['tokens']", "array<variant>") if given is None else given, F.expr("cast(array() as array<variant>)"))
+    inside = F.flatten(F.transform(listed, lambda t, i: _broken(token_checks(t, rules), i, 100)))
     every = F.concat(_broken(first, F.lit(-1), 0), inside, _broken(last, F.lit(2**31 - 1), 900))
     unreadable = F.array(F.struct(F.lit(-1).alias("token"), F.lit(-1).alias("ord"), F.lit("unreadable").alias("rule")))
-    return records.withColumn("_v", F.try_parse_json(payload)).withColumn("violations", F.when(F.col("_v").isNull(), unreadable).otherwise(every)).drop("_v")
+    return records.withColumn("_v", F.col(payload) if tokens else F.try_parse_json(payload)).withColumn("violations", F.when(F.col("_v").isNull(), unreadable).otherwise(every)).drop("_v")
 
 
 class InvalidRecord(ValueError):

@@ -94,9 +94,9 @@ def token_violations(spark, d):
 
 
 def record_violations(spark, d):
-    """Rules broken by the samples of all deliveries."""
+    """Rules broken by the samples of all deliveries, with tokens from every path; a delivery without sample counts as one broken record."""
     rows = table(spark, d, "raw_records").select("raw_id", "payload").distinct()
-    return validation.rule_counts(validation.violations(rows, "payload"))
+    return validation.rule_counts(validation.violations(inlining.delivered_samples(rows), "sample", tokens="tokens"))
 
 
 def json_typed(spark, d):

@@ -351,3 +351,23 @@ def test_registry():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "p3_found" in e.queries()
+
+
+def test_record_violations_on_every_path(spark, tmp_path, rows):
+    from lexiloom.plans import core_queries
+
+    bad = '{"phoneme": "", "language": "xx"}'
+    text = bad.replace('"', '\\"')
+    payloads = [
+        f'{{"tokens": [{bad}]}}',
+        f'{{"envelope": {{"sample": {{"tokens": [{bad}]}}}}}}',
+        f'{{"samples": [{{"tokens": [{bad}]}}, {{"tokens": [{bad}]}}]}}',
+        f'{{"phrases": [{{"words": [{{"tokens": [{bad}]}}]}}]}}',
+        f'{{"tokens": "[{text}]"}}',
+        "{broken",
+        '{"tokens": 3}',
+        "{}",
+    ]
+    spark.createDataFrame([(str(i), p) for i, p in enumerate(payloads)], "raw_id string, payload string").write.parquet(f"{tmp_path}/raw_records.parquet")
+    got = {r.rule: (r.records, r.times) for r in core_queries.record_violations(spark, str(tmp_path)).collect()}
+    assert got == {"phoneme missing": (6, 6), "language not supported": (6, 6), "labels missing": (6, 6), "unreadable": (1, 1), "tokens is no list": (1, 1), "tokens missing": (1, 1)}
