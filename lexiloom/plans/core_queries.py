@@ -148,7 +148,7 @@ def top_unknown(spark, d):
 
 
 def missing_classes(spark, d):
-    return profile.missing_classes(_tokens(spark, d, "viseme_id", "strength").where("strength > 99.5"))
+    return profile.missing_classes(_tokens(spark, d, "viseme_id"))
 
 
 def strength_histogram(spark, d):

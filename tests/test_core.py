@@ -371,3 +371,11 @@ def test_record_violations_on_every_path(spark, tmp_path, rows):
     spark.createDataFrame([(str(i), p) for i, p in enumerate(payloads)], "raw_id string, payload string").write.parquet(f"{tmp_path}/raw_records.parquet")
     got = {r.rule: (r.records, r.times) for r in core_queries.record_violations(spark, str(tmp_path)).collect()}
     assert got == {"phoneme missing": (6, 6), "language not supported": (6, 6), "labels missing": (6, 6), "unreadable": (1, 1), "tokens is no list": (1, 1), "tokens missing": (1, 1)}
+
+
+def test_missing_classes_reads_every_strength(spark, tmp_path):
+    from lexiloom.plans import core_queries
+
+    t = [("s", i, i, 50.0) for i in range(16)] + [("s", 16, 16, None)]
+    spark.createDataFrame(t, "sample_id string, token_index long, viseme_id long, strength double").write.parquet(f"{tmp_path}/tokens.parquet")
+    assert [r.viseme_id for r in core_queries.missing_classes(spark, str(tmp_path)).collect()] == [17]
