@@ -430,3 +430,9 @@ def test_schemas():
 
     assert set(sql.oracle_sql()) <= set(queries.queries())
     assert {f"p{n}_found" for n in (1, 2, 5, 6, 7, 10)} | {"p8_ids"} <= set(queries.queries())
+
+
+def test_problem_4_is_measured_by_its_percentiles():
+    from lexiloom.llm import queries
+
+    assert next(q for q in queries.queries() if q.startswith("p4_")) == "p4_percentiles"
