@@ -131,12 +131,13 @@ def leaf(v: Column, path: str, kind: str) -> Column:
     return _get(v, path, kind)
 
 
-def shred(records: DataFrame, graph: SchemaGraph, keys: list[str], payload: str, choose_first: frozenset[str] = frozenset()) -> dict[str, DataFrame]:
+def shred(records: DataFrame, graph: SchemaGraph, keys: list[str], payload: str, choose_first: frozenset[str] = frozenset(), carried: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """One frame per table of ``graph``.
 
     ``records`` has the key columns and the JSON text. Unreadable, empty and null payloads give no row. A table below
     the root has the keys, for each table above it ``<table>_pos`` (1-based position, the foreign key to that table), and
     its own ``<name>_pos``; positions count all elements, null and scalar ones too, but only objects become rows.
+    ``carried`` (table -> one of its leaves) gives that leaf to the tables below too, so that they need no join for it.
     Elements reached along several edges from one parent are numbered through in the order of the edges; those in
     ``choose_first`` take only the first edge along which there is anything.
     A recursive element gets ``<name>_path`` (positions from its first ancestor down) and is unrolled level by level until
@@ -178,8 +179,11 @@ def shred(records: DataFrame, graph: SchemaGraph, keys: list[str], payload: str,
                         *above, pos, F.concat(F.col(cols[-1]), F.array((F.col("_i") + 1).cast("long"))).alias(cols[-1]), F.col("_e").alias("_v")
                     ).where(is_object(F.col("_v")))
                     rows = rows.unionByName(level)
+            if carried and name in carried:
+                own = graph.elements[name].leaves[carried[name]]
+                rows, cols = rows.withColumn(carried[name], leaf(F.col("_v"), *own)), [*cols, carried[name]]
             live[name] = (cols, rows)
-    return {n: frame.select(*cols, *[leaf(F.col("_v"), p, t).alias(c) for c, (p, t) in graph.columns(n).items()]) for n, (cols, frame) in live.items()}
+    return {n: frame.select(*cols, *[leaf(F.col("_v"), p, t).alias(c) for c, (p, t) in graph.columns(n).items() if c not in cols]) for n, (cols, frame) in live.items()}
 
 
 #: Deliveries of samples. A payload is a sample, wraps one in an envelope, or lists several; tokens hang directly below a sample or below its phrases and words.
@@ -228,14 +232,9 @@ def delivered_tokens(raw_records: DataFrame) -> DataFrame:
     """``raw_id, sample_pos, sample_id, token_index`` of every token object: the token table joined to its parent sample on the foreign key (carried along instead of joined)."""
     rows = raw_records.select("raw_id", "payload").where(F.col("payload").isNotNull() & (F.trim("payload") != "")).distinct()
     g = DELIVERY_GRAPH
-    key = SchemaGraph("delivery", [Element("delivery"), Element("sample"), Element("token")], [e for e in g.edges if {e.parent, e.child} <= {"delivery", "sample", "token"}])
-    v = F.col("_v")
-    ways = {c: [p for _, p in key.parents(c)] for c in ("sample", "token")}
-    samples = F.coalesce(*[F.when(F.size(x) > 0, x) for x in (instances(v, p) for p in ways["sample"])])
-    s = rows.select("raw_id", F.try_parse_json("payload").alias("_v")).select("raw_id", F.posexplode(samples).alias("_p", "_v")).where(is_object(v))
-    s = s.select("raw_id", (F.col("_p") + 1).cast("long").alias("sample_pos"), F.coalesce(_get(v, "sample_id", "string"), F.lit("")).alias("sample_id"), v)
-    t = s.select("raw_id", "sample_pos", "sample_id", F.posexplode(F.concat(*[instances(v, p) for p in ways["token"]])).alias("_i", "_v")).where(is_object(v))
-    return t.select("raw_id", "sample_pos", "sample_id", (F.col("_i") + 1).cast("long").alias("token_index"))
+    key = SchemaGraph("delivery", [Element("delivery"), Element("sample", {"sample_id": ("sample_id", "string")}), Element("token")], [e for e in g.edges if {e.parent, e.child} <= {"delivery", "sample", "token"}])
+    t = shred(rows, key, ["raw_id"], "payload", choose_first=frozenset({"sample"}), carried={"sample": "sample_id"})["token"]
+    return t.select("raw_id", "sample_pos", F.coalesce("sample_id", F.lit("")).alias("sample_id"), F.col("token_pos").alias("token_index"))
 
 
 def delivered_samples(rows: DataFrame) -> DataFrame:

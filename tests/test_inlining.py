@@ -47,3 +47,13 @@ def test_recursive_element(spark, rows):
 def test_long_payload(spark):
     big = json.dumps({"sample_id": "a", "text": "字" * 300_000, "tokens": tokens(*["x"] * 20_000)})
     assert delivered_tokens(spark.createDataFrame([(1, big, None, None)], SCHEMA)).count() == 20_000
+
+
+def test_delivered_tokens_pass_through_shred(spark, rows, monkeypatch):
+    from lexiloom.operators import inlining
+
+    seen, real = [], inlining.shred
+    monkeypatch.setattr(inlining, "shred", lambda *a, **k: seen.append(a) or real(*a, **k))
+    raw = spark.createDataFrame([("a", '{"samples": [{"sample_id": "x", "tokens": [{}, null, {}]}, {"tokens": [{}]}]}'), ("b", '{"sample_id": "y", "tokens": [{}]}')], "raw_id string, payload string")
+    assert rows(inlining.delivered_tokens(raw)) == [("a", 1, "x", 1), ("a", 1, "x", 3), ("a", 2, "", 1), ("b", 1, "y", 1)]
+    assert len(seen) == 1
