@@ -101,6 +101,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
 
 
+def p9_corpus_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares reached where the mixture is as large as the listed corpus: small sources are repeated up to their cap and may fall short."""
+    sized = cut(_sized(spark, d), "sized")
+    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    return mixing.mix(sized, table(spark, d, "mix_targets"), total)[1]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return encoding.garbled(table(spark, d, "documents")).select("doc_id")
 
@@ -111,4 +118,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p6_found, p6_report, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p10_found, p10_restored)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p6_found, p6_report, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p9_corpus_shares, p10_found, p10_restored)}

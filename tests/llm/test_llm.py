@@ -436,3 +436,14 @@ def test_problem_4_is_measured_by_its_percentiles():
     from lexiloom.llm import queries
 
     assert next(q for q in queries.queries() if q.startswith("p4_")) == "p4_percentiles"
+
+
+def test_mixture_of_corpus_size(spark, tmp_path):
+    from lexiloom.llm import queries
+
+    docs = [(i, "big", "some words " * 20) for i in range(40)] + [(100, "small", "word")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 2)], "source string, target_weight double, max_repeats int").write.parquet(f"{tmp_path}/mix_targets.parquet")
+    got = {r.source: r for r in queries.p9_corpus_shares(spark, str(tmp_path)).collect()}
+    assert got["small"].most_repeats == 2 and got["small"].share < 0.1 < 0.9 < got["big"].share
+    assert got["big"].tokens > got["big"].available_tokens * 0.4
