@@ -1,10 +1,12 @@
-"""Byte-level BPE ids of a corpus by replaying merges over blocks of distinct words.
-
-Each task gathers the distinct words of a block, lays their bytes out as one array with links to the previous and next
-living symbol, and keeps an inverted index from merge rank to the positions of that pair. Merges are applied in rank order,
-each to all its positions at once; only the neighbours of merged positions are looked up again. A pair that a merge
-creates ranks behind that merge, so one pass over the ranks is the greedy encoding. Blocks need nothing from each other:
-no shuffle, and memory is bounded by the block.
+"""Byte-level BPE ids of a corpus by replaying the merges once over its distinct words.
+
+Documents are split into words once and written in blocks: a block has its distinct words, and each of its documents is a list of
+places among them. The distinct words of all blocks form the corpus's word table. Merges are replayed over large partitions of that table:
+the words' bytes are laid out as one array with links to the previous and next living symbol, and an inverted index leads from a merge's
+rank to the positions of that pair. Merges are applied in rank order, each to all its positions at once; only the neighbours of
+merged positions are looked up again. A pair that a merge creates ranks behind that merge, so one pass over the ranks is the
+greedy encoding. The ids of the words go back to the blocks by a join: a word costs a row per block it is in, however
+often it occurs there, and the most frequent word is a row per block, which AQE can split since both sides are written tables.
 """
 
 from __future__ import annotations
@@ -16,13 +18,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..storage import cut, measured_cut, skew_safe, tidy
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the public pre-tokenizer pattern of byte_bpe_50k.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of distinct words replayed together.
-BLOCK_BYTES = 2_000_000
+#: Bytes of distinct words replayed together, and words of a partition of the word table.
+BLOCK_BYTES, PART_WORDS = 8_000_000, 100_000
+#: Text characters and documents after which a block of documents ends. A longer document is a block of its own.
+BLOCK_CHARS, BLOCK_DOCUMENTS = 2_000_000, 4_000
 SHIFT = 20
 
 
@@ -113,41 +121,63 @@ def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
     return sym[alive], np.bincount(owner, minlength=len(words))
 
 
-def encode_texts(texts: list[str | None], m: Merges, split=regex.compile(PATTERN)) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after the other, and the number of ids of each; null and empty texts have none."""
-    known: dict[str, int] = {}
-    seq: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for k, t in enumerate(texts):
-        if t:
-            found = split.findall(t)
+def split_blocks(batches, split=regex.compile(PATTERN)):
+    """Blocks of ``(key, text)`` batches: (keys, number of words of each document, places of the words, distinct words). Null and empty texts have no words."""
+    keys, counts, seq, known, size = [], [], [], {}, 0
+
+    def block():
+        return pa.chunked_array(keys).combine_chunks(), np.array(counts, np.int32), np.array(seq, np.int32), list(known)
+
+    for batch in batches:
+        texts, start = batch.column(1).to_pylist(), 0
+        for k, t in enumerate(texts):
+            found = split.findall(t) if t else []
             seq.extend([known.setdefault(w, len(known)) for w in found])
-            counts[k] = len(found)
-    words = [w.encode("utf-8", "replace") for w in known]
-    flat, sizes, block, total = [], [], [], 0
-    for w in words:
-        block.append(w)
-        total += len(w)
-        if total >= BLOCK_BYTES:
-            f, s = replay(block, m)
+            counts.append(len(found))
+            size += len(t or "")
+            if size >= BLOCK_CHARS or len(counts) >= BLOCK_DOCUMENTS:
+                keys.append(batch.column(0).slice(start, k + 1 - start))
+                yield block()
+                keys, counts, seq, known, size, start = [], [], [], {}, 0, k + 1
+        if start < len(texts):
+            keys.append(batch.column(0).slice(start))
+    if counts:
+        yield block()
+
+
+def replay_words(words: list[str], m: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words one after the other, and the number of ids of each."""
+    flat, sizes, block, total = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], 0
+    for k, w in enumerate(words):
+        block.append(w.encode("utf-8", "replace"))
+        total += len(block[-1])
+        if total >= BLOCK_BYTES or k + 1 == len(words):
+            f, n = replay(block, m)
             flat.append(f)
-            sizes.append(s)
+            sizes.append(n)
             block, total = [], 0
-    if block:
-        f, s = replay(block, m)
-        flat.append(f)
-        sizes.append(s)
-    if not flat:
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
-    ids, size = np.concatenate(flat), np.concatenate(sizes)
-    start = np.cumsum(size) - size
-    at = np.array(seq, np.int64)
-    reps = size[at]
-    shift = np.repeat(start[at] - (np.cumsum(reps) - reps), reps)
-    owner = np.repeat(np.arange(len(texts)), counts)
-    return ids[shift + np.arange(len(shift))], np.bincount(owner, weights=reps, minlength=len(texts)).astype(np.int64)
+    return np.concatenate(flat), np.concatenate(sizes)
+
+
+def _lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
+def word_ids(words: DataFrame, m, parts: int) -> DataFrame:
+    """``word, ids`` of distinct words, merges replayed over ``parts`` partitions of them. ``m`` is the broadcast merge table."""
+
+    def run(batches):
+        held = [b.column(0).combine_chunks() if isinstance(b.column(0), pa.ChunkedArray) else b.column(0) for b in batches]
+        if held:
+            every = pa.chunked_array(held)
+            for at in range(0, len(every), 4 * PART_WORDS):
+                some = every.slice(at, 4 * PART_WORDS).combine_chunks()
+                yield pa.RecordBatch.from_arrays([some, _lists(*replay_words(some.to_pylist(), m.value))], names=["word", "ids"])
+
+    return words.repartition(parts, "word").mapInArrow(run, "word string, ids array<int>")
+
+
+@tidy
 def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/byte_bpe_50k.json", only_count: bool = False) -> DataFrame:
     """``key, ids`` (or ``key, n_tokens``) of every row, without special tokens; their strings in a text are ordinary text.
 
@@ -155,18 +185,40 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
     merge table (fixed size) is broadcast.
     """
     spark = documents.sparkSession
-    table = spark.sparkContext.broadcast(load_merges(path))
+    merges = spark.sparkContext.broadcast(load_merges(path))
     kind = documents.schema[key].dataType.simpleString()
 
-    def run(batches):
-        m = table.value
+    def blocks(batches):
+        part = TaskContext.get().partitionId()
+        for k, (keys, counts, seq, words) in enumerate(split_blocks(batches)):
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), one(keys), one(pa.array(counts)), one(pa.array(seq)), one(pa.array(words, pa.string()))], names=["block", "keys", "counts", "seq", "words"])
+
+    with skew_safe(spark):
+        held = cut(documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(blocks, f"block long, keys array<{kind}>, counts array<int>, seq array<int>, words array<string>"), "blocks")
+        distinct, seen = measured_cut(held.select(F.explode("words").alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word"), "words")
+        table = cut(word_ids(distinct, merges, max(1, -(-seen["n"] // PART_WORDS))), "word-ids")
+        what = F.size("ids").alias("x") if only_count else F.col("ids").alias("x")
+        places = held.select("block", F.posexplode("words").alias("place", "word")).join(table.select("word", what), "word").select("block", "place", "x")
+        found = places.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("w")).select("block", F.col("w.x").alias("found"))
+        both = cut(held.drop("words").join(found, "block", "left").select("keys", "counts", "seq", "found"), "encoded")
+
+    def join(batches):
         for batch in batches:
-            for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
-                ids, n = encode_texts(part.column(1).to_pylist(), m)
+            for row in range(batch.num_rows):
+                keys, counts, seq, got = (batch.column(c)[row].values for c in range(4))
+                keys, counts, seq = keys, counts.to_numpy(), seq.to_numpy()
+                owner = np.repeat(np.arange(len(counts)), counts)
                 if only_count:
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n)], names=[key, "n_tokens"])
-                else:
-                    offsets = pa.array(np.r_[0, np.cumsum(n)].astype(np.int32))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], names=[key, "ids"])
-
-    return documents.select(key, text).mapInArrow(run, f"{key} {kind}, " + ("n_tokens long" if only_count else "ids array<int>"))
+                    sizes = got.to_numpy().astype(np.int64) if got is not None else np.zeros(0, np.int64)
+                    n = np.bincount(owner, weights=sizes[seq], minlength=len(counts)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(n)], names=[key, "n_tokens"])
+                    continue
+                ids = got.flatten().to_numpy() if got is not None else np.zeros(0, np.int32)
+                size = np.diff(got.offsets.to_numpy()).astype(np.int64) if got is not None else np.zeros(0, np.int64)
+                start, reps = np.cumsum(size) - size, size[seq]
+                shift = np.repeat(start[seq] - (np.cumsum(reps) - reps), reps)
+                n = np.bincount(owner, weights=reps, minlength=len(counts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([keys, _lists(ids[shift + np.arange(len(shift))], n)], names=[key, "ids"])
+
+    return both.mapInArrow(join, f"{key} {kind}, " + ("n_tokens long" if only_count else "ids array<int>"))

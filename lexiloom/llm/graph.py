@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, drop_cut, measured_cut, skew_safe
+from ..storage import cut, drop_cut, measured_cut, skew_safe, tidy
 
 
 def simple(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,7 @@ def _flatten(parents: DataFrame) -> DataFrame:
             return parents
 
 
+@tidy
 def hook_and_shortcut(edges: DataFrame) -> DataFrame:
     """``x, p`` for each vertex of ``edges``: p is the smallest vertex of its component.
 
@@ -92,6 +93,7 @@ def _chains(two: DataFrame) -> DataFrame | None:
             return ptr.groupBy("x").agg(F.min("at").alias("e1"), F.max("at").alias("e2"))
 
 
+@tidy
 def strip_compress_solve(edges: DataFrame) -> DataFrame:
     """``x, p`` for each vertex: p is the smallest vertex of its component.
 
@@ -118,7 +120,7 @@ def strip_compress_solve(edges: DataFrame) -> DataFrame:
                 pointers.append(leaves)
                 gone.append(leaves.select(F.least("x", "p").alias("u"), F.greatest("x", "p").alias("v")))
                 # A vertex that a leaf points to stays this round.
-                two = two.join(leaves.select(F.col("p").alias("x")), "x", "left_anti")
+                two = two.join(leaves.select(F.col("p").alias("x")).distinct(), "x", "left_anti")
             inner = _chains(two) if kinds["two"] else None
             if inner is not None:
                 inner = cut(inner, "chains")
@@ -142,13 +144,14 @@ def strip_compress_solve(edges: DataFrame) -> DataFrame:
         roots = vertices.join(removed.select("x"), "x", "left_anti").join(core, "x", "left").select("x", F.coalesce("p", "x").alias("p"))
         forest = _flatten(cut(removed.unionByName(roots), "forest"))
         # The core's label is the smallest core vertex; the component's is the smallest of all.
-        least = forest.groupBy("p").agg(F.min("x").alias("g"))
-        return forest.join(least, "p").select("x", F.col("g").alias("p"))
+        least = cut(forest.groupBy("p").agg(F.min("x").alias("g")), "least")
+        return cut(forest.join(least, "p").select("x", F.col("g").alias("p")), "labels")
 
 
+@tidy
 def pair_groups(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """``sample_id, group_id`` of every id in a row with both sides present; an id matched only with itself is its own group. Repeats, order and other columns do not matter."""
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    linked = cut(strip_compress_solve(rows), "groups")
+    linked = strip_compress_solve(rows)
     alone = rows.where("u = v").select(F.col("u").alias("x")).distinct().join(linked, "x", "left_anti").select("x", F.col("x").alias("p"))
     return linked.unionByName(alone).select(F.col("x").alias("sample_id"), F.col("p").alias("group_id"))

@@ -309,12 +309,18 @@ def test_ids_equal_the_library(spark):
     assert bpe.encode(df.limit(0)).count() == 0
 
 
-def test_small_blocks(monkeypatch):
+def test_small_blocks(spark, monkeypatch):
     m = bpe.load_merges(f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
-    whole = bpe.encode_texts(TEXTS[:50], m)
+    words = sorted({w for t in TEXTS if t for w in bpe.regex.findall(bpe.PATTERN, t)})
+    whole = bpe.replay_words(words, m)
+    df = spark.createDataFrame(list(enumerate(TEXTS[:40])), "doc_id long, text string")
+    ids = {r.doc_id: r.ids for r in bpe.encode(df).collect()}
     monkeypatch.setattr(bpe, "BLOCK_BYTES", 7)
-    parts = bpe.encode_texts(TEXTS[:50], m)
-    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert all((a == b).all() for a, b in zip(whole, bpe.replay_words(words, m)))
+    for chars, documents in ((1, 10), (10**6, 1), (50, 3)):
+        monkeypatch.setattr(bpe, "BLOCK_CHARS", chars)
+        monkeypatch.setattr(bpe, "BLOCK_DOCUMENTS", documents)
+        assert {r.doc_id: r.ids for r in bpe.encode(df).collect()} == ids
 
 
 # 9. Mixing
