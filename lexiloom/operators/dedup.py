@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SILENT, text_signature
-from ..storage import cut
+from ..storage import cut, skew_safe, tidy
 from .components import components
 
 # Shingle length, sketch size, largest bucket, threshold.
@@ -46,7 +46,7 @@ def signatures(samples: DataFrame, seqs: DataFrame) -> DataFrame:
 
 def exact_edges(sigs: DataFrame) -> DataFrame:
     """``a, b``: a star around the first member of each signature that several samples have."""
-    first = sigs.groupBy("signature").agg(F.min("sample_id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    first = cut(sigs.groupBy("signature").agg(F.min("sample_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("signature", "a"), "first")
     return sigs.join(first, "signature").where("sample_id <> a").select("a", F.col("sample_id").alias("b"))
 
 
@@ -92,6 +92,7 @@ def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("ha"), F.col("hb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+@tidy
 def duplicate_groups(samples: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH, cap: int = BUCKET, exact: bool = True) -> dict[str, DataFrame]:
     """Frames: ``groups(sample_id, root)`` of every sample with tokens, ``near(a, b, similarity)``, ``exact(a, b)``, ``candidates(a, b)``, ``skipped(hash, n)``.
 

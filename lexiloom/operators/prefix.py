@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import checked_broadcast, cut
+from ..storage import checked_broadcast, cut, tidy
 
 
+@tidy
 def running_total(df: DataFrame, by: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """``df`` with ``out``: the sum of ``value`` over the rows of the same ``by`` up to and with this one, in ``order`` (which must be unique within ``by``).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import checked_broadcast, cut
+from ..storage import checked_broadcast, cut, tidy
 from .prefix import running_total
 
 # Default ratios and the deviation that is reported.
@@ -50,6 +50,7 @@ def greedy_counts(sizes: dict[int, int], ratios: dict[str, float]) -> list[tuple
     return out
 
 
+@tidy
 def assign(groups: DataFrame, ratios: dict[str, float] | None = None, seed: int = 42) -> DataFrame:
     """``sample_id, root, split``; only the histogram of group sizes reaches the driver. Which groups of a size go where follows a seeded hash."""
     ratios = ratios or RATIOS

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import batching, dedup, inlining, linguistic, metrics, nesting, profile, score, split, validation, vocab
-from ..storage import cut, table
+from ..storage import cut, table, tidy
 
 
 def _tokens(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -430,4 +430,4 @@ def run_islands(spark, d):
 
 
 def queries() -> dict:
-    return {k: v for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}
+    return {k: tidy(v) for k, v in globals().items() if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_") and k != "queries"}
