@@ -1,12 +1,14 @@
-"""Byte-level BPE ids of a corpus by replaying the merges once over its distinct words.
+"""Byte-level BPE ids of a corpus by replaying the merges over its distinct words.
 
 Documents are split into words once and written in blocks: a block has its distinct words, and each of its documents is a list of
-places among them. The distinct words of all blocks form the corpus's word table. Merges are replayed over large partitions of that table:
-the words' bytes are laid out as one array with links to the previous and next living symbol, and an inverted index leads from a merge's
-rank to the positions of that pair. Merges are applied in rank order, each to all its positions at once; only the neighbours of
-merged positions are looked up again. A pair that a merge creates ranks behind that merge, so one pass over the ranks is the
-greedy encoding. The ids of the words go back to the blocks by a join: a word costs a row per block it is in, however
-often it occurs there, and the most frequent word is a row per block, which AQE can split since both sides are written tables.
+places among them. The words of all blocks are partitioned and sorted by word, so equal words meet and each distinct word is replayed
+once, however many documents and blocks have it: the words' bytes are laid out as one array with links to the previous and next
+living symbol, and an inverted index leads from a merge's rank to the positions of that pair. Merges are applied in rank order, each to all its
+positions at once; only the neighbours of merged positions are looked up again. A pair that a merge creates ranks behind that merge,
+so one pass over the ranks is the greedy encoding. The ids then go back to the blocks, sorted by place.
+
+A word is one row per block that has it. So that the most frequent words make no straggler, more than ``GROUP`` blocks form several groups, and a
+word is replayed once in each.
 """
 
 from __future__ import annotations
@@ -17,18 +19,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, measured_cut, skew_safe, tidy
+from ..storage import measured_cut, tidy
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the public pre-tokenizer pattern of byte_bpe_50k.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Bytes of distinct words replayed together, and words of a partition of the word table.
-BLOCK_BYTES, PART_WORDS = 8_000_000, 100_000
+#: Bytes of distinct words replayed together, and rows read for it at most.
+BLOCK_BYTES, BLOCK_ROWS = 8_000_000, 1_000_000
+#: Blocks of documents among which a word is replayed once.
+GROUP = 1 << 16
 #: Text characters and documents after which a block of documents ends. A longer document is a block of its own.
 BLOCK_CHARS, BLOCK_DOCUMENTS = 2_000_000, 4_000
 SHIFT = 20
@@ -163,18 +168,40 @@ def _lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
-def word_ids(words: DataFrame, m, parts: int) -> DataFrame:
-    """``word, ids`` of distinct words, merges replayed over ``parts`` partitions of them. ``m`` is the broadcast merge table."""
+def replay_sorted(batches, m: Merges, only_count: bool):
+    """``block, place, x`` of rows (word, block, place) sorted by word: x is the word's ids or their number. Each distinct word is replayed once."""
 
-    def run(batches):
-        held = [b.column(0).combine_chunks() if isinstance(b.column(0), pa.ChunkedArray) else b.column(0) for b in batches]
-        if held:
-            every = pa.chunked_array(held)
-            for at in range(0, len(every), 4 * PART_WORDS):
-                some = every.slice(at, 4 * PART_WORDS).combine_chunks()
-                yield pa.RecordBatch.from_arrays([some, _lists(*replay_words(some.to_pylist(), m.value))], names=["word", "ids"])
+    def emit(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        runs = pc.run_end_encode(t.column("word").chunk(0))
+        flat, n = replay_words(runs.values.to_pylist(), m)
+        at = pa.array(np.repeat(np.arange(len(n)), np.diff(np.r_[0, runs.run_ends.to_numpy()])))
+        x = pa.array(n.astype(np.int32)) if only_count else _lists(flat, n)
+        return pa.RecordBatch.from_arrays([t.column("block").chunk(0), t.column("place").chunk(0), x.take(at)], names=["block", "place", "x"])
 
-    return words.repartition(parts, "word").mapInArrow(run, "word string, ids array<int>")
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        held.append(batch)
+        rows, size = rows + batch.num_rows, size + batch.column(0).nbytes
+        if rows >= BLOCK_ROWS or size >= BLOCK_BYTES:
+            yield emit(held)
+            held, rows, size = [], 0, 0
+    if rows:
+        yield emit(held)
+
+
+def _complete(batches):
+    """Tables of whole blocks from batches sorted by (block, place): each begins with the row of its documents, at place -1."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        held = t if held is None else pa.concat_tables([held, t])
+        starts = np.flatnonzero(held.column("place").to_numpy() == -1)
+        for a, b in zip(starts[:-1], starts[1:]):
+            yield held.slice(a, b - a)
+        held = held.slice(starts[-1])
+    if held is not None and held.num_rows:
+        yield held
 
 
 @tidy
@@ -194,31 +221,31 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", path:
             one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
             yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), one(keys), one(pa.array(counts)), one(pa.array(seq)), one(pa.array(words, pa.string()))], names=["block", "keys", "counts", "seq", "words"])
 
-    with skew_safe(spark):
-        held = cut(documents.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(blocks, f"block long, keys array<{kind}>, counts array<int>, seq array<int>, words array<string>"), "blocks")
-        distinct, seen = measured_cut(held.select(F.explode("words").alias("word")).groupBy("word").agg(F.lit(1).alias("one")).select("word"), "words")
-        table = cut(word_ids(distinct, merges, max(1, -(-seen["n"] // PART_WORDS))), "word-ids")
-        what = F.size("ids").alias("x") if only_count else F.col("ids").alias("x")
-        places = held.select("block", F.posexplode("words").alias("place", "word")).join(table.select("word", what), "word").select("block", "place", "x")
-        found = places.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("w")).select("block", F.col("w.x").alias("found"))
-        both = cut(held.drop("words").join(found, "block", "left").select("keys", "counts", "seq", "found"), "encoded")
+    text_column = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    held, seen = measured_cut(text_column.mapInArrow(blocks, f"block long, keys array<{kind}>, counts array<int>, seq array<int>, words array<string>"), "blocks")
+    groups = -(-seen["n"] // GROUP)
+    places = held.select("block", F.posexplode("words").alias("place", "word")).select("word", "block", "place", F.pmod(F.xxhash64("block"), F.lit(max(1, groups))).alias("g"))
+    kind_x = "int" if only_count else "array<int>"
+    found = places.repartition("word", "g").sortWithinPartitions("g", "word").select("word", "block", "place").mapInArrow(lambda b: replay_sorted(b, merges.value, only_count), f"block long, place int, x {kind_x}")
+    # Empty lists, not nulls: Spark's Arrow writer passes over all nulls since the last list at each row.
+    none = lambda c: F.expr(f"cast(array() as {held.schema[c].dataType.simpleString()})").alias(c)
+    documents_of = held.select("block", F.lit(-1).alias("place"), "keys", "counts", "seq", F.lit(0).alias("x") if only_count else F.expr("cast(array() as array<int>)").alias("x"))
+    both = documents_of.unionByName(found.select("block", "place", none("keys"), none("counts"), none("seq"), "x")).repartition("block").sortWithinPartitions("block", "place")
 
     def join(batches):
-        for batch in batches:
-            for row in range(batch.num_rows):
-                keys, counts, seq, got = (batch.column(c)[row].values for c in range(4))
-                keys, counts, seq = keys, counts.to_numpy(), seq.to_numpy()
-                owner = np.repeat(np.arange(len(counts)), counts)
-                if only_count:
-                    sizes = got.to_numpy().astype(np.int64) if got is not None else np.zeros(0, np.int64)
-                    n = np.bincount(owner, weights=sizes[seq], minlength=len(counts)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(n)], names=[key, "n_tokens"])
-                    continue
-                ids = got.flatten().to_numpy() if got is not None else np.zeros(0, np.int32)
-                size = np.diff(got.offsets.to_numpy()).astype(np.int64) if got is not None else np.zeros(0, np.int64)
-                start, reps = np.cumsum(size) - size, size[seq]
-                shift = np.repeat(start[seq] - (np.cumsum(reps) - reps), reps)
-                n = np.bincount(owner, weights=reps, minlength=len(counts)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([keys, _lists(ids[shift + np.arange(len(shift))], n)], names=[key, "ids"])
+        for t in _complete(batches):
+            keys, counts, seq = (t.column(c).chunk(0)[0].values for c in ("keys", "counts", "seq"))
+            counts, seq = counts.to_numpy(), seq.to_numpy()
+            owner = np.repeat(np.arange(len(counts)), counts)
+            x = t.column("x").slice(1).combine_chunks()
+            if only_count:
+                n = np.bincount(owner, weights=x.to_numpy()[seq], minlength=len(counts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n)], names=[key, "n_tokens"])
+                continue
+            size = pc.list_value_length(x).to_numpy().astype(np.int64)
+            start, reps = np.cumsum(size) - size, size[seq]
+            shift = np.repeat(start[seq] - (np.cumsum(reps) - reps), reps)
+            n = np.bincount(owner, weights=reps, minlength=len(counts)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([keys, _lists(x.flatten().to_numpy()[shift + np.arange(len(shift))], n)], names=[key, "ids"])
 
     return both.mapInArrow(join, f"{key} {kind}, " + ("n_tokens long" if only_count else "ids array<int>"))
