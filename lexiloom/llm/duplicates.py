@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import checked_broadcast, cut
-from . import features, graph, looks, similar, splits
+from ..storage import checked_broadcast, cut, skew_safe, tidy
+from . import cosine, features, graph, looks, rtree, similar, splits
 
 TEXT_ALIKE, SPEECH_ALIKE = 0.6, 0.8
 
@@ -44,7 +44,7 @@ def alike_texts(samples: DataFrame, form: looks.Form) -> tuple[DataFrame, DataFr
     """Class pairs, members, and classes with copies."""
     members, sizes, letters = _text_sets(samples, form)
     sets = cut(features.text_runs(letters).withColumn("flag", F.lit(3)), "sets")
-    return cut(similar.alike(sets, similar.Jaccard(TEXT_ALIKE)), "alike"), members, sizes.where("copies > 1").select("id")
+    return similar.alike(sets, rtree.RTree(TEXT_ALIKE)), members, sizes.where("copies > 1").select("id")
 
 
 def alike_speech(tokens: DataFrame, inventory: DataFrame, form: looks.Form) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -53,9 +53,10 @@ def alike_speech(tokens: DataFrame, inventory: DataFrame, form: looks.Form) -> t
     members, sizes = similar.classes(seqs.select("sample_id", "h1", "h2"), ["h1", "h2"])
     one = seqs.join(sizes.select(F.col("id").alias("sample_id")), "sample_id").select(F.col("sample_id").alias("id"), "codes")
     sets = cut(features.sequence_runs(one).withColumn("flag", F.lit(3)), "sets")
-    return cut(similar.alike(sets, similar.Jaccard(SPEECH_ALIKE)), "alike"), members, sizes.where("copies > 1").select("id")
+    return similar.alike(sets, rtree.RTree(SPEECH_ALIKE)), members, sizes.where("copies > 1").select("id")
 
 
+@tidy
 def near_duplicates(samples: DataFrame, tokens: DataFrame, inventory: DataFrame) -> DataFrame:
     """``sample_a, sample_b``: samples whose texts or phoneme sequences are alike, each pair once."""
     form = looks.learn_form(samples, "text")
@@ -63,6 +64,7 @@ def near_duplicates(samples: DataFrame, tokens: DataFrame, inventory: DataFrame)
     return out.distinct()
 
 
+@tidy
 def duplicate_groups(samples: DataFrame, tokens: DataFrame, inventory: DataFrame) -> DataFrame:
     """``sample_id, group_id, links`` of every sample: its group's smallest sample over all alike pairs, and the number of alike classes its own is linked to. Copies are not expanded into pairs."""
     form = looks.learn_form(samples, "text")
@@ -78,6 +80,7 @@ def duplicate_groups(samples: DataFrame, tokens: DataFrame, inventory: DataFrame
     return every.join(labels.withColumnRenamed("x", "sample_id"), "sample_id", "left").join(links, "sample_id", "left").select("sample_id", F.coalesce("p", "sample_id").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+@tidy
 def split_overlaps(samples: DataFrame, members: DataFrame) -> DataFrame:
     """``sample_a, sample_b, train_sample, other_sample, other_split``: each pair of a sample now in train and one now in another split whose texts are alike."""
     form = looks.learn_form(samples, "text")
@@ -87,10 +90,10 @@ def split_overlaps(samples: DataFrame, members: DataFrame) -> DataFrame:
     sided = cut(inside.join(now.select("sample_id", "split_name", side.alias("side")), "sample_id"), "sided")
     flags = sided.groupBy("id").agg(F.bit_or("side").alias("flag"))
     sets = cut(features.text_runs(letters).join(flags, "id"), "sets")
-    pairs = cut(similar.alike(sets, similar.Cosine(TEXT_ALIKE)), "alike")
+    pairs = similar.alike(sets, cosine.Cosine(TEXT_ALIKE))
     both = flags.where("flag = 3").select(F.col("id").alias("a"), F.col("id").alias("b"))
     ways = pairs.unionByName(both).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    parts = sided.groupBy("id", "side").agg(F.ceil(F.count("*") / similar.SPREAD).cast("int").alias("parts"))
+    parts = cut(sided.groupBy("id", "side").agg(F.ceil(F.count("*") / similar.SPREAD).cast("int").alias("parts")), "parts")
     dealt = cut(sided.join(parts, ["id", "side"]).select("id", "side", "sample_id", "split_name", F.pmod(F.xxhash64("sample_id"), F.col("parts")).cast("int").alias("part")), "dealt")
     work = ways.join(parts.where("side = 1").select(F.col("id").alias("a"), F.col("parts").alias("na")), "a").join(parts.where("side = 2").select(F.col("id").alias("b"), F.col("parts").alias("nb")), "b")
     work = work.select("a", "b", "nb", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("p")).select("a", "b", "p", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("q"))

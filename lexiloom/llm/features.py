@@ -1,4 +1,4 @@
-"""Sets of runs of four, hashed to 64 bits, and a rarity order over them."""
+"""Sets of runs of four, hashed to 64 bits."""
 
 from __future__ import annotations
 
@@ -6,11 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 RUN = 4
-#: Slots of the count sketch behind the rarity order. Any order is right; a coarse sketch only makes lists longer.
-SLOTS = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -77,33 +74,6 @@ def sequence_runs(sequences: DataFrame) -> DataFrame:
     return sequences.select("id", "codes").mapInArrow(run, "id string, runs array<long>")
 
 
-def slot(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(44)).astype(np.int64)
-
-
-def rarity(sets: DataFrame) -> np.ndarray:
-    """How many sets have a run of each slot, over all of ``sets(id, runs)``. At most ``SLOTS`` rows reach the driver, whatever the input."""
-
-    def run(batches):
-        n = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            n += np.bincount(slot(batch.column(0).flatten().to_numpy(zero_copy_only=False)), minlength=SLOTS)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["s", "n"])
-
-    rows = sets.select("runs").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[rows.column("s").to_numpy()] = rows.column("n").to_numpy()
-    return out.clip(max=np.iinfo(np.int32).max).astype(np.int32)
-
-
-def rare_first(h: np.ndarray, n: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of all sets, rarest first within each set: (runs, owner, position)."""
-    owner = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, seen[slot(h)], owner))
-    return h[order], owner, np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-
-
 def group_counts(h: np.ndarray, owner: np.ndarray, sets: int, groups: int) -> np.ndarray:
     """How many runs of each set fall into each of ``groups`` hashed groups, as bytes; 255 stands for 255 or more."""
     g = (h.view(np.uint64) & np.uint64(groups - 1)).astype(np.int64)
@@ -111,6 +81,12 @@ def group_counts(h: np.ndarray, owner: np.ndarray, sets: int, groups: int) -> np
     return c.clip(max=255).astype(np.uint8).reshape(sets, groups)
 
 
+def group_sums(h: np.ndarray, owner: np.ndarray, value: np.ndarray, sets: int, groups: int) -> np.ndarray:
+    """Sums of ``value`` over the runs of each set in each of ``groups`` hashed groups."""
+    g = (h.view(np.uint64) & np.uint64(groups - 1)).astype(np.int64)
+    return np.bincount(owner * groups + g, weights=value, minlength=sets * groups).reshape(sets, groups)
+
+
 def text_hash(names: list[str]) -> np.ndarray:
     """A 64-bit hash of each name."""
     codes, lens = text_codes(names)

@@ -19,6 +19,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import cut, skew_safe, tidy
+from . import similar
+
 # Letters of different scripts that look the same; the first of a line is the Latin or phonetic one.
 LOOK_ALIKE = """
 aа cс dԁ eе gɡ hһ iі jј lӏ nո oоοօ pрρ qԛ sѕ uս vѵν wԝ xх yуү
@@ -29,7 +32,8 @@ AАΑ BВΒ CСϹ EЕΕ GԌ HНΗ IІΙӀ JЈ KКΚ MМΜ NΝ OОΟ PРΡ QԚ S
 CLASSES = {c: group for group in LOOK_ALIKE for c in group}
 IGNORABLE = regex.compile(r"\p{Default_Ignorable_Code_Point}+")
 BLANK = regex.compile(r"[\s\p{Z}]+")
-RUN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}‐\-]+")
+MARK = regex.compile(r"\p{M}")
+RUN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}‐\-][\p{Latin}\p{Greek}\p{Cyrillic}\p{Armenian}‐\-\p{M}]*")
 #: Log probability of changing script between two letters of a run.
 SCRIPT_CHANGE = -8.0
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
@@ -67,9 +71,12 @@ class Form:
         return p
 
     def _run(self, word: str) -> str:
-        """The best path of a run's lattice; ties go to the earlier member of a class."""
+        """The best path of a run's lattice; ties go to the earlier member of a class. Combining marks lie within runs."""
         paths = {"": (0.0, "")}
         for c in word:
+            if MARK.match(c):  # a mark stays on its letter and is no step
+                paths = {a: (s, way + c) for a, (s, way) in paths.items()}
+                continue
             best = {}
             for b in CLASSES.get(c, c):
                 best[b] = max(((s + self.step(a, b), way) for a, (s, way) in paths.items()), key=lambda x: x[0])
@@ -145,16 +152,32 @@ def phoneme_map(tokens: DataFrame, inventory: DataFrame, form: Form) -> DataFram
     return with_form(seen, "phoneme", "look", form).where("look <> ''").join(symbols, "look").select("phoneme", "symbol")
 
 
+def _looks(samples: DataFrame, form: Form) -> DataFrame:
+    """``sample_id, look, string`` of the texts that take part: not null, empty or invisible. ``string`` names the text by 128 bits."""
+    t = with_form(samples.select("sample_id", "text").where("text is not null and text <> '' and sample_id is not null").distinct(), "text", "look", form).where("look <> ''")
+    return t.select("sample_id", "look", F.concat(F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit(1), "text"))).alias("string"))
+
+
+@tidy
 def same_looking_texts(samples: DataFrame, form: Form) -> DataFrame:
     """``sample_a, sample_b`` for samples whose texts look the same but are not equal strings; null, empty and invisible texts take no part.
 
-    Works on distinct strings first: copies of one string, however many, are never compared with each other.
+    Pairs are formed of distinct strings first: copies of one string, however many, are never compared with each other. Both the
+    strings of a look and the samples of a string are dealt out (:func:`.similar.expand`), so no look or string is one task's work.
     """
-    t = with_form(samples.select("sample_id", "text").where("text is not null and text <> '' and sample_id is not null").distinct(), "text", "look", form).where("look <> ''")
-    strings = t.groupBy("look", "text").agg(F.lit(1).alias("one"))
-    several = strings.groupBy("look").agg(F.count("*").alias("n")).where("n > 1").select("look")
-    strings = strings.join(several, "look", "left_semi").select("look", "text")
-    pairs = strings.alias("x").join(strings.alias("y"), (F.col("x.look") == F.col("y.look")) & (F.col("x.text") < F.col("y.text"))).select(F.col("x.text").alias("tx"), F.col("y.text").alias("ty"))
-    owners = t.join(several, "look", "left_semi").select("sample_id", "text")
-    both = pairs.join(owners.select(F.col("sample_id").alias("a"), F.col("text").alias("tx")), "tx").join(owners.select(F.col("sample_id").alias("b"), F.col("text").alias("ty")), "ty").where("a <> b")
-    return both.select(F.least("a", "b").alias("sample_a"), F.greatest("a", "b").alias("sample_b")).distinct()
+    every = cut(_looks(samples, form), "looks")
+    strings = cut(every.groupBy("look", "string").agg(F.lit(1).alias("one")).select(F.col("look").alias("id"), F.col("string").alias("sample_id")), "strings")
+    several = strings.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    pairs = similar.expand(strings.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0), strings, several)
+    pairs = cut(pairs.select(F.col("sample_a").alias("a"), F.col("sample_b").alias("b")).distinct(), "string-pairs")
+    members = every.select("sample_id", F.col("string").alias("id")).join(cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "paired"), "id", "left_semi")
+    return similar.expand(pairs, cut(members, "members"), pairs.select(F.col("a").alias("id")).limit(0)).distinct()
+
+
+@tidy
+def look_classes(samples: DataFrame, form: Form) -> DataFrame:
+    """``sample_id, class_id, strings``: of each sample with a visible text the smallest sample whose text looks the same, and how many different strings that look has."""
+    every = cut(_looks(samples, form), "looks")
+    with skew_safe(samples.sparkSession):
+        per = cut(every.groupBy("look", "string").agg(F.min("sample_id").alias("s")).groupBy("look").agg(F.min("s").alias("class_id"), F.count("*").alias("strings")), "classes")
+        return cut(every.join(per, "look").groupBy("sample_id").agg(F.min("class_id").alias("class_id"), F.max("strings").alias("strings")), "look-classes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import checked_broadcast, cut, table
+from ..storage import checked_broadcast, cut, table, tidy
 from . import bpe, duplicates, encoding, graph, looks, mixing, percentiles, splits
 
 
@@ -24,6 +24,12 @@ def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     return looks.with_form(samples.select("sample_id", "text").distinct(), "text", "text_form", looks.learn_form(samples, "text"))
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample with the smallest sample whose text looks the same."""
+    samples = table(spark, d, "samples")
+    return looks.look_classes(samples, looks.learn_form(samples, "text"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return graph.pair_groups(table(spark, d, "match_pairs"), "sample_a", "sample_b")
 
@@ -118,4 +124,4 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p6_found, p6_report, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p9_corpus_shares, p10_found, p10_restored)}
+    return {f.__name__: tidy(f) for f in (p1_found, p1_texts, p1_classes, p2_found, p4_percentiles, p4_partials, p4_merged, p5_found, p5_splits, p6_found, p6_report, p7_found, p7_groups, p8_ids, p9_mixture, p9_shares, p9_corpus_shares, p10_found, p10_restored)}

@@ -1,9 +1,9 @@
-"""Alike sets: near-duplicates by a count-vector R-tree, and overlaps between splits by a weighted cosine join.
+"""Alike sets: what the count-vector R-tree join (:mod:`.rtree`) and the weighted cosine join (:mod:`.cosine`) share.
 
-Both joins work on distinct sets of runs. A set is indexed under its rarest runs only: as many as it takes until the rest is
-too small (or its residual norm too short) to reach the threshold alone. Sets that share none of these runs cannot be alike,
-so nothing is lost. The sets indexed under one run form a list; lists longer than ``BLOCK`` are cut into blocks by a hash of
-the set, and every pair of blocks is a separate unit of work, so no list is ever gathered in one task.
+Both work on distinct sets of runs. A set is filed under its rarest runs only: as many as it takes until the rest is too light to
+reach the threshold alone. Sets that share none of these runs cannot be alike, so nothing is lost. The sets filed under one run form a
+list. Lists longer than ``BLOCK`` are cut into blocks by a hash of the set, and every pair of blocks is a separate unit of
+work, so no list is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -13,179 +13,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, measured_cut, skew_safe, tidy
 from . import features
 
-GROUPS = 64
 BLOCK = 4096
-LEAF = 16
-#: Pairs compared at a time in a task.
+#: Pairs looked at together in a task.
 CHUNK = 1_000_000
-POSTING = "key long, i int, j int, side int, id string, n int, pos int, flag int, counts binary"
+#: Rows of the table of frequent runs that may be broadcast (12 bytes each), and up to which number of sets a run may be taken as rare so that it fits.
+FREQUENT_ROWS, RARE = 1 << 17, 16
 
 
-class Jaccard:
-    """Sets whose intersection is at least ``t`` of their union. Bound: the overlap is at most the sum of the smaller of both counts, group by group."""
+class Join:
+    """What a join of alike sets provides. ``columns`` are those of a filed set besides ``key, id, flag``."""
 
-    def __init__(self, t: float):
-        self.t = t
+    columns = ""
 
-    def prefix(self, n: np.ndarray) -> np.ndarray:
-        return (n - np.ceil(self.t * n - 1e-9) + 1).astype(np.int64)
+    def file(self, h, owner, pos, n, often, sets):
+        """(keep, columns) of the rows (run ``h``, its set ``owner``, its place ``pos`` in the set), rarest first: which are filed, and arrays of the columns of those."""
+        raise NotImplementedError
 
-    def sizes(self, small: np.ndarray, large: np.ndarray) -> np.ndarray:
-        return small >= self.t * large - 1e-9
+    def pairs(self, cols, lists):
+        """Index pairs of whole lists that may be alike; ``lists`` are the lengths of consecutive lists."""
+        raise NotImplementedError
 
-    def need(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.t / (1 + self.t) * (a + b) - 1e-9
+    def verified(self, found, sets):
+        """``a, b`` of the candidate pairs that are alike."""
+        raise NotImplementedError
 
-    def rest(self, a, b, pa, pb) -> np.ndarray:
-        return 1 + np.minimum(a - pa - 1, b - pb - 1) >= self.need(a, b)
+    def fitted(self, sets, rare, table):
+        """The join with what it needs to know of all sets: how many there are, and the counts as :func:`counted` gives them."""
+        return self
 
-    def bound(self, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        m = np.minimum(x, y)
-        return (m.sum(1, dtype=np.int64) >= self.need(a, b)) | (m == 255).any(1)
 
-    def verify(self, c, a, b):
-        return c / (a + b - c) >= F.lit(self.t)
+def counted(sets: DataFrame, frequent_rows: int | None = None):
+    """How many sets have each run: ``(sets, table, rare, the largest count)``.
 
-
-class Cosine:
-    """Unit vectors with equal term weights whose dot product is at least ``t``; then the Jaccard similarity ``jaccard``.
-
-    For a Jaccard similarity s of two sets the cosine is at least 2s/(1+s), so with t = 2s/(1+s) nothing is lost. Bounds: the
-    largest weights times the smaller number of terms; the residual norms behind the shared term; the norms group by group.
+    Counts are exact, from one pre-aggregated shuffle. Runs that at most ``rare`` sets have count as equally rare; the others are a table of
+    sorted runs and counts that has at most ``FREQUENT_ROWS`` rows and is broadcast. Where no ``rare`` up to ``RARE`` makes the table that
+    small, the counts are joined to the runs instead: ``sets`` then has them as ``often``, ``table`` is None and ``rare`` 1.
     """
-
-    def __init__(self, jaccard: float):
-        self.jaccard, self.t = jaccard, 2 * jaccard / (1 + jaccard)
-
-    def prefix(self, n: np.ndarray) -> np.ndarray:
-        # residual norm after p terms: sqrt((n - p) / n), to be below t
-        return np.minimum(n, np.floor(n - self.t**2 * n + 1e-9) + 1).astype(np.int64)
-
-    def sizes(self, small: np.ndarray, large: np.ndarray) -> np.ndarray:
-        return np.sqrt(small / large) >= self.t - 1e-9
-
-    def rest(self, a, b, pa, pb) -> np.ndarray:
-        return (1 + np.sqrt((a - pa - 1.0) * (b - pb - 1.0))) / np.sqrt(a * b) >= self.t - 1e-9
-
-    def bound(self, x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        dot = ROOT[x]
-        dot *= ROOT[y]
-        return (dot.sum(1) >= (self.t - 1e-6) * np.sqrt(a * b)) | ((x == 255) & (y == 255)).any(1)
-
-    def verify(self, c, a, b):
-        return (c / F.sqrt(a * b) >= F.lit(self.t - 1e-9)) & (c / (a + b - c) >= F.lit(self.jaccard))
-
-
-ROOT = np.sqrt(np.arange(256)).astype(np.float32)
-
-
-def postings(sets: DataFrame, seen: np.ndarray, measure) -> DataFrame:
-    """A row per set of ``sets(id, runs, flag)`` and indexed run (and block pair of a long list). Runs that only one set has are left out."""
-    table = sets.sparkSession.sparkContext.broadcast(seen)
+    limit = FREQUENT_ROWS if frequent_rows is None else frequent_rows
+    steps = [r for r in (1, 2, 4, 8, 16) if r <= RARE]
+    counts = sets.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count("*").alias("n")).where("n > 1")
+    counts, seen = measured_cut(counts, "counts", most=F.max("n"), **{f"over{r}": F.count_if(F.col("n") > r) for r in steps})
+    rare = next((r for r in steps if seen[f"over{r}"] <= limit), None)
+    if rare is not None:
+        t = counts.where(F.col("n") > rare).toArrow()
+        runs, n = t.column("run").to_numpy(), t.column("n").to_numpy()
+        order = np.argsort(runs)
+        return sets, (runs[order], np.minimum(n[order], 2**31 - 1).astype(np.int32)), rare, seen["most"] or 0
+    with skew_safe(sets.sparkSession):
+        each = cut(sets.select("id", F.explode("runs").alias("run")).join(counts, "run", "left").select("id", "run", F.coalesce("n", F.lit(1)).cast("int").alias("n")), "run-counts")
+        lists = each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("run", "n"))).alias("r")).select("id", F.col("r.run").alias("runs"), F.col("r.n").alias("often"))
+        return cut(sets.drop("runs").join(lists, "id"), "counted"), None, 1, seen["most"] or 0
+
+
+def look_up(h: np.ndarray, table) -> np.ndarray:
+    """Counts of runs by the table of frequent ones, 1 for others."""
+    runs, n = table
+    if not len(runs):
+        return np.ones(len(h), np.int32)
+    at = np.minimum(np.searchsorted(runs, h), len(runs) - 1)
+    return np.where(runs[at] == h, n[at], 1).astype(np.int32)
+
+
+def filed(sets: DataFrame, join: Join) -> tuple[DataFrame, Join, DataFrame]:
+    """A row per set of ``sets(id, runs, flag)`` and run it is filed under, for lists longer than ``BLOCK`` one per pair of blocks; the fitted join; the sets as :func:`counted` gives them."""
+    sets, table, rare, most = counted(sets)
+    shared = sets.sparkSession.sparkContext.broadcast(table) if table is not None else None
+    join = join.fitted(sets, rare, shared)
+    names = ["id", "runs", "flag", *(["often"] if table is None else [])]
 
     def run(batches):
-        seen = table.value
         for batch in batches:
             for part in (batch.slice(k, 2000) for k in range(0, batch.num_rows, 2000)):
                 lists = part.column(1)
                 n = np.diff(lists.offsets.to_numpy()).astype(np.int64)
-                h, owner, pos = features.rare_first(lists.flatten().to_numpy(zero_copy_only=False), n, seen)
-                counts = features.group_counts(h, owner, len(n), GROUPS)
-                often = seen[features.slot(h)]
-                keep = (pos < measure.prefix(n)[owner]) & (often > 1)
-                h, owner, pos, blocks = h[keep], owner[keep], pos[keep], -(-often[keep] // BLOCK)
-                rep = np.repeat(np.arange(len(h)), blocks)
-                other = np.arange(len(rep)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                own = (features.mix64(features.text_hash(part.column(0).to_pylist()))[owner] % blocks.astype(np.uint64)).astype(np.int64)[rep]
-                i, j = np.minimum(own, other), np.maximum(own, other)
-                at = owner[rep]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[rep]), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array((own == j).astype(np.int32)),
-                        part.column(0).take(pa.array(at)), pa.array(n[at].astype(np.int32)), pa.array(pos[rep].astype(np.int32)),
-                        part.column(2).take(pa.array(at)), pa.array([c.tobytes() for c in counts], pa.binary()).take(pa.array(at)),
-                    ],
-                    names=["key", "i", "j", "side", "id", "n", "pos", "flag", "counts"],
-                )
-
-    return sets.select("id", "runs", "flag").mapInArrow(run, POSTING)
-
-
-def _triangle(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (a <= b) within consecutive segments of the given sizes."""
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    within = np.arange(int(sizes.sum())) - start
-    reach = np.repeat(sizes, sizes) - within
-    a = np.repeat(np.arange(len(reach)), reach)
-    return a, a + np.arange(len(a)) - np.repeat(np.cumsum(reach) - reach, reach)
-
-
-def _list_pairs(cols: dict[str, np.ndarray], measure):
-    """Candidate index pairs of whole lists, sorted by (key, i, j, n).
-
-    The points of a list are packed, by size, into leaves of ``LEAF``; a leaf's box has the largest count of each group. Leaf
-    pairs whose boxes cannot reach the threshold are dropped with all their points; pairs of points in the others
-    pass by size, by position, and by their own counts.
-    """
-    n, pos, counts, flag = cols["n"].astype(np.float64), cols["pos"].astype(np.float64), cols["counts"], cols["flag"]
-    new = np.ones(len(n), bool)
-    new[1:] = False
-    for c in ("key", "i", "j"):
-        new[1:] |= cols[c][1:] != cols[c][:-1]
-    lists = np.diff(np.r_[np.flatnonzero(new), len(n)])
-    within = np.arange(len(n)) - np.repeat(np.cumsum(lists) - lists, lists)
-    first = np.flatnonzero(within % LEAF == 0)
-    leaf_n = np.diff(np.r_[first, len(n)])
-    high = np.maximum.reduceat(counts, first)
-    lo, hi = n[first], n[first + leaf_n - 1]
-    leaves = -(-lists // LEAF)
-    done = 0
-    # Lists are taken together until their leaf pairs fill a chunk.
-    cost = np.cumsum(leaves * (leaves + 1) // 2)
-    ends = np.cumsum(leaves)
-    at = 0
-    while at < len(leaves):
-        upto = max(at + 1, int(np.searchsorted(cost, done + CHUNK // 64, "right")))
-        base = ends[at - 1] if at else 0
-        a, b = _triangle(leaves[at:upto])
-        a, b = a + base, b + base
-        done, at = int(cost[upto - 1]), upto
-        ok = measure.sizes(np.minimum(hi[a], lo[b]), lo[b])
-        a, b = a[ok], b[ok]
-        for k in range(0, len(a), CHUNK // 64):
-            x, y = a[k : k + CHUNK // 64], b[k : k + CHUNK // 64]
-            ok = measure.bound(high[x], high[y], lo[x], lo[y])
-            x, y = x[ok], y[ok]
-            for q in range(0, len(x), CHUNK // (LEAF * LEAF)):
-                u, v = x[q : q + CHUNK // (LEAF * LEAF)], y[q : q + CHUNK // (LEAF * LEAF)]
-                per = leaf_n[u] * leaf_n[v]
-                w = np.repeat(np.arange(len(u)), per)
-                r = np.arange(len(w)) - np.repeat(np.cumsum(per) - per, per)
-                s, t = first[u[w]] + r // leaf_n[v[w]], first[v[w]] + r % leaf_n[v[w]]
-                ok = (s < t) & ((cols["i"][s] == cols["j"][s]) | (cols["side"][s] != cols["side"][t])) & measure.sizes(n[s], n[t]) & measure.rest(n[s], n[t], pos[s], pos[t])
-                ok &= ((flag[s] & 1) & (flag[t] >> 1)) | ((flag[t] & 1) & (flag[s] >> 1)) > 0
-                s, t = s[ok], t[ok]
-                ok = measure.bound(counts[s], counts[t], n[s], n[t])
-                if ok.any():
-                    yield s[ok], t[ok]
-
-
-def candidates(rows: DataFrame, measure) -> DataFrame:
+                h = lists.flatten().to_numpy(zero_copy_only=False)
+                often = part.column(3).flatten().to_numpy(zero_copy_only=False) if shared is None else look_up(h, shared.value)
+                owner = np.repeat(np.arange(len(n)), n)
+                order = np.lexsort((h, often, owner))
+                h, often = h[order], often[order]
+                pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                keep, cols = join.file(h, owner, pos, n, often)
+                at = pa.array(owner[keep])
+                own = features.mix64(features.text_hash(part.column(0).to_pylist())).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep]), part.column(0).take(at), part.column(2).take(at), pa.array(own[owner[keep]]), *cols.values()], names=["key", "id", "flag", "own", *cols])
+
+    rows = sets.select(*names).mapInArrow(run, f"key long, id string, flag int, own long, {join.columns}")
+    if most <= BLOCK:  # no list can be longer
+        return rows.withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)}).drop("own"), join, sets
+    rows = cut(rows, "filed")
+    long = cut(rows.groupBy("key").agg(F.count("*").alias("n_key")).where(F.col("n_key") > BLOCK).select("key", F.ceil(F.col("n_key") / BLOCK).cast("int").alias("blocks")), "long")
+    with skew_safe(sets.sparkSession):
+        dealt = rows.join(long, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("own", F.pmod("own", F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") == F.greatest("own", "other")).cast("int")})
+        return dealt.drop("own", "other", "blocks"), join, sets
+
+
+def candidates(rows: DataFrame, join: Join) -> DataFrame:
     """Distinct ``a, b`` (a < b) that pass all bounds."""
+    plain = [c for c, t in rows.dtypes if c not in ("id",) and t != "binary"]
+    packed = [c for c, t in rows.dtypes if t == "binary"]
 
     def run(batches):
         kept = None
 
         def emit(t: pa.Table):
-            cols = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "side", "n", "pos", "flag")}
-            cols["counts"] = np.frombuffer(b"".join(t.column("counts").to_pylist()), np.uint8).reshape(-1, GROUPS)
+            cols = {c: t.column(c).to_numpy() for c in plain}
+            new = np.ones(t.num_rows, bool)
+            new[1:] = False
+            for c in ("key", "i", "j"):
+                new[1:] |= cols[c][1:] != cols[c][:-1]
+            lists = np.diff(np.r_[np.flatnonzero(new), t.num_rows])
+            whole = np.repeat(lists > 1, lists)  # a run that one set has makes no pair
+            if not whole.any():
+                return
+            t = t.filter(pa.array(whole)).combine_chunks()
+            cols = {c: v[whole] for c, v in cols.items()} | {c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1) for c in packed}
             ids = t.column("id").combine_chunks()
-            for s, o in _list_pairs(cols, measure):
-                x, y = ids.take(pa.array(s)), ids.take(pa.array(o))
-                yield pa.RecordBatch.from_arrays([x, y], names=["a", "b"])
+            for s, o in join.pairs(cols, lists[lists > 1]):
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(s)), ids.take(pa.array(o))], names=["a", "b"])
 
         held = 0
         for batch in batches:
@@ -208,13 +157,20 @@ def candidates(rows: DataFrame, measure) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def alike(sets: DataFrame, measure) -> DataFrame:
+def apart(cols, s, t) -> np.ndarray:
+    """Whether index pairs belong together: from different blocks (or one block with itself) and from sides that are compared."""
+    flag = cols["flag"]
+    ok = (cols["i"][s] == cols["j"][s]) | (cols["side"][s] != cols["side"][t])
+    return ok & (((flag[s] & 1) & (flag[t] >> 1)) | ((flag[t] & 1) & (flag[s] >> 1)) > 0)
+
+
+@tidy
+def alike(sets: DataFrame, join: Join) -> DataFrame:
     """``a, b`` (a < b) of all alike pairs of ``sets(id, runs, flag)``: one with bit 0 of ``flag`` and one with bit 1 (3 is both). Ids are unique, runs distinct and not empty."""
-    found = cut(candidates(postings(sets, features.rarity(sets), measure), measure), "candidates")
-    x = sets.select(F.col("id").alias("a"), F.col("runs").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("runs").alias("y"))
-    c = F.size(F.array_intersect("x", "y"))
-    return found.join(x, "a").join(y, "b").where(measure.verify(c, F.size("x"), F.size("y"))).select("a", "b")
+    rows, join, sets = filed(sets, join)
+    with skew_safe(sets.sparkSession):
+        found = cut(candidates(rows, join), "candidates")
+        return cut(join.verified(found, sets), "alike")
 
 
 def classes(items: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +189,7 @@ def expand(pairs: DataFrame, members: DataFrame, within: DataFrame) -> DataFrame
     A class's members are dealt into parts of about ``SPREAD``, and pairs of classes into pairs of parts, so the pairs of one large
     class are made by many tasks.
     """
-    sizes = members.groupBy("id").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts"))
+    sizes = cut(members.groupBy("id").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")), "sizes")
     dealt = cut(members.join(sizes, "id").select("id", "sample_id", F.pmod(F.xxhash64("sample_id"), F.col("parts")).cast("int").alias("part")), "dealt")
     work = pairs.select("a", "b").unionByName(within.select(F.col("id").alias("a"), F.col("id").alias("b")))
     work = work.join(sizes.select(F.col("id").alias("a"), F.col("parts").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("parts").alias("nb")), "b")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, duplicates, encoding, features, graph, looks, mixing, percentiles, similar, splits
+from lexiloom.llm import bpe, cosine, duplicates, encoding, features, graph, looks, mixing, percentiles, rtree, similar, splits
 
 RNG = random.Random(11)
 CLASH = ["id", "look", "text_form", "u", "v", "x", "p", "key", "h", "n", "letters", "_t", "_h", "runs", "flag", "part", "side", "rank", "one", "who", "first"]
@@ -53,6 +53,14 @@ def test_same_looking_texts(spark, rows):
     form = looks.learn_form(df, "text")
     assert rows(looks.same_looking_texts(df, form)) == [("s1", "s2"), ("s1", "s8"), ("s2", "s3"), ("s2", "s8"), ("s3", "s8")]
     assert looks.same_looking_texts(df.limit(0), looks.learn_form(df.limit(0), "text")).count() == 0
+    assert rows(looks.look_classes(df, form)) == [("s1", "s1", 3), ("s2", "s1", 3), ("s3", "s1", 3), ("s7", "s7", 1), ("s8", "s1", 3)]
+    assert looks.look_classes(df.limit(0), form).count() == 0
+
+
+def test_marks_stay_inside_runs():
+    """An accent neither ends a run nor hides its script."""
+    form = looks.Form(Counter({("", "a"): 50, ("a", "b"): 50, ("", "з"): 5, ("з", "в"): 5, ("в", "у"): 5, ("у", "к"): 5}))
+    assert form("зву\u0301yк") == form("зву\u0301ук") and form("e\u0301\u0323") == form("é\u0323") and form("a\u0301") != form("a")
 
 
 def test_phoneme_map(spark, rows):
@@ -205,19 +213,64 @@ def random_sets(n, seed):
     return sorted(set(out), key=sorted)
 
 
-@pytest.mark.parametrize("measure,block", [(similar.Jaccard(0.6), 4096), (similar.Jaccard(0.8), 4096), (similar.Cosine(0.6), 4096), (similar.Jaccard(0.6), 5), (similar.Cosine(0.6), 5)])
-def test_alike_is_exact(spark, measure, block, monkeypatch):
+@pytest.mark.parametrize("frequent", [1 << 17, 40, 0])
+@pytest.mark.parametrize("join,block", [(rtree.RTree(0.6), 4096), (rtree.RTree(0.8), 4096), (cosine.Cosine(0.6), 4096), (rtree.RTree(0.6), 5), (cosine.Cosine(0.6), 5)])
+def test_alike_is_exact(spark, join, block, frequent, monkeypatch):
     monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(similar, "FREQUENT_ROWS", frequent)
     sets = random_sets(250, 3)
     mark = lambda k: int(features.mix64(np.array([k]))[0] >> np.uint64(1))
     flags = [RNG.choice((1, 2, 3)) for _ in sets]
-    df = spark.createDataFrame([(f"{i:04d}", [mark(x) for x in s], f) for i, (s, f) in enumerate(zip(sets, flags))], "id string, runs array<long>, flag int")
-    got = {(r.a, r.b) for r in similar.alike(df, measure).collect()}
-    t = getattr(measure, "jaccard", measure.t)
+    df = spark.createDataFrame([(f"{i:04d}", sorted(mark(x) for x in s), f) for i, (s, f) in enumerate(zip(sets, flags))], "id string, runs array<long>, flag int")
+    got = {(r.a, r.b) for r in similar.alike(df, join).collect()}
+    t = getattr(join, "jaccard", None) or join.t
     want = {(f"{i:04d}", f"{j:04d}") for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= t and (flags[i] & 1 and flags[j] & 2 or flags[j] & 1 and flags[i] & 2)}
     assert got == want and len(want) > 20
 
 
+def test_counts_of_runs_are_exact(spark):
+    sets = random_sets(120, 5)
+    df = spark.createDataFrame([(f"{i}", sorted(s), 3) for i, s in enumerate(sets)], "id string, runs array<long>, flag int")
+    want = Counter(x for s in sets for x in s)
+    _, (runs, n), rare, most = similar.counted(df, 1 << 17)
+    assert rare == 1 and dict(zip(runs.tolist(), n.tolist())) == {k: v for k, v in want.items() if v > 1} and most == max(want.values())
+    out, table, rare, _ = similar.counted(df, 0)
+    assert table is None and rare == 1
+    for r in out.collect():
+        assert {k: want[k] for k in sets[int(r.id)]} == dict(zip(r.runs, r.often))
+
+
+def test_tree_prunes_whole_nodes():
+    r = np.random.default_rng(2)
+    families = r.poisson(1.0, (40, rtree.GROUPS))
+    counts = np.concatenate([np.maximum(0, f + r.integers(-1, 2, (50, rtree.GROUPS)) * (r.random((50, rtree.GROUPS)) < 0.05)) for f in families]).astype(np.uint8)
+    counts = counts[r.permutation(len(counts))]
+    n = counts.sum(1).astype(np.int32)
+    cols = {"n": n, "pos": np.zeros(len(n), np.int32), "counts": counts, "flag": np.full(len(n), 3, np.int32), **{c: np.zeros(len(n), np.int32) for c in ("i", "j", "side")}}
+    seen = Counter()
+    tree = rtree.RTree(0.8, seen)
+    got = {tuple(sorted(p)) for s, t in tree.pairs(cols, np.array([len(n)])) for p in zip(s.tolist(), t.tolist())}
+    x = np.minimum(counts[:, None], counts[None]).sum(2) >= tree.need(n[:, None].astype(float), n[None].astype(float))
+    x &= np.minimum(n[:, None], n[None]) >= 0.8 * np.maximum(n[:, None], n[None]) - 1e-9
+    assert got == {(i, j) for i, j in zip(*np.nonzero(np.triu(x, 1)))}
+    assert seen["points"] < 0.5 * len(n) * (len(n) - 1) / 2 and sum(v for k, v in seen.items() if k.startswith("pruned")) > 100
+
+
+def test_weights_decide(spark):
+    """The bound of a pair holds for every alike pair, with weights far apart."""
+    r = np.random.default_rng(4)
+    c = cosine.Cosine(0.6)
+    c.total = 1000
+    for _ in range(300):
+        a = set(r.integers(0, 60, 20).tolist())
+        b = {x for x in a if r.random() < 0.8} | set(r.integers(0, 60, 3).tolist())
+        square = {x: float(c.weights(np.array([x * x + 1.0]))[0]) ** 2 for x in a | b}
+        if len(a & b) / len(a | b) >= 0.6:
+            for s in (a, b):
+                low = c.least(np.array([square[x] for x in sorted(s)]), np.array([len(s)]))[0]
+                assert sum(square[x] for x in a & b) >= low - 1e-9
+
+
 def test_run_sets():
     texts = ["abcdefg", "abc", "", "aaaaaaa", "abcdefgh"]
     h, n = features.run_sets(*features.text_codes(texts))
