@@ -264,10 +264,12 @@ def test_weights_decide(spark):
     for _ in range(300):
         a = set(r.integers(0, 60, 20).tolist())
         b = {x for x in a if r.random() < 0.8} | set(r.integers(0, 60, 3).tolist())
-        square = {x: float(c.weights(np.array([x * x + 1.0]))[0]) ** 2 for x in a | b}
+        square = {x: float(c.squares(np.array([x * x + 1.0]))[0]) for x in a | b}
         if len(a & b) / len(a | b) >= 0.6:
+            k = c.common(np.array([len(a)]), np.array([len(b)])).astype(int)
+            assert len(a & b) >= k[0] >= max(c.own_least(np.array([len(a), len(b)])))
             for s in (a, b):
-                low = c.least(np.array([square[x] for x in sorted(s)]), np.array([len(s)]))[0]
+                low = c.least(np.array([square[x] for x in sorted(s)]), np.array([len(s)]), k)[0]
                 assert sum(square[x] for x in a & b) >= low - 1e-9
 
 
