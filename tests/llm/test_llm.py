@@ -184,6 +184,23 @@ def test_closest_subset(seed):
     assert all(c <= sizes[s] for s, c in take.items()) and abs(total - target) == min(abs(t - target) for t in sums)
 
 
+def test_closest_subset_in_bounded_memory():
+    """About 10^9 samples in every possible number of group sizes: little memory, a miss smaller than the smallest group left."""
+    import tracemalloc
+
+    sizes = {s: 1 for s in range(2, 44_000)}
+    n = sum(sizes)
+    tracemalloc.start()
+    take = splits.closest_subset(sizes, n // 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total = sum(s * c for s, c in take.items())
+    left = min(s for s in sizes if not take.get(s))
+    assert n > 9 * 10**8 and abs(total - n // 20) < left and peak < 2**30 and all(take[s] <= sizes[s] for s in take)
+    small = {s: 2 for s in range(3, 40)}
+    assert sum(s * c for s, c in splits.closest_subset(small, 301, most=64).items()) in range(298, 305)
+
+
 def test_assign_splits(spark):
     g = [(f"s{i}", "hot" if i < 100 else f"g{i // 3}") for i in range(300)]
     df = spark.createDataFrame(g, "sample_id string, group_id string")
