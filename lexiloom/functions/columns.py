@@ -41,9 +41,13 @@ VOICED = "b m v ð d n l z ɹ ʒ dʒ ʐ ɻ j ɥ w g ŋ"
 MAJOR_MARKS, ALL_MARKS = "。！？.!?", "，；：、,;:。！？.!?"
 
 
+# The characters with the property White_Space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Column) -> Column:
     """Without blanks of any script at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def category(c: Column) -> Column:

@@ -2,63 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import checked_broadcast, cut, tidy
 from .prefix import running_total
 
 PAD, IGNORE = 0, -100
 
 
-def token_budget_batches(lengths: dict[int, int], budget: int, drop_last: bool = False) -> list[tuple[int, int]]:
-    """(first, last) row numbers of each batch over rows sorted by length, from the histogram of lengths.
+def layout(lengths: dict[int, int], budget: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(length, rows before it, batch open at its first row, places left there, rows of a full batch) of each length, and the number of batches.
 
-    Sorted ascending, a batch's padded size is its last length times its rows, so a row of length L joins an open batch
-    of c rows iff L * (c + 1) fits the budget. Full batches of one length are laid out by arithmetic.
+    Rows lie in order of length. A batch's padded size is its last length times its rows, so a row of length L joins an open
+    batch of c rows iff L * (c + 1) fits the budget, and the batch of any row follows by arithmetic. One entry per length, however many rows.
     """
     if budget <= 0:
         raise ValueError("the budget must be positive")
     if lengths and max(lengths) > budget:
         raise ValueError(f"a sequence of {max(lengths)} exceeds the budget {budget}")
-    out, start, at = [], 1, 1
+    out, before, batch, held = [], 0, 0, 0
     for n in sorted(lengths):
-        left = lengths[n]
-        while left:
-            room = budget // n - (at - start) if n else left
-            if room <= 0:
-                out.append((start, at - 1))
-                start = at
-                continue
-            step = min(room, left)
-            at += step
-            left -= step
-    if at > start:
-        out.append((start, at - 1))
-    return out[:-1] if drop_last and len(out) > 1 else out
-
-
+        rows = lengths[n]
+        cap = budget // n if n else before + rows
+        room = max(0, cap - held)
+        out.append((n, before, batch, room, cap))
+        before += rows
+        if rows <= room:
+            held += rows
+        else:
+            full, rest = divmod(rows - room, cap)
+            batch += full + (rest > 0)
+            held = rest or cap
+    return out, batch + 1 if before else 0
+
+
+@tidy
 def plan_batches(rows: DataFrame, key: str, length: str, budget: int, drop_last: bool = False, seed: int | None = None, epoch: int = 0) -> DataFrame:
     """``rows`` with ``batch`` (from 0 in order of length; with a seed in a hash order that changes by epoch) and ``rank``.
 
-    Row numbers by (length, key) are distributed running counts; only the length histogram reaches the driver. A row's batch
-    is found by joining on blocks of row numbers. A null length is an error of the caller; rows of a dropped batch go.
+    Row numbers by (length, key) are distributed running counts; only the length histogram reaches the driver. A row's batch follows from
+    its rank by arithmetic. A null length is an error of the caller; rows of a dropped last batch go.
     """
     spark = rows.sparkSession
     hist = {int(r["l"]): int(r["n"]) for r in rows.groupBy(F.col(length).alias("l")).agg(F.count("*").alias("n")).collect()}
-    batches = [(b, s, e) for b, (s, e) in enumerate(token_budget_batches(hist, budget, drop_last))]
+    plan, batches = layout(hist, budget)
     ranked = running_total(rows, [length], [F.col(key)], F.lit(1), "_in")
-    before, total = {}, 0
-    for n in sorted(hist):
-        before[n] = total
-        total += hist[n]
-    base = spark.createDataFrame(list(before.items()), "_len long, _before long")
-    ranked = ranked.join(F.broadcast(base), F.col(length) == F.col("_len")).withColumn("rank", F.col("_in") + F.col("_before")).drop("_in", "_len", "_before")
-    block = max(1, budget // max(1, max(hist, default=1)))
-    ends = spark.createDataFrame(batches, "batch long, _s long, _e long").select("*", F.explode(F.sequence(F.floor(F.col("_s") / block), F.floor(F.col("_e") / block))).alias("_block"))
-    out = ranked.withColumn("_block", F.floor(F.col("rank") / block)).join(ends, "_block").where(F.col("rank").between(F.col("_s"), F.col("_e"))).drop("_block", "_s", "_e")
+    base = spark.createDataFrame(plan, "_len long, _before long, _open long, _room long, _cap long")
+    ranked = ranked.join(checked_broadcast(base), F.col(length) == F.col("_len"))
+    more = F.col("_in") - 1 - F.col("_room")  # rows behind those that still fit the open batch
+    batch = F.when(more < 0, F.col("_open")).otherwise(F.col("_open") + 1 + F.floor(more / F.col("_cap")))
+    out = ranked.withColumns({"batch": batch.cast("long"), "rank": F.col("_in") + F.col("_before")}).drop("_in", "_len", "_before", "_open", "_room", "_cap")
+    if drop_last and batches > 1:
+        batches -= 1
+        out = out.where(F.col("batch") < batches)
     if seed is not None:
-        order = spark.createDataFrame([(b,) for b, _, _ in batches], "batch long").withColumn("_new", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed + epoch), "batch"), "batch")).cast("long") - 1)
+        every = spark.range(batches).select(F.col("id").alias("batch"), F.lit(0).alias("_all"))
+        order = running_total(every, ["_all"], [F.xxhash64(F.lit(seed + epoch), "batch"), F.col("batch")], F.lit(1), "_new").select("batch", (F.col("_new") - 1).alias("_new"))
         out = out.join(order, "batch").drop("batch").withColumnRenamed("_new", "batch")
     return out
 
@@ -70,11 +70,12 @@ def fixed_batches(rows: DataFrame, key: str, size: int, seed: int | None = None)
     return r.withColumn("batch", F.floor((F.col("_rank") - 1) / size)).drop("_rank")
 
 
+@tidy
 def pad_batches(rows: DataFrame, batch: str, arrays: dict[str, float | int]) -> DataFrame:
     """Array columns padded to the batch's longest with their pad value, and ``mask`` of the true places. All arrays of a row have one length; an over-long one is never cut."""
     first = next(iter(arrays))
     rows = cut(rows, "unpadded")
-    longest = rows.groupBy(batch).agg(F.max(F.size(first)).alias("_max"))
+    longest = cut(rows.groupBy(batch).agg(F.max(F.size(first)).alias("_max")), "longest")
     out = rows.join(longest, batch)
     fill = lambda c, v: F.concat(F.col(c), F.array_repeat(F.lit(v).cast(rows.schema[c].dataType.elementType), F.col("_max") - F.size(c)))
     mask = F.concat(F.array_repeat(F.lit(True), F.size(first)), F.array_repeat(F.lit(False), F.col("_max") - F.size(first)))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import keyed, length_bucket, phrase_position
+from ..storage import checked_broadcast, cut, tidy
+from .percentiles import radix_percentiles
 from .prefix import running_total
 
 
@@ -39,12 +43,16 @@ def overall(matrix: DataFrame) -> DataFrame:
     return hits.crossJoin(c).select(z(F.try_divide(F.col("hits").cast("double"), F.col("total"))).alias("accuracy"), z(F.col("macro")).alias("macro_f1"), z(F.try_divide(F.col("weighted"), F.col("total"))).alias("weighted_f1"), F.coalesce("total", F.lit(0)).alias("total"))
 
 
+@tidy
 def errors(rows: DataFrame, target: Column, predicted: Column, by: list | None = None) -> DataFrame:
-    """``n, mae, rmse, median`` of the absolute errors of rows with both sides; zeros for none. The median is exact; grouped, one group's distinct errors meet in one task, so the error should be rounded where groups are huge."""
-    e = F.abs(predicted - target)
-    z = lambda x, name: F.coalesce(x, F.lit(0.0)).alias(name)
-    aggs = [F.count(e).alias("n"), z(F.avg(e), "mae"), z(F.sqrt(F.avg(e * e)), "rmse"), z(F.percentile(e, 0.5), "median")]
-    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+    """``n, mae, rmse, median`` of the absolute errors of rows with both sides; zeros for none, without ``by`` in one row. The median is exact, by radix selection."""
+    keys = by or ["_all"]
+    kept = cut((rows if by else rows.withColumn("_all", F.lit(0))).select(*keys, F.abs(predicted - target).cast("double").alias("_e")).where("_e is not null"), "errors")
+    m = radix_percentiles(kept, keys, "_e", (50,)).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("p50").alias("median"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    sums = kept.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_e").alias("mae"), F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"))
+    out = sums.join(checked_broadcast(m), same).select(*(by or []), "n", "mae", "rmse", "median")
+    return out if by else out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("mae", "rmse", "median")])
 
 
 SLICES = ("language", "surface_tone", "stress", "syllable_role", "phrase_position", "length_bucket")

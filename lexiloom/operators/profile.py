@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_human, phrase_position
-from ..storage import checked_broadcast
+from ..storage import checked_broadcast, cut, tidy
+from .percentiles import radix_percentiles
 
 # Fields whose values are counted.
 COUNTED = ("viseme_id", "language", "surface_tone", "stress", "syllable_role", "boundary_boundary_type", "viseme_source", "strength_source")
@@ -32,16 +35,27 @@ def ranked_frequencies(counts: DataFrame) -> DataFrame:
 def lengths(tokens: DataFrame) -> DataFrame:
     """One row: sentences, tokens, and min, mean, median, 95th percentile and max of tokens per sentence; nulls and zeros for no rows."""
     per = tokens.groupBy("sample_id").agg(F.count("*").alias("n"))
-    p = F.percentile("n", F.array(F.lit(0.5), F.lit(0.95)))
-    return per.agg(F.count("*").alias("sentences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.min("n").alias("shortest"), F.avg("n").alias("mean"), p[0].alias("p50"), p[1].alias("p95"), F.max("n").alias("longest"))
+    per = per.groupBy("n").agg(F.count("*").alias("c"))  # as many rows as there are lengths
+    p = F.percentile("n", F.array(F.lit(0.5), F.lit(0.95)), F.col("c"))
+    n = F.sum(F.col("n") * F.col("c"))
+    return per.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("sentences"), F.coalesce(n, F.lit(0)).alias("tokens"), F.min("n").alias("shortest"), F.try_divide(n.cast("double"), F.sum("c")).alias("mean"), p[0].alias("p50"), p[1].alias("p95"), F.max("n").alias("longest"))
 
 
+@tidy
 def numeric_profile(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """Count, mean, population deviation, extremes and linearly interpolated percentiles of the finite values."""
-    x = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value))
-    p = F.percentile(x, F.array(*map(F.lit, QUANTILES)))
-    aggs = [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("low"), *[p[k].alias(f"p{int(q * 100):02d}") for k, q in enumerate(QUANTILES)], F.max(x).alias("high")]
-    return rows.groupBy(*by).agg(*aggs) if by else rows.agg(*aggs)
+    """Count, mean, population deviation, extremes and linearly interpolated exact percentiles (by radix selection) of the finite values. Without ``by`` one row, of nulls and 0 for no values; groups without any give no row."""
+    keys = by or ["_all"]
+    x = F.when(~F.isnan(value) & (F.abs(F.col(value)) < float("inf")), F.col(value).cast("double"))
+    kept = cut((rows if by else rows.withColumn("_all", F.lit(0))).select(*keys, x.alias("_x")).where("_x is not null"), "finite")
+    p = radix_percentiles(kept, keys, "_x", tuple(int(100 * q) for q in QUANTILES)).drop("n")
+    aggs = [F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.stddev_pop("_x").alias("std"), F.min("_x").alias("low"), F.max("_x").alias("high")]
+    p = p.select(*[F.col(k).alias(f"_{k}") for k in keys], *[f"p{int(100 * q):02d}" for q in QUANTILES])
+    out = kept.groupBy(*keys).agg(*aggs).join(checked_broadcast(p), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]))
+    out = out.select(*(by or []), "n", "mean", "std", "low", *[f"p{int(100 * q):02d}" for q in QUANTILES], "high")
+    if by:
+        return out
+    one = rows.sparkSession.range(1).select(F.lit(0).alias("_one"))
+    return one.join(out.withColumn("_two", F.lit(0)), F.col("_one") == F.col("_two"), "left").select(F.coalesce("n", F.lit(0)).alias("n"), *out.columns[1:])
 
 
 def class_means(rows: DataFrame, key: str, value: str) -> DataFrame:

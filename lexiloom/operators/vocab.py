@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import NA, category, lookup
-from ..storage import checked_broadcast, cut
+from ..storage import checked_broadcast, cut, tidy
 
 PAD, UNK = "[PAD]", "[UNK]"
 PAD_ID, UNK_ID = 0, 1
@@ -46,9 +47,12 @@ def field_value(field: str) -> Column:
     return category(c)
 
 
-def _long(tokens: DataFrame, extra: list[str]) -> DataFrame:
-    x = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), field_value(f).alias("token")) for f in FIELDS])).alias("x")
-    return tokens.select(*extra, x).select(*extra, "x.field", "x.token").where("token is not null")
+def _unseeded(tokens: DataFrame, extra: list[str]) -> DataFrame:
+    """``extra..., field, token`` of the values of closed fields that the seeds lack. A row whose values are all null or spelled like seeds has none and is passed over before anything is normalised."""
+    plain = [F.coalesce(F.col(f).cast("string").isin(*line.split()), F.lit(True)) for f, line in SEEDS.items()]
+    tokens = tokens.where(~reduce(lambda a, b: a & b, plain))
+    new = [F.when(~field_value(f).isin(PAD, UNK, *line.split()), F.struct(F.lit(f).alias("field"), field_value(f).alias("token"))) for f, line in SEEDS.items()]
+    return tokens.select(*extra, F.explode(F.array_compact(F.array(*new))).alias("x")).select(*extra, "x.field", "x.token").where("token is not null")
 
 
 def build_one(values: DataFrame, column: str) -> DataFrame:
@@ -71,15 +75,14 @@ def build(tokens: DataFrame, extend: bool = True) -> DataFrame:
     special = [(f, t, k) for f in FIELDS for k, t in enumerate((PAD, UNK))]
     seeds = spark.createDataFrame(special + seed_rows, "field string, token string, id long")
     sizes = spark.createDataFrame([(f, len(line.split()) + 2) for f, line in SEEDS.items()] + [("phoneme", 2)], "field string, base long")
-    # Seeds go before the aggregation, so only values the seeds lack are grouped.
-    closed = _long(tokens, ["sample_id", "token_index"]).where("field <> 'phoneme'").join(F.broadcast(seeds.select("field", "token")), ["field", "token"], "left_anti").groupBy("field", "token").agg(F.min(F.struct("sample_id", "token_index")).alias("first"))
+    closed = _unseeded(tokens, ["sample_id", "token_index"]).groupBy("field", "token").agg(F.min(F.struct("sample_id", "token_index")).alias("first"))
     new = tokens.select(F.lit("phoneme").alias("field"), F.col("phoneme").alias("token")).where(F.col("token").isNotNull() & ~F.col("token").isin(PAD, UNK)).distinct()
     if extend:
         new = closed.unionByName(new, allowMissingColumns=True)
     else:
         new = new.withColumn("first", F.lit(None).cast(closed.schema["first"].dataType))
     order = Window.partitionBy("field").orderBy(F.when(F.col("field") != "phoneme", F.col("first")), "token")
-    ranked = new.withColumn("rank", F.row_number().over(order)).join(F.broadcast(sizes), "field").select("field", "token", (F.col("rank") + F.col("base") - 1).cast("long").alias("id"))
+    ranked = new.withColumn("rank", F.row_number().over(order)).join(checked_broadcast(sizes), "field").select("field", "token", (F.col("rank") + F.col("base") - 1).cast("long").alias("id"))
     return seeds.unionByName(ranked)
 
 
@@ -87,6 +90,7 @@ def build(tokens: DataFrame, extend: bool = True) -> DataFrame:
 INLINE = 100
 
 
+@tidy
 def encode(tokens: DataFrame, vocabulary: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """``sample_id, token_index`` and one id column per field; values the dictionary lacks are 1.
 
@@ -98,7 +102,12 @@ def encode(tokens: DataFrame, vocabulary: DataFrame, fields: tuple[str, ...] = F
     maps: dict[str, dict[str, int]] = {}
     for r in voc.where(F.col("field").isin(*small)).collect() if small else []:
         maps.setdefault(r.field, {})[r.token] = r.id
-    out = tokens.select("sample_id", "token_index", *[F.coalesce(lookup(field_value(f), maps[f]), F.lit(UNK_ID)).cast("long").alias(f) if f in maps else field_value(f).alias(f) for f in fields])
+    def code(f: str) -> Column:
+        # Values are mostly spelled as in the dictionary; only those that are not get normalised.
+        spelled = {t: k for t, k in maps[f].items() if t not in (PAD, UNK)}
+        return F.coalesce(*([lookup(F.col(f).cast("string"), spelled)] if spelled else []), lookup(field_value(f), maps[f]), F.lit(UNK_ID)).cast("long").alias(f)
+
+    out = tokens.select("sample_id", "token_index", *[code(f) if f in maps else field_value(f).alias(f) for f in fields])
     for f in fields:
         if f not in maps:
             one = voc.where(F.col("field") == f).select(F.col("token").alias(f), F.col("id").alias("_id"))
@@ -129,12 +138,12 @@ def problems(vocabulary: DataFrame) -> DataFrame:
     return both.select("field", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(m)) for t, m in tests]))).alias("problem"))
 
 
-def fingerprint(vocabulary: DataFrame) -> str:
-    """SHA-256 (16 digits) of the dictionary as JSON with sorted keys; a dictionary is small enough for the driver."""
+def fingerprint(vocabulary: DataFrame, algorithm: str = "sha256") -> str:
+    """Digest (16 digits; ``algorithm`` sha256 or md5) of the dictionary as JSON with sorted keys; a dictionary is small enough for the driver."""
     fields: dict[str, list] = {}
     for r in vocabulary.orderBy("field", "id").collect():
         fields.setdefault(r.field, []).append(r.token)
-    return hashlib.sha256(json.dumps(fields, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+    return hashlib.new(algorithm, json.dumps(fields, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
 
 
 def save(vocabulary: DataFrame, path: str, version: str = "1") -> None:

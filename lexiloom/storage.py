@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import functools
+import os
 import shutil
 import tempfile
 import threading
@@ -61,8 +62,8 @@ def measured_cut(df: DataFrame, name: str = "t", **measures: Column) -> tuple[Da
 def _delete(path: str) -> None:
     """Removes a folder of the shared file system. What cannot be removed stays; it is not read again."""
     try:
-        if path.startswith("file:"):
-            shutil.rmtree("/" + path[5:].lstrip("/"), True)
+        if path.startswith("file:") or os.path.isdir(path):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), True)
         else:
             from pyarrow import fs
 

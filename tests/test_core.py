@@ -120,23 +120,95 @@ def test_assignment_keeps_groups(spark):
     assert sum(r.n for r in split.split_report(a).collect()) == 300
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_token_budget(seed):
-    r = random.Random(seed)
-    lengths = sorted(r.randrange(1, 60) for _ in range(200))
-    hist = {n: lengths.count(n) for n in set(lengths)}
-    got = batching.token_budget_batches(hist, 300)
-    want, cur = [], []
-    for n in lengths:
-        if cur and n * (len(cur) + 1) > 300:
-            want.append(len(cur))
+def greedy_batches(lengths, budget):
+    out, cur = [], []
+    for n in sorted(lengths):
+        if cur and n * (len(cur) + 1) > budget:
+            out.append(cur)
             cur = []
         cur.append(n)
-    want.append(len(cur))
-    assert [e - s + 1 for s, e in got] == want
-    assert batching.token_budget_batches({}, 10) == []
+    return out + [cur] if cur else out
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_token_budget(seed):
+    r = random.Random(seed)
+    lengths = sorted(r.choice((3, 7, 8, 50, r.randrange(1, 60))) for _ in range(200))
+    plan, batches = batching.layout({n: lengths.count(n) for n in set(lengths)}, 300)
+    where = [b for n, _, b, room, cap in plan for b in [b if k < room else b + 1 + (k - room) // cap for k in range(lengths.count(n))]]
+    want = [k for k, b in enumerate(greedy_batches(lengths, 300)) for _ in b]
+    assert where == want and batches == want[-1] + 1
+    assert batching.layout({}, 10) == ([], 0)
+    with pytest.raises(ValueError):
+        batching.layout({11: 1}, 10)
     with pytest.raises(ValueError):
-        batching.token_budget_batches({11: 1}, 10)
+        batching.layout({1: 1}, 0)
+
+
+def test_planned_batches(spark):
+    r = random.Random(3)
+    rows_ = [(f"s{i:03d}", r.randrange(1, 30)) for i in range(150)]
+    df = spark.createDataFrame(rows_, "id string, len int").withColumns({c: F.lit("z") for c in ("_all", "batch_", "rank_")})
+    want = greedy_batches([n for _, n in rows_], 100)
+    got = batching.plan_batches(df, "id", "len", 100).collect()
+    assert [sorted(x.len for x in got if x.batch == k) for k in range(len(want))] == want and sorted(x["rank"] for x in got) == list(range(1, 151))
+    mixed = {e: {x.id: x.batch for x in batching.plan_batches(df, "id", "len", 100, seed=1, epoch=e).collect()} for e in (0, 1)}
+    groups = lambda m: sorted(sorted(i for i in m if m[i] == b) for b in set(m.values()))
+    assert groups(mixed[0]) == groups(mixed[1]) == groups({x.id: x.batch for x in got}) and mixed[0] != mixed[1] and set(mixed[0].values()) == set(range(len(want)))
+    assert batching.plan_batches(df, "id", "len", 100, drop_last=True).count() == 150 - len(want[-1])
+    assert batching.plan_batches(df.limit(0), "id", "len", 100, seed=1).count() == 0
+
+
+def test_hot_key_is_split(spark, monkeypatch):
+    """A key with half of all rows: a side grouped by the key keeps AQE from splitting the join, a written one does not."""
+    from lexiloom.storage import cut, skew_safe
+
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "128k", "spark.sql.shuffle.partitions": "8"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        n = 200_000
+        df = cut(spark.range(0, n, 1, 8).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("value"), F.sha2(F.col("id").cast("string"), 256).alias("pad")))
+        grouped = df.groupBy("key").agg(F.min("value").alias("least"))
+
+        def largest(side):
+            with skew_safe(spark):
+                out = cut(df.join(side, "key").withColumn("p", F.spark_partition_id()))
+            assert out.count() == n
+            return out.groupBy("p").count().agg(F.max("count")).first()[0]
+
+        assert largest(cut(grouped)) < 0.3 * n < largest(grouped)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_cuts_are_dropped(spark):
+    from pathlib import Path
+
+    from lexiloom.storage import cut, shared_dir, tidy
+
+    @tidy
+    def operator(df):
+        a = cut(df, "dropped-one")
+        return cut(a.where("id > 1"), "kept-one")
+
+    out = operator(spark.range(5))
+    names = {p.name.rsplit("-", 1)[0] for p in Path("/" + shared_dir(spark).removeprefix("file:").lstrip("/")).iterdir()}
+    assert out.count() == 3 and "kept-one" in names and "dropped-one" not in names
+
+
+def test_radix_percentiles_of_the_profile(spark):
+    import numpy as np
+
+    r = random.Random(5)
+    xs = [r.uniform(-5, 200) for _ in range(400)] + [0.0, -0.0, 1e-310]
+    df = spark.createDataFrame([("a" if i % 3 else None, x) for i, x in enumerate(xs)] + [("b", None), ("b", float("nan")), ("b", float("inf"))], "g string, x double")
+    one = profile.numeric_profile(df, "x").first()
+    assert one.n == len(xs) and [one.p05, one.p50, one.p95] == pytest.approx([np.percentile(xs, p) for p in (5, 50, 95)])
+    by = {q.g: q for q in profile.numeric_profile(df, "x", ["g"]).collect()}
+    assert set(by) == {"a", None} and by["a"].p50 == pytest.approx(np.percentile([x for i, x in enumerate(xs) if i % 3], 50))
 
 
 def test_padding(spark, rows):
