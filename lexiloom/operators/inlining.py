@@ -11,11 +11,14 @@ runs in Python and nothing is shuffled. Values that hold JSON as text are parsed
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import measured_cut
+
 
 @dataclass(frozen=True)
 class Edge:
@@ -140,6 +143,7 @@ def shred(records: DataFrame, graph: SchemaGraph, keys: list[str], payload: str,
     ``carried`` (table -> one of its leaves) gives that leaf to the tables below too, so that they need no join for it.
     Elements reached along several edges from one parent are numbered through in the order of the edges; those in
     ``choose_first`` take only the first edge along which there is anything.
+    An element shared by several parent tables has one table with the keys of each; those of the parents a row does not belong to are null.
     A recursive element gets ``<name>_path`` (positions from its first ancestor down) and is unrolled level by level until
     no row is left. Repeated records must be removed by the caller.
     """
@@ -148,37 +152,39 @@ def shred(records: DataFrame, graph: SchemaGraph, keys: list[str], payload: str,
     live: dict[str, tuple[list[str], DataFrame]] = {graph.root: (list(keys), parsed)}
     todo = [n for n in has_table if n != graph.root]
     while todo:
-        ready = [n for n in todo if any(p in live for p, _ in graph.parents(n) if p != n)]
+        ready = [n for n in todo if all(p in live for p, _ in graph.parents(n) if p != n) and any(p != n for p, _ in graph.parents(n))]
         if not ready:
-            raise ValueError(f"no way from the root to {todo}")
+            raise ValueError(f"no way from the root to {todo}, or they contain each other through tables of their own")
         for name in ready:
             todo.remove(name)
             ways: dict[str, list[str]] = {}
             for parent, path in graph.parents(name):
                 ways.setdefault(parent, []).append(path)
-            parents = [p for p in ways if p != name]
-            if len(parents) != 1:
-                raise ValueError(f"{name}: parents {parents}; give each its own element")
-            above, frame = live[parents[0]]
-            v = F.col("_v")
-            found = [instances(v, p) for p in ways[parents[0]]]
-            if name in choose_first:
-                every = F.coalesce(*[F.when(F.size(x) > 0, x) for x in found])
-            else:
-                every = F.concat(*found) if len(found) > 1 else found[0]
-            pos = f"{name}_pos"
-            rows = frame.select(*above, F.posexplode(every).alias("_i", "_e")).select(*above, (F.col("_i") + 1).cast("long").alias(pos), F.col("_e").alias("_v")).where(is_object(F.col("_v")))
+            v, pos = F.col("_v"), f"{name}_pos"
+            rows, above = None, []
+            for parent in (p for p in ways if p != name):
+                keys_above, frame = live[parent]
+                found = [instances(v, p) for p in ways[parent]]
+                if name in choose_first:
+                    every = F.coalesce(*[F.when(F.size(x) > 0, x) for x in found])
+                else:
+                    every = F.concat(*found) if len(found) > 1 else found[0]
+                part = frame.select(*keys_above, F.posexplode(every).alias("_i", "_e")).select(*keys_above, (F.col("_i") + 1).cast("long").alias(pos), F.col("_e").alias("_v")).where(is_object(F.col("_v")))
+                rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
+                above += [c for c in keys_above if c not in above]
             cols = [*above, pos]
             if has_table[name] == "recursive":
-                rows = rows.withColumn(f"{name}_path", F.array(F.col(pos)))
-                cols.append(f"{name}_path")
-                level = rows
-                while level.limit(1).count():
-                    inner = F.concat(*[instances(F.col("_v"), p) for p in ways[name]])
-                    level = level.select(*cols, F.posexplode(inner).alias("_i", "_e")).select(
-                        *above, pos, F.concat(F.col(cols[-1]), F.array((F.col("_i") + 1).cast("long"))).alias(cols[-1]), F.col("_e").alias("_v")
-                    ).where(is_object(F.col("_v")))
-                    rows = rows.unionByName(level)
+                path = f"{name}_path"
+                cols.append(path)
+                inner = [instances(v, p) for p in ways[name]]
+                inner = F.concat(*inner) if len(inner) > 1 else inner[0]
+                level, seen = measured_cut(rows.withColumn(path, F.array(F.col(pos))), "level")
+                rows = level
+                while seen["n"]:  # each level is written, so the next starts from it and none is made twice
+                    deeper = level.select(*cols, F.posexplode(inner).alias("_i", "_e")).select(*above, pos, F.concat(F.col(path), F.array((F.col("_i") + 1).cast("long"))).alias(path), F.col("_e").alias("_v"))
+                    level, seen = measured_cut(deeper.where(is_object(F.col("_v"))), "level")
+                    if seen["n"]:
+                        rows = rows.unionByName(level)
             if carried and name in carried:
                 own = graph.elements[name].leaves[carried[name]]
                 rows, cols = rows.withColumn(carried[name], leaf(F.col("_v"), *own)), [*cols, carried[name]]
@@ -186,6 +192,74 @@ def shred(records: DataFrame, graph: SchemaGraph, keys: list[str], payload: str,
     return {n: frame.select(*cols, *[leaf(F.col("_v"), p, t).alias(c) for c, (p, t) in graph.columns(n).items() if c not in cols]) for n, (cols, frame) in live.items()}
 
 
+# What the schema of a VARIANT calls a value, and the type its column gets; of other values the JSON text is kept.
+LEAF_TYPES = {"BIGINT": "bigint", "INT": "bigint", "SMALLINT": "bigint", "TINYINT": "bigint", "DECIMAL": "double", "DOUBLE": "double", "FLOAT": "double", "STRING": "string", "BOOLEAN": "boolean"}
+
+
+def _schema(text: str):
+    """``OBJECT<a: T, ...>`` as a dictionary, ``ARRAY<T>`` as a one-element list, anything else as its first word."""
+
+    def value(at: int):
+        word = re.compile(r"[A-Z_]+").match(text, at)[0]
+        at += len(word)
+        if word == "OBJECT":
+            out, at = {}, at + 1
+            while text[at] != ">":
+                m = re.compile(r"(?:`((?:[^`]|``)*)`|([^:`]+)): ").match(text, at)
+                name = m[1].replace("``", "`") if m[1] is not None else m[2]
+                out[name], at = value(m.end())
+                at += 2 if text[at] == "," else 0
+            return out, at + 1
+        if word == "ARRAY":
+            inner, at = value(at + 1)
+            return [inner], at + 1
+        if at < len(text) and text[at] == "(":
+            at = text.index(")", at) + 1
+        return word, at
+
+    return value(0)[0]
+
+
+def analyse(records: DataFrame, payload: str, root: str = "record") -> SchemaGraph:
+    """The schema graph of the data: an element per member name that holds objects, an edge per way it is reached, leaves with the types all payloads agree on.
+
+    Objects under one name are one element wherever they stand, so what is reached from several parents becomes shared and what contains itself recursive. The schema
+    is a mergeable aggregate over all payloads; it alone reaches the driver. Payloads that are lists are lists of the root element, unreadable ones add nothing. A
+    member named like ``root`` counts as the root; names with dots or brackets cannot be paths and are left out.
+    """
+    v = F.try_parse_json(payload)
+    kinds = records.select(v.alias("v")).where("v is not null").groupBy(F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0).alias("kind")).agg(F.schema_of_variant_agg("v").alias("s")).collect()
+    elements: dict[str, Element] = {root: Element(root)}
+    edges: dict[tuple[str, str, str], None] = {}
+
+    def visit(name: str, members: dict) -> None:
+        element = elements.setdefault(name, Element(name))
+        for member, kind in members.items():
+            if re.search(r"[.\[\]']", member):
+                continue
+            stars, inner = "", kind
+            while isinstance(inner, list):
+                stars, inner = stars + "[*]", inner[0]
+            if isinstance(inner, dict) and len(stars) <= 3:
+                edges[name, member, member + stars] = None
+                visit(member, inner)
+            else:
+                found = LEAF_TYPES.get(inner, "json") if not stars and isinstance(inner, str) else "json"
+                before = element.leaves.get(member, (member, found))[1]
+                if inner != "VOID" or stars or member not in element.leaves:
+                    element.leaves[member] = (member, found if before == found else "json")
+
+    for row in kinds:
+        tree = _schema(row.s)
+        if isinstance(tree, list) and isinstance(tree[0], dict):
+            tree = tree[0]
+        if isinstance(tree, dict):
+            visit(root, tree)
+    for e in elements.values():  # what holds objects somewhere is no leaf
+        e.leaves = {c: x for c, x in e.leaves.items() if (e.name, c) not in {(p, q) for p, q, _ in edges}}
+    return SchemaGraph(root, list(elements.values()), [Edge(*e) for e in edges])
+
+
 #: Deliveries of samples. A payload is a sample, wraps one in an envelope, or lists several; tokens hang directly below a sample or below its phrases and words.
 DELIVERY_GRAPH = SchemaGraph(
     "delivery",

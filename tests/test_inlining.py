@@ -57,3 +57,29 @@ def test_delivered_tokens_pass_through_shred(spark, rows, monkeypatch):
     raw = spark.createDataFrame([("a", '{"samples": [{"sample_id": "x", "tokens": [{}, null, {}]}, {"tokens": [{}]}]}'), ("b", '{"sample_id": "y", "tokens": [{}]}')], "raw_id string, payload string")
     assert rows(inlining.delivered_tokens(raw)) == [("a", 1, "x", 1), ("a", 1, "x", 3), ("a", 2, "", 1), ("b", 1, "y", 1)]
     assert len(seen) == 1
+
+
+def test_shared_element_has_a_key_per_parent(spark, rows):
+    from lexiloom.operators.inlining import analyse
+
+    docs = [
+        {"id": 7, "authors": [{"name": "A", "address": {"city": "X"}}, {"name": "B"}], "publishers": [{"label": "P", "address": {"city": "Y"}}], "parts": [{"no": 1, "parts": [{"no": 2, "parts": [{"no": 3}]}]}]},
+        {"id": None, "authors": [], "one": {"deep": {"size": 1.5}}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(docs)] + [(8, "{broken"), (9, None)], "k long, j string")
+    g = analyse(df, "j")
+    assert g.tables() == {"record": "root", "authors": "repeated", "publishers": "repeated", "address": "shared", "parts": "recursive"}
+    out = shred(df, g, ["k"], "j")
+    assert set(out) == set(g.tables()) and g.columns("record")["one_deep_size"] == ("one.deep.size", "double")
+    assert rows(out["address"], "k", "authors_pos", "publishers_pos", "address_pos", "city") == sorted([(0, 1, None, 1, "X"), (0, None, 1, 1, "Y")], key=repr)
+    assert rows(out["parts"], "parts_path", "no") == sorted([([1], 1), ([1, 1], 2), ([1, 1, 1], 3)], key=repr)
+    assert rows(out["record"], "k", "id", "one_deep_size") == sorted([(0, 7, None), (1, None, 1.5)], key=repr)
+    assert analyse(df.limit(0), "j").tables() == {"record": "root"}
+
+
+def test_analysed_graph_gives_all_tokens(spark):
+    from lexiloom.operators.inlining import analyse
+
+    raw = spark.createDataFrame([(1, json.dumps({"tokens": tokens("x", None, "y")})), (2, json.dumps({"samples": [{"tokens": tokens("z")}, {"phrases": [{"words": [{"tokens": tokens("p", "q")}]}]}]}))], "k long, j string")
+    out = shred(raw, analyse(raw, "j"), ["k"], "j")["tokens"]
+    assert sorted((r.k, r.samples_pos, r.words_pos, r.tokens_pos, r.phoneme) for r in out.where("samples_pos is not null or words_pos is null").fillna(0).collect()) == [(1, 0, 0, 1, "x"), (1, 0, 0, 3, "y"), (2, 1, 0, 1, "z"), (2, 2, 1, 1, "p"), (2, 2, 1, 2, "q")]
