@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import checked_broadcast, cut, tidy
@@ -82,6 +82,13 @@ def pad_batches(rows: DataFrame, batch: str, arrays: dict[str, float | int]) ->
     return out.withColumns({**{c: fill(c, v) for c, v in arrays.items()}, "mask": mask}).drop("_max")
 
 
+def flatten_batches(padded: DataFrame, batch: str, key: str, value: str) -> DataFrame:
+    """``batch, row, position, value`` (both from 0) of the real places of padded batches, rows of a batch in order of ``key``. A batch is bounded by its budget."""
+    row = F.row_number().over(Window.partitionBy(batch).orderBy(key)) - 1
+    t = padded.select("*", row.cast("long").alias("row")).select(batch, "row", F.posexplode(F.arrays_zip(F.col(value).alias("v"), F.col("mask").alias("m"))).alias("position", "x"))
+    return t.where("x.m").select(batch, "row", F.col("position").cast("long").alias("position"), F.col("x.v").alias(value))
+
+
 def batch_sizes(padded: DataFrame, batch: str, labelled: str | None = None) -> DataFrame:
     """``batch, rows, real, padded, supervised`` token counts; ``labelled`` is an array whose non-negative places are supervised."""
     real = lambda a: F.size(F.filter(a, lambda x: x))

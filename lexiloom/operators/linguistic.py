@@ -147,3 +147,14 @@ def neighbours(tokens: DataFrame, column: str = "phoneme") -> DataFrame:
     return tokens.withColumns({f"{column}_before": F.lag(column).over(w), f"{column}_after": F.lead(column).over(w)})
 
 
+
+
+def nested_roles(tokens: DataFrame, word: list[str], kind: str = "articulatory_type", language: str = "language", order: str = "token_index") -> DataFrame:
+    """``tokens`` with ``role`` from the words alone: in Chinese the consonants before a word's first vowel are its onset, that vowel is the nucleus and the rest coda; elsewhere a vowel is a nucleus, a consonant an onset if a vowel follows it in the word, else coda. Silence is silence."""
+    w = Window.partitionBy(*word).orderBy(order)
+    vowel = F.col(kind) == "vowel"
+    first = F.min(F.when(vowel, F.col(order))).over(Window.partitionBy(*word))
+    at = F.col(order)
+    chinese = F.when(first.isNull() | (at < first), "onset").when(at == first, "nucleus").otherwise("coda")
+    other = F.when(vowel, "nucleus").when(F.coalesce(F.lead(vowel).over(w), F.lit(False)), "onset").otherwise("coda")
+    return tokens.withColumn("role", F.when(F.col(kind) == "silence", "silence").when(F.col(language) == "zh", chinese).otherwise(other))

@@ -55,6 +55,50 @@ def errors(rows: DataFrame, target: Column, predicted: Column, by: list | None =
     return out if by else out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in ("mae", "rmse", "median")])
 
 
+def state(rows: DataFrame, target: str, predicted: str, target_value: str, predicted_value: str, by: list[str] | None = None) -> DataFrame:
+    """Mergeable partial result of both kinds of metrics: ``by..., target, predicted, n`` cells with ``values, absolute, squared`` sums of the strength errors. Can be stored by day or part; rows with a null class have null cells and count for the errors alone."""
+    e = F.abs(F.col(predicted_value) - F.col(target_value))
+    cells = rows.groupBy(*(by or []), F.col(target).cast("long").alias("target"), F.col(predicted).cast("long").alias("predicted"))
+    return cells.agg(F.count("*").alias("n"), F.count(e).alias("values"), F.coalesce(F.sum(e), F.lit(0.0)).alias("absolute"), F.coalesce(F.sum(e * e), F.lit(0.0)).alias("squared"))
+
+
+def merge_states(*states: DataFrame) -> DataFrame:
+    """States of disjoint parts as one; merging in any order or grouping gives the same."""
+    every = reduce(lambda a, b: a.unionByName(b), [s.select("target", "predicted", "n", "values", "absolute", "squared") for s in states])
+    return every.groupBy("target", "predicted").agg(*[F.sum(c).alias(c) for c in ("n", "values", "absolute", "squared")])
+
+
+def finalise(merged: DataFrame, classes: int) -> DataFrame:
+    """One row ``accuracy, macro_f1, weighted_f1, total, mae, rmse`` of a merged state; zeros for an empty one."""
+    cells = merged.where("target is not null and predicted is not null").select("target", "predicted", "n")
+    grid = merged.sparkSession.range(classes * classes).select(F.floor(F.col("id") / classes).alias("target"), (F.col("id") % classes).alias("predicted"))
+    matrix = grid.join(cells, ["target", "predicted"], "left").select("target", "predicted", F.coalesce("n", F.lit(0)).alias("n"))
+    mean = lambda c: F.coalesce(F.try_divide(F.sum(c), F.sum("values")), F.lit(0.0))
+    return overall(matrix).crossJoin(merged.agg(mean("absolute").alias("mae"), F.sqrt(mean("squared")).alias("rmse")))
+
+
+def masked(rows: DataFrame, mask: Column, target: str, predicted: str, target_value: str, predicted_value: str) -> DataFrame:
+    """``accuracy, mae`` over the rows where ``mask`` holds; 0 where none does."""
+    ok = rows.where(F.coalesce(mask, F.lit(False)))
+    hit = F.avg((F.col(target) == F.col(predicted)).cast("double"))
+    return ok.agg(F.coalesce(hit, F.lit(0.0)).alias("accuracy"), F.coalesce(F.avg(F.abs(F.col(predicted_value) - F.col(target_value))), F.lit(0.0)).alias("mae"))
+
+
+# Lines of acceptance: least macro F1, largest mean absolute error, largest fall of accuracy against a baseline.
+MIN_F1, MAX_ERROR, MAX_FALL = 0.92, 8.0, 0.005
+
+
+def acceptance(results: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
+    """``check, passed`` of one-row frames ``accuracy, macro_f1, mae``; a null or NaN fails its check. Without a baseline its check is left out."""
+    r = results.select("accuracy", "macro_f1", "mae")
+    checks = [("macro F1", F.col("macro_f1") >= MIN_F1), ("strength error", F.col("mae") <= MAX_ERROR)]
+    if baseline is not None:
+        r = r.crossJoin(baseline.select(F.col("accuracy").alias("_before")))
+        checks.append(("no regression", F.col("accuracy") >= F.col("_before") - MAX_FALL - 1e-12))
+    finite = lambda c: F.coalesce(c & ~F.isnan("macro_f1") & ~F.isnan("mae") & ~F.isnan("accuracy"), F.lit(False))
+    return r.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check"), finite(c).alias("passed")) for k, c in checks])).alias("x")).select("x.*")
+
+
 SLICES = ("language", "surface_tone", "stress", "syllable_role", "phrase_position", "length_bucket")
 
 
@@ -66,12 +110,23 @@ def with_slices(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("_len", n).withColumn("slice_key", F.array(*[F.struct(F.lit(s).alias("slice"), k.alias("key")) for s, k in keys.items()])).drop("_len")
 
 
-def slice_metrics(tokens: DataFrame, target: str, predicted: str, target_value: str, predicted_value: str) -> DataFrame:
-    """``slice, key, tokens, accuracy, macro_f1, mae`` of each slice, in one pass: per (slice, key, target, predicted) partial sums, then per slice. Only rows with all four values count."""
+def with_context_slices(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with ``slice_key``: types of the phonemes before and behind, the tone before, and the third of the sentence a token lies in; 'edge' where there is no neighbour, 'none' for null."""
+    w = Window.partitionBy("sample_id").orderBy("token_index")
+    rank, n = F.row_number().over(w), F.count("*").over(Window.partitionBy("sample_id"))
+    named = lambda c, there: F.when(there.isNull(), "edge").otherwise(F.coalesce(c.cast("string"), F.lit("none")))
+    before, after = F.lag(F.lit(1)).over(w), F.lead(F.lit(1)).over(w)
+    third = F.element_at(F.array(F.lit("start"), F.lit("middle"), F.lit("end")), (F.floor((rank - 1) * 3 / n) + 1).cast("int"))
+    keys = {"type_before": named(F.lag("articulatory_type").over(w), before), "type_after": named(F.lead("articulatory_type").over(w), after), "tone_before": named(F.lag("surface_tone").over(w), before), "sentence_third": third}
+    return tokens.withColumn("slice_key", F.array(*[F.struct(F.lit(s).alias("slice"), k.alias("key")) for s, k in keys.items()]))
+
+
+def slice_metrics(tokens: DataFrame, target: str, predicted: str, target_value: str, predicted_value: str, slices=None) -> DataFrame:
+    """``slice, key, tokens, accuracy, macro_f1, mae`` of each slice (:func:`with_slices`, or ``slices`` in its place), in one pass: per (slice, key, target, predicted) partial sums, then per slice. Only rows with all four values count."""
     ok = tokens
     for c in (target, predicted, target_value, predicted_value):
         ok = ok.where(F.col(c).isNotNull())
-    cells = with_slices(ok).select(F.explode("slice_key").alias("s"), F.col(target).alias("t"), F.col(predicted).alias("p"), F.abs(F.col(predicted_value) - F.col(target_value)).alias("e")).groupBy("s.slice", "s.key", "t", "p").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
+    cells = (slices or with_slices)(ok).select(F.explode("slice_key").alias("s"), F.col(target).alias("t"), F.col(predicted).alias("p"), F.abs(F.col(predicted_value) - F.col(target_value)).alias("e")).groupBy("s.slice", "s.key", "t", "p").agg(F.count("*").alias("n"), F.sum("e").alias("e"))
     each = F.explode(F.array(F.struct(F.col("t").alias("c"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said")), F.struct(F.col("p").alias("c"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said")))).alias("x")
     cls = cells.select("slice", "key", "n", "t", "p", each).groupBy("slice", "key", "x.c").agg(F.sum("x.support").alias("support"), F.sum("x.said").alias("said"), F.sum(F.when((F.col("t") == F.col("p")) & (F.col("x.support") > 0), F.col("n")).otherwise(0)).alias("hit"))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("hit"), F.col("support") + F.col("said")), F.lit(0.0))
@@ -156,11 +211,10 @@ def gate_verdict(checks: DataFrame) -> DataFrame:
     return checks.agg(F.coalesce(F.bool_and("passed"), F.lit(False)).alias("passed"))
 
 
-def log_windows(log: DataFrame, step: str, value: str, every: int) -> DataFrame:
-    """``window, steps, mean``: means of consecutive windows of ``every`` steps; a last window that is not full is left out unless it is the only one."""
-    w = log.groupBy(F.floor((F.col(step) - 1) / every).alias("window")).agg(F.count("*").alias("steps"), F.avg(value).alias("mean"))
-    full = w.withColumn("_first", F.col("window") == 0)
-    return full.where((F.col("steps") == every) | F.col("_first")).drop("_first")
+def log_windows(log: DataFrame, step: str, value: str, every: int, by: list[str] | None = None, partial: bool = False) -> DataFrame:
+    """``by..., window, steps, mean``: means of consecutive windows of ``every`` steps; a last window that is not full is left out unless it is the only one, or ``partial`` asks for it."""
+    w = log.groupBy(*(by or []), F.floor((F.col(step) - 1) / every).alias("window")).agg(F.count("*").alias("steps"), F.avg(value).alias("mean"))
+    return w if partial else w.where((F.col("steps") == every) | (F.col("window") == 0))
 
 
 def running_best(log: DataFrame, run: str, step: str, value: str, higher_is_better: bool = True) -> DataFrame:

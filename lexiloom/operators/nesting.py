@@ -23,6 +23,32 @@ def nest(tokens: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     return latest_samples(samples).join(lists, "sample_id", "full").withColumn("tokens", F.coalesce("tokens", F.array().cast(lists.schema["tokens"].dataType)))
 
 
+# Blocks of a token record, and the flat columns of their fields.
+BLOCKS = {
+    "articulatory": {c: f"articulatory_{c}" for c in ("type", "height", "backness", "rounded", "place", "manner", "voiced", "aspirated")},
+    "boundary": {c: f"boundary_{c}" for c in ("word_start", "word_end", "phrase_start", "phrase_end", "boundary_type")},
+    "labels": {c: c for c in ("viseme_id", "strength", "viseme_source", "strength_source")},
+}
+
+
+def records(tokens: DataFrame, samples: DataFrame | None = None) -> DataFrame:
+    """``sample_id, value``: each sentence of the flat tables as the JSON record it was made from, tokens in order; null fields are left out, and so are columns the table lacks."""
+    have = set(tokens.columns)
+    plain = [c for c in ("phoneme", "language", "surface_tone", "stress", "syllable_role") if c in have]
+    blocks = {b: [F.col(col).alias(f) for f, col in fields.items() if col in have] for b, fields in BLOCKS.items()}
+    one = F.struct(*plain, *[F.struct(*cols).alias(b) for b, cols in blocks.items() if cols])
+    lists = tokens.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("token_index", F.to_json(one).alias("j")))).alias("t"))
+    head = lists.select("sample_id", F.array_join("t.j", ",").alias("_tokens"))
+    meta = ["sample_id"]
+    if samples is not None:
+        s = latest_samples(samples) if "ingested_at" in samples.columns else samples
+        kept = [c for c in ("schema_version", "text") if c in s.columns]
+        head, meta = head.join(s.select("sample_id", *kept), "sample_id", "left"), ["sample_id", *kept]
+    opening = F.regexp_replace(F.to_json(F.struct(*meta)), "[}]$", "")
+    comma = F.when(opening == "{", "").otherwise(",")
+    return head.select("sample_id", F.concat(opening, comma, F.lit('"tokens":['), "_tokens", F.lit("]}")).alias("value"))
+
+
 def flatten(nested: DataFrame) -> DataFrame:
     """``sample_id, token_index`` (from 1 by position) and the token's other fields."""
     t = nested.select("sample_id", F.posexplode("tokens").alias("_i", "_t"))

@@ -173,6 +173,12 @@ def violations(records: DataFrame, payload: str, rules: Rules = Rules(), tokens:
     return records.withColumn("_v", F.col(payload) if tokens else F.try_parse_json(payload)).withColumn("violations", F.when(F.col("_v").isNull(), unreadable).otherwise(every)).drop("_v")
 
 
+def auto_id(payload: Column, location: Column) -> Column:
+    """The ``sample_id`` of a JSON record; where it is missing, null or empty ``<location>#auto``."""
+    given = F.try_variant_get(F.try_parse_json(payload), "$.sample_id", "string")
+    return F.coalesce(F.nullif(given, F.lit("")), F.concat(location, F.lit("#auto")))
+
+
 class InvalidRecord(ValueError):
     pass
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import batching, dedup, inlining, linguistic, metrics, nesting, profile, score, split, validation, vocab
+from ..operators import batching, dedup, inlining, linguistic, metrics, nesting, profile, requests, score, split, validation, vocab
 from ..storage import cut, table, tidy
 
 
@@ -53,6 +55,25 @@ def nest_sequences(spark, d):
     return s.select("sample_id", F.size("phonemes").cast("long").alias("n"), F.array_join("phonemes", " ").alias("phonemes"))
 
 
+def p3_tables(spark, d):
+    """Rows of each table that the schema graph analysed from the deliveries gives."""
+    rows = table(spark, d, "raw_records").select("raw_id", "payload").distinct()
+    out = inlining.shred(rows, inlining.analyse(rows, "payload"), ["raw_id"], "payload")
+    return reduce(DataFrame.unionByName, [t.groupBy().agg(F.count("*").alias("n")).select(F.lit(name).alias("element"), "n") for name, t in sorted(out.items())])
+
+
+def _ranked(spark, d):
+    t = _tokens(spark, d, "phoneme", "language", "surface_tone", "viseme_id").select("sample_id", "token_index", "phoneme", "language", "surface_tone", "viseme_id")
+    return t.withColumn("token_index", F.row_number().over(Window.partitionBy("sample_id").orderBy("token_index", "phoneme", "language", "surface_tone", "viseme_id")).cast("long"))
+
+
+def renest_changes(spark, d):
+    """Fields that differ after nesting tokens in which the tones of one class were blanked: those and no others."""
+    t = _ranked(spark, d)
+    spoiled = t.withColumn("surface_tone", F.when(F.coalesce(F.col("viseme_id") != 5, F.lit(True)), F.col("surface_tone")))
+    return nesting.differences(t, nesting.flatten(nesting.nest(spoiled)).select(*t.columns), ["sample_id", "token_index"])
+
+
 def renest_roundtrip(spark, d):
     """Fields that differ after nesting and flattening again: none."""
     t = _tokens(spark, d, "phoneme", "language", "strength", "syllable_role").select("sample_id", "token_index", "phoneme", "language", "strength", "syllable_role")
@@ -99,6 +120,39 @@ def record_violations(spark, d):
     return validation.rule_counts(validation.violations(inlining.delivered_samples(rows), "sample", tokens="tokens"))
 
 
+def revalidated_pair(spark, d):
+    """Rules broken by the sentences of the flat tables, put together as records again."""
+    t = _tokens(spark, d, *vocab.FIELDS, "viseme_id", "strength", "viseme_source", "strength_source").where("sample_id is not null")
+    return validation.rule_counts(validation.violations(nesting.records(t, table(spark, d, "samples")), "value"))
+
+
+def auto_ids(spark, d):
+    """Ids of delivered samples, made from their place where they have none."""
+    rows = table(spark, d, "raw_records").select("raw_id", "payload").distinct()
+    s = inlining.delivery_tables(rows)["sample"]
+    value = F.to_json(F.struct("sample_id"))
+    return s.select("raw_id", "sample_pos", validation.auto_id(value, F.concat_ws(":", "raw_id", "sample_pos")).alias("sample_id"))
+
+
+def service_requests(spark, d):
+    """Entries of service requests, made from the teacher's columns, after normalisation."""
+    t = _tokens(spark, d, "teacher_raw_phoneme", "teacher_word_index", "teacher_char_index").where("sample_id is not null")
+    entry = F.to_json(F.struct(F.col("teacher_raw_phoneme").alias("ipa"), F.col("teacher_word_index").alias("wordIndex"), F.col("teacher_char_index").alias("charIndex")))
+    sent = t.groupBy(F.col("sample_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("token_index", entry.alias("j")))).alias("v"))
+    made = sent.select("request_id", F.concat(F.lit('{"visemes":['), F.array_join("v.j", ","), F.lit("]}")).alias("payload"))
+    r = requests.request_rows(made)
+    return r.groupBy("phoneme", "word_index", "char_index").agg(F.count("*").alias("n"), F.sum("position").alias("positions"))
+
+
+def request_features(spark, d):
+    """Features of requests with words: entries of the texts' characters."""
+    c = linguistic.characters(table(spark, d, "samples").select("sample_id", "text").distinct())
+    entry = F.to_json(F.struct(F.col("ch").alias("ipa"), F.col("ch").alias("word"), F.floor((F.col("pos") - 1) / 2).alias("wordIndex"), (F.col("pos") - 1).alias("charIndex")))
+    sent = c.groupBy(F.col("sample_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("pos", entry.alias("j")))).alias("v"))
+    r = requests.request_rows(sent.select("request_id", F.concat(F.lit('{"visemes":['), F.array_join("v.j", ","), F.lit("]}")).alias("payload")))
+    return requests.request_tokens(r).groupBy("language", "surface_tone", "word_start", "word_end", "phrase_start", "phrase_end", "boundary_type").agg(F.count("*").alias("n"))
+
+
 def json_typed(spark, d):
     """Typed leaves of the generation metadata."""
     v = F.try_parse_json("generation")
@@ -184,7 +238,11 @@ def vocab_sizes(spark, d):
 
 
 def vocab_problems(spark, d):
-    return vocab.problems(cut(vocab.build(_tokens(spark, d, *vocab.FIELDS)), "vocabulary"))
+    """Problems of a dictionary that was spoiled in five places; one that was not has none (tested)."""
+    v = cut(vocab.build(_tokens(spark, d, *vocab.FIELDS)), "vocabulary")
+    kept = v.where("not (field = 'language' and id = 1) and not (field = 'stress' and id = 2) and field <> 'syllable_role'")
+    more = kept.where("field = 'phoneme' and id = 2").select("field", F.col("token"), F.col("id") + 1)
+    return vocab.problems(kept.union(more).union(kept.where("field = 'stress'").select(F.lit("colour"), "token", "id")))
 
 
 def encode_tokens(spark, d):
@@ -247,6 +305,15 @@ def split_leaks(spark, d):
     return split.leaks(cut(split_assign(spark, d), "assigned"), s)
 
 
+def current_leaks(spark, d):
+    """Leaks of the current splits: duplicate groups and signatures in several of them."""
+    m = table(spark, d, "split_members").where("sample_id is not null and split_name is not null")
+    now = m.groupBy("sample_id").agg(F.max(F.struct("assigned_at", "split_name")).alias("m")).select("sample_id", F.col("m.split_name").alias("split"))
+    s = dedup.signatures(table(spark, d, "samples"), dedup.sequences(table(spark, d, "tokens")))
+    found = split.leaks(cut(duplicate_groups(spark, d).join(now, "sample_id"), "assigned"), s)
+    return found.select("kind", F.md5("key").alias("key"), "splits")
+
+
 def contamination(spark, d):
     """Signatures whose samples lie in several of the current splits."""
     m = table(spark, d, "split_members").where("sample_id is not null and split_name is not null")
@@ -272,6 +339,11 @@ def segment_roles(spark, d):
     return t.select("sample_id", "token_index", "role")
 
 
+def nested_roles(spark, d):
+    t = linguistic.nested_roles(_tokens(spark, d, "articulatory_type", "language", "teacher_word_index"), ["sample_id", "teacher_word_index"])
+    return t.groupBy("language", "articulatory_type", "role").agg(F.count("*").alias("n"))
+
+
 def articulation_of(spark, d):
     p = _tokens(spark, d, "phoneme").select("phoneme").distinct()
     return linguistic.with_articulation(p).select("phoneme", "a_type", "a_height", "a_place", "a_manner")
@@ -329,6 +401,19 @@ def padded_batches(spark, d):
     return batching.batch_sizes(batching.pad_batches(b, "batch", {"labels": batching.IGNORE}), "batch", "labels")
 
 
+def flattened_batches(spark, d):
+    """Real places of padded batches in row-major order."""
+    t = _tokens(spark, d, "phoneme", "viseme_id").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("token_index", F.coalesce("viseme_id", F.lit(batching.IGNORE)).alias("v")))).alias("t")).select("sample_id", F.col("t.v").alias("labels"), F.size("t").cast("long").alias("len"))
+    b = batching.pad_batches(batching.plan_batches(t, "sample_id", "len", 6000), "batch", {"labels": batching.IGNORE})
+    return batching.flatten_batches(b, "batch", "rank", "labels").groupBy("batch", "row").agg(F.count("*").alias("n"), F.sum("labels").alias("labels"), F.max("position").alias("last"))
+
+
+def shuffled_batches(spark, d):
+    """Batches in a seeded order of an epoch: as many, of the same rows."""
+    b = batching.plan_batches(_lengths(spark, d), "sample_id", "len", 6000, seed=7, epoch=2)
+    return b.groupBy("batch").agg(F.count("*").alias("n"), F.sum("len").alias("tokens")).groupBy("n", "tokens").agg(F.count("*").alias("batches"))
+
+
 def fixed_batches(spark, d):
     return batching.fixed_batches(_lengths(spark, d), "sample_id", 16).groupBy("batch").agg(F.count("*").alias("n"), F.sum("len").alias("tokens"))
 
@@ -367,6 +452,45 @@ def slice_metrics(spark, d):
     return _round(metrics.slice_metrics(_scored(spark, d), "viseme_id", "predicted", "strength", "pseudo_strength"), "accuracy", "macro_f1", "mae")
 
 
+def context_slices(spark, d):
+    """Metrics by neighbours and by place in the sentence."""
+    return _round(metrics.slice_metrics(_scored(spark, d), "viseme_id", "predicted", "strength", "pseudo_strength", metrics.with_context_slices), "accuracy", "macro_f1", "mae")
+
+
+def merged_metrics(spark, d):
+    """Metrics from states of two languages that were stored and merged."""
+    s = cut(metrics.state(_scored(spark, d), "viseme_id", "predicted", "strength", "pseudo_strength", ["language"]), "states")
+    parts = [s.where(F.col("language") == x).drop("language") for x in ("zh", "en")]
+    rest = s.where("language is null or language not in ('zh', 'en')").drop("language")
+    return _round(metrics.finalise(metrics.merge_states(*parts, rest), 18), "accuracy", "macro_f1", "weighted_f1", "mae", "rmse")
+
+
+def masked_metrics(spark, d):
+    """Quick metrics without silence."""
+    return _round(metrics.masked(_scored(spark, d), F.col("articulatory_type") != "silence", "viseme_id", "predicted", "strength", "pseudo_strength"), "accuracy", "mae")
+
+
+def acceptance_lines(spark, d):
+    """Acceptance of the scored corpus, the Chinese part standing for the baseline."""
+    m = merged_metrics(spark, d)
+    s = metrics.state(_scored(spark, d).where("language = 'zh'"), "viseme_id", "predicted", "strength", "pseudo_strength")
+    return metrics.acceptance(m, _round(metrics.finalise(metrics.merge_states(s), 18), "accuracy"))
+
+
+def mean_cross_entropy(spark, d):
+    """Cross entropy of one-hot-like scores with label smoothing."""
+    scores = F.transform(F.sequence(F.lit(0), F.lit(17)), lambda k: F.when(k == F.col("predicted"), 3.0).otherwise(0.5))
+    return _scored(spark, d).agg(F.round(F.avg(metrics.cross_entropy(scores, F.col("viseme_id"), 0.1)), 6).alias("loss"))
+
+
+def annotator_agreement(spark, d):
+    """Agreement of two readings of the same tokens: the label and the inventory's class."""
+    s = _scored(spark, d)
+    a = s.select("sample_id", "token_index", F.lit("label").alias("who"), F.col("viseme_id").alias("c"), F.col("strength").alias("v"))
+    b = s.select("sample_id", "token_index", F.lit("rule").alias("who"), F.col("predicted").alias("c"), F.col("pseudo_strength").alias("v"))
+    return _round(metrics.agreement(a.union(b).distinct(), ["sample_id", "token_index"], "who", "c", "v"), "class_agreement", "mae")
+
+
 def failure_topk(spark, d):
     t = _scored(spark, d).withColumn("error", F.round(F.abs(F.col("pseudo_strength") - F.col("strength")), 4))
     return metrics.failures(t, "viseme_id", "predicted", "error", ["sample_id", "token_index"]).select("sample_id", "token_index", "viseme_id", "predicted", "error")
@@ -401,8 +525,29 @@ def _log(spark, d):
 
 
 def log_windows(spark, d):
-    w = _log(spark, d).groupBy("run", F.floor((F.col("step") - 1) / 5).alias("window")).agg(F.count("*").alias("steps"), F.avg("value").alias("mean"))
-    return _round(w, "mean")
+    return _round(metrics.log_windows(_log(spark, d), "step", "value", 5, ["run"], partial=True), "mean")
+
+
+def full_log_windows(spark, d):
+    return _round(metrics.log_windows(_log(spark, d), "step", "value", 5, ["run"]), "mean")
+
+
+def row_functions(spark, d):
+    """Row-level expressions over token columns: names of classes, tone digits, rounding, strength of a logit, softmax, best class, memory."""
+    t = _tokens(spark, d, "phoneme", "viseme_id", "surface_tone", "strength").where("strength between 0 and 100")
+    scores = F.array(F.col("strength") / 50, F.lit(1.0), F.col("surface_tone").cast("double"))
+    x = t.select(
+        "sample_id", "token_index", C.class_name(F.col("viseme_id"), [f"v{k}" for k in range(9)]).alias("name"), C.tone_digit(F.concat("phoneme", F.col("surface_tone").cast("string"))).cast("long").alias("digit"),
+        C.round_even(F.col("strength")).alias("rounded"), F.round(C.strength_of(F.col("strength") / 25 - 2), 6).alias("squashed"), C.best_class(scores).cast("long").alias("best"),
+        F.round(F.element_at(C.softmax(scores), 1), 6).alias("share"), C.activation_bytes(F.col("token_index"), 8, 2, 16, 4).alias("bytes"),
+    )
+    return x.distinct()
+
+
+def word_kinds(spark, d):
+    """Language and pause test of the texts' words."""
+    w = table(spark, d, "samples").select(F.explode(F.split("text", " ")).alias("word")).distinct()
+    return w.select(F.md5("word").alias("word"), C.word_language(F.col("word")).alias("language"), C.is_pause(F.col("word")).alias("pause"))
 
 
 def best_so_far(spark, d):

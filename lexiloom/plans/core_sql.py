@@ -57,6 +57,7 @@ BATCH = LEN + """, h AS (SELECT sample_id, len, row_number() OVER (ORDER BY len,
    UNION ALL SELECT batch + 1, last + 1, (SELECT max(rk) FROM h WHERE h.rk > z.last AND h.len * (h.rk - z.last) <= 6000) FROM z WHERE last < (SELECT max(rk) FROM h)) SELECT * FROM z)"""
 LOG = "lg AS (SELECT user_id run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) step, value FROM events)"
 BEST = LOG + ", z1 AS (SELECT *, max(value) OVER (PARTITION BY run ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) bf FROM lg), z2 AS (SELECT *, bf IS NULL OR value > bf improved FROM z1), z3 AS (SELECT *, max(value) OVER w best, step - coalesce(max(CASE WHEN improved THEN step END) OVER w, 0) since FROM z2 WINDOW w AS (PARTITION BY run ORDER BY step))"
+RANKED = f"{T}, rk AS (SELECT DISTINCT sample_id, token_index, phoneme, language, surface_tone, viseme_id FROM t), rn AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY token_index NULLS FIRST, phoneme NULLS FIRST, language NULLS FIRST, surface_tone NULLS FIRST, viseme_id NULLS FIRST) token_index, surface_tone, viseme_id FROM rk)"
 SAMPLE = "CASE WHEN json_type(j, '$.samples') = 'ARRAY' THEN j->'$.samples' WHEN json_type(j, '$.envelope.sample') = 'OBJECT' THEN json_array(j->'$.envelope.sample') WHEN json_type(j) = 'ARRAY' THEN j ELSE json_array(j) END"
 TOKENS = "CASE WHEN json_type(s, '$.tokens') = 'ARRAY' THEN (s->'$.tokens')::JSON[] WHEN json_type(s, '$.tokens') = 'VARCHAR' AND json_valid(s->>'$.tokens') THEN ((s->>'$.tokens')::JSON)::JSON[] ELSE []::JSON[] END"
 DELIVERED = f"""r AS (SELECT DISTINCT raw_id, payload FROM raw_records WHERE json_valid(payload) AND trim(payload) <> ''),
@@ -73,6 +74,16 @@ def _spelled(c: str) -> str:
     return f"coalesce(nullif(coalesce({table}[{bare}], {bare}), ''), {p})"
 
 
+SHINGLED = SEQ + f""", f AS (SELECT list_filter(ps, lambda x: x NOT IN ({", ".join(map(_text, SILENT))})) ps, min(sample_id) id FROM q GROUP BY q.ps),
+ sh AS (SELECT id, list_distinct(CASE WHEN len(ps) <= 4 THEN [array_to_string(ps, ' ')] ELSE list_transform(range(1, len(ps) - 2), lambda i: array_to_string(ps[i:i + 3], ' ')) END) s FROM f),
+ ex AS (SELECT id, len(s) n, unnest(s) h FROM sh),
+ nr AS (SELECT a, b, similarity FROM (SELECT x.id a, y.id b, count(*)::DOUBLE / (any_value(x.n) + any_value(y.n) - count(*)) similarity FROM ex x JOIN ex y ON x.h = y.h AND x.id < y.id GROUP BY 1, 2) WHERE similarity >= 0.8)"""
+GROUPED = "RECURSIVE " + SHINGLED + ", " + SIG.removeprefix(SEQ + ", ") + """, st AS (SELECT f1 a, sample_id b FROM g JOIN (SELECT signature, min(sample_id) f1 FROM g GROUP BY 1) USING (signature) WHERE sample_id <> f1),
+ ed AS (SELECT a, b FROM st UNION SELECT b, a FROM st UNION SELECT a, b FROM nr UNION SELECT b, a FROM nr),
+ rc AS (SELECT sample_id x, sample_id y FROM q UNION SELECT rc.x, ed.b FROM rc JOIN ed ON rc.y = ed.a),
+ gr AS (SELECT x sample_id, min(y) root FROM rc GROUP BY 1)"""
+
+
 ARTICULATION = "art(ph, ty, he, ba, ro, pl, ma, vo, asp) AS (VALUES " + ", ".join("(" + ", ".join(_text(x) for x in r) + ")" for r in articulation_rows()) + ")"
 HAN = "regexp_matches(ch, '^[\\x{4E00}-\\x{9FFF}]$')"
 CHARS = f"""cs AS (SELECT sample_id, unnest(string_split(text, '')) ch, generate_subscripts(string_split(text, ''), 1)::BIGINT pos FROM (SELECT DISTINCT sample_id, text FROM samples WHERE text <> '')),
@@ -127,17 +138,51 @@ SELECT sample_id, token_index, CASE WHEN sample_id IS NULL OR teacher_word_index
         ("viseme_id missing", "viseme_id IS NULL"), ("viseme_id out of range", "viseme_id NOT BETWEEN 0 AND 17"), ("strength missing", "strength IS NULL"), ("strength out of range", f"NOT ({OK})"),
     ]
     inv = "SELECT DISTINCT phoneme FROM phoneme_inventory"
+    record_rules = [(n, c) for n, c in rules if n not in ("strength missing", "strength out of range")]
+    record_rules += [("strength missing", "strength IS NULL"), ("strength is no number", "isnan(strength) OR isinf(strength)"), ("strength out of range", "NOT isnan(strength) AND NOT isinf(strength) AND strength NOT BETWEEN 0 AND 100")]
+    big = lambda p: f"TRY_CAST(x->>'$.{p}' AS BIGINT)"
+    flag = lambda p: f"CASE WHEN lower(trim(x->>'$.{p}')) IN ('true', 'false') THEN lower(trim(x->>'$.{p}')) = 'true' END"
+    leaves = {c: f"x->>'$.{c}'" for c in ("phoneme", "language", "syllable_role")} | {c: big(c) for c in ("surface_tone", "stress")} | {f"articulatory_{c}": f"x->>'$.articulatory.{c}'" for c in ("type", "height", "backness", "place", "manner")}
+    leaves |= {"articulatory_voiced": flag("articulatory.voiced")} | {f"boundary_{c}": flag(f"boundary.{c}") for c in ("word_start", "word_end", "phrase_start", "phrase_end")} | {"boundary_type": "x->>'$.boundary.boundary_type'"}
+    leaves |= {"labels_viseme_id": big("labels.viseme_id"), "labels_strength": "TRY_CAST(x->>'$.labels.strength' AS DOUBLE)", "labels_viseme_source": "x->>'$.labels.viseme_source'", "labels_strength_source": "x->>'$.labels.strength_source'", "teacher_shape": "x->>'$.teacher_metadata.shape'"}
+    p3_tokens = "raw_id, sample_pos, token_index token_pos, " + ", ".join(f"{v} AS {k}" for k, v in leaves.items())
+    edge = lambda c, way: f"CASE WHEN {way}(1) OVER q IS NULL THEN 'edge' ELSE coalesce({way}({c}::VARCHAR) OVER q, 'none') END"
+    context = {"type_before": edge("articulatory_type", "lag"), "type_after": edge("articulatory_type", "lead"), "tone_before": edge("surface_tone", "lag"), "sentence_third": "['start', 'middle', 'end'][(row_number() OVER q - 1) * 3 // count(*) OVER (PARTITION BY sample_id) + 1]"}
+    w2 = ", w AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in context.items()) + " FROM s WINDOW q AS (PARTITION BY sample_id ORDER BY token_index))"
+    cs = SCORED + w2 + ", sl AS (" + " UNION ALL ".join(f"SELECT '{k}' slice, {k} AS key, viseme_id t, predicted p, abs(pseudo_strength - strength) e FROM w" for k in context) + ")" + sl[sl.index(", sc AS ("):]
     return {
         "p3_found": f"WITH {DELIVERED} SELECT DISTINCT raw_id, sample_pos, sample_id, token_index FROM d WHERE json_type(x) = 'OBJECT'",
         "p3_samples": f"WITH {DELIVERED} SELECT raw_id, sample_pos, sample_id, s->>'$.schema_version' schema_version, s->>'$.text' AS text, s->>'$.normalized_text' normalized_text, s->>'$.teacher_metadata.engine.name' engine_name, (s->>'$.teacher_metadata.engine.version')::BIGINT engine_version FROM c",
+        "p3_tokens": f"WITH {DELIVERED} SELECT {p3_tokens} FROM d WHERE json_type(x) = 'OBJECT'",
+        "renest_changes": f"WITH {RANKED} SELECT sample_id, token_index, 'surface_tone' field, surface_tone::VARCHAR AS \"left\", NULL::VARCHAR AS \"right\" FROM rn WHERE viseme_id = 5 AND surface_tone IS NOT NULL",
+        "near_pairs": f"WITH {SHINGLED} SELECT a, b, round(similarity, 6) similarity FROM nr",
+        "duplicate_groups": f"WITH {GROUPED} SELECT sample_id, root FROM gr",
+        "kept_samples": f"WITH {GROUPED} SELECT root, min(sample_id) sample_id FROM gr GROUP BY 1",
+        "current_leaks": f"WITH {GROUPED}, {NOW} SELECT kind, md5(key) AS key, splits FROM (SELECT 'group' kind, root AS key, count(DISTINCT split) splits FROM gr JOIN now USING (sample_id) GROUP BY 2 UNION ALL SELECT 'signature', signature, count(DISTINCT split) FROM g JOIN gr USING (sample_id) JOIN now USING (sample_id) GROUP BY 2) WHERE splits > 1",
+        "vocab_problems": f"WITH {VOCAB}, k AS (SELECT * FROM v WHERE NOT (field = 'language' AND id = 1) AND NOT (field = 'stress' AND id = 2) AND field <> 'syllable_role'), z AS (SELECT field, token, id FROM k UNION ALL SELECT field, token, id + 1 FROM k WHERE field = 'phoneme' AND id = 2 UNION ALL SELECT 'colour', token, id FROM k WHERE field = 'stress'), w AS (SELECT DISTINCT field FROM seed), p AS (SELECT coalesce(z.field, w.field) field, w.field IS NULL extra, count(z.token) n, count(DISTINCT z.token) ts, count(DISTINCT z.id) ids, max(z.id) top, coalesce(bool_or(z.token = '[PAD]' AND z.id = 0), false) pad, coalesce(bool_or(z.token = '[UNK]' AND z.id = 1), false) unk FROM z FULL JOIN w ON z.field = w.field GROUP BY 1, 2) SELECT field, unnest(list_filter([CASE WHEN n = 0 THEN 'missing field' END, CASE WHEN extra THEN 'extra field' END, CASE WHEN n > 0 AND NOT pad THEN 'no padding slot' END, CASE WHEN n > 0 AND NOT unk THEN 'no unknown slot' END, CASE WHEN ts < n THEN 'repeated token' END, CASE WHEN ids < n THEN 'repeated id' END, CASE WHEN top + 1 <> n THEN 'gap in ids' END], lambda x: x IS NOT NULL)) problem FROM p",
+        "auto_ids": f"WITH {DELIVERED} SELECT DISTINCT raw_id, sample_pos, CASE WHEN sample_id = '' THEN raw_id || ':' || sample_pos || '#auto' ELSE sample_id END sample_id FROM c",
+        "service_requests": f"WITH {T}, e1 AS (SELECT DISTINCT sample_id, token_index, teacher_raw_phoneme r, teacher_word_index w, teacher_char_index c FROM t WHERE sample_id IS NOT NULL), e2 AS (SELECT CASE WHEN r IS NULL OR r IN ('', '-') THEN '_' ELSE r END phoneme, coalesce(w, 0) word_index, coalesce(c, 0) char_index, row_number() OVER (PARTITION BY sample_id ORDER BY token_index) - 1 p FROM e1) SELECT phoneme, word_index, char_index, count(*) n, sum(p)::BIGINT positions FROM e2 GROUP BY 1, 2, 3",
+        "request_features": f"WITH {CHARS}, a1 AS (SELECT sample_id, pos, (pos - 1) // 2 wi, CASE WHEN regexp_matches(ch, '^[\\s\\p{{Z}}{ALL_MARKS}\\x{{4E00}}-\\x{{9FFF}}]$') THEN 'zh' ELSE 'en' END AS language, stop, regexp_matches(ch, '^[{MAJOR_MARKS}]$') major FROM ct), a2 AS (SELECT language, CASE WHEN language = 'zh' THEN 5 ELSE 0 END surface_tone, coalesce(lag(wi) OVER w <> wi, true) word_start, coalesce(lead(wi) OVER w <> wi, true) word_end, coalesce(lag(stop) OVER w, false) phrase_start, stop OR lead(1) OVER w IS NULL phrase_end, CASE WHEN major THEN 'major' WHEN stop THEN 'minor' ELSE 'none' END boundary_type FROM a1 WINDOW w AS (PARTITION BY sample_id ORDER BY pos)) SELECT *, count(*) n FROM a2 GROUP BY ALL",
+        "nested_roles": f"WITH {T}, y AS (SELECT DISTINCT sample_id, token_index, articulatory_type, language, teacher_word_index w FROM t), z AS (SELECT *, min(CASE WHEN articulatory_type = 'vowel' THEN token_index END) OVER (PARTITION BY sample_id, w) f, coalesce(lead(articulatory_type = 'vowel') OVER (PARTITION BY sample_id, w ORDER BY token_index), false) nx FROM y) SELECT language, articulatory_type, role, count(*) n FROM (SELECT *, CASE WHEN articulatory_type = 'silence' THEN 'silence' WHEN language = 'zh' THEN CASE WHEN f IS NULL OR token_index < f THEN 'onset' WHEN token_index = f THEN 'nucleus' ELSE 'coda' END WHEN articulatory_type = 'vowel' THEN 'nucleus' WHEN nx THEN 'onset' ELSE 'coda' END AS role FROM z) GROUP BY 1, 2, 3",
+        "flattened_batches": f"WITH {BATCH}, tv AS (SELECT DISTINCT sample_id, token_index, phoneme, viseme_id FROM t), sv AS (SELECT sample_id, sum(coalesce(viseme_id, -100)) s FROM tv GROUP BY 1) SELECT batch, rk - b.first AS \"row\", len n, s::BIGINT labels, len - 1 AS \"last\" FROM b JOIN h ON rk BETWEEN b.first AND b.last JOIN sv USING (sample_id)",
+        "shuffled_batches": f"WITH {BATCH} SELECT n, tokens, count(*) batches FROM (SELECT batch, count(*) n, sum(len)::BIGINT tokens FROM b JOIN h ON rk BETWEEN b.first AND b.last GROUP BY 1) GROUP BY 1, 2",
+        "context_slices": f"WITH {cs} SELECT sl.slice, sl.key, count(*) tokens, round(avg((t = p)::INT), 6) accuracy, round(any_value(macro_f1), 6) macro_f1, round(avg(e), 6) mae FROM sl JOIN sm ON sl.slice = sm.slice AND sl.key IS NOT DISTINCT FROM sm.key GROUP BY 1, 2",
+        "merged_metrics": f"WITH {OVERALL} SELECT accuracy, macro_f1, weighted_f1, total, mae, rmse FROM o, r",
+        "masked_metrics": f"WITH {SCORED} SELECT round(avg((viseme_id = predicted)::INT), 6) accuracy, round(avg(abs(pseudo_strength - strength)), 6) mae FROM s WHERE articulatory_type <> 'silence'",
+        "acceptance_lines": f"WITH {OVERALL}, z AS (SELECT round(avg((viseme_id = predicted)::INT), 6) before FROM s WHERE language = 'zh') SELECT unnest(['macro F1', 'strength error', 'no regression']) AS \"check\", unnest([macro_f1 >= 0.92, mae <= 8, accuracy >= before - 0.005 - 1e-12]) passed FROM o, r, z",
+        "mean_cross_entropy": f"WITH {SCORED}, z AS (SELECT CASE WHEN predicted BETWEEN 0 AND 17 THEN exp(3.0) + 17 * exp(0.5) ELSE 18 * exp(0.5) END e, CASE WHEN predicted = viseme_id THEN 3.0 ELSE 0.5 END hit, CASE WHEN predicted BETWEEN 0 AND 17 THEN (3.0 + 17 * 0.5) / 18 ELSE 0.5 END m FROM s) SELECT round(avg(0.9 * (ln(e) - hit) + 0.1 * (ln(e) - m)), 6) loss FROM z",
+        "annotator_agreement": f"WITH {SCORED}, z AS (SELECT DISTINCT sample_id, token_index, viseme_id, predicted, strength, pseudo_strength FROM s), a AS (SELECT DISTINCT sample_id, token_index, viseme_id c, strength v FROM z), b AS (SELECT DISTINCT sample_id, token_index, predicted c, pseudo_strength v FROM z) SELECT 'label' AS a, 'rule' AS b, count(*) n, round(avg((a.c = b.c)::INT), 6) class_agreement, round(avg(abs(a.v - b.v)), 6) mae FROM a JOIN b ON a.sample_id = b.sample_id AND a.token_index = b.token_index",
+        "row_functions": f"WITH {T}, y AS (SELECT *, strength / 50 s1, 1.0::DOUBLE s2, surface_tone::DOUBLE s3 FROM t WHERE {OK}) SELECT DISTINCT sample_id, token_index, CASE WHEN viseme_id BETWEEN 0 AND 8 THEN 'v' || viseme_id ELSE '<unknown:' || viseme_id || '>' END AS name, TRY_CAST(nullif(regexp_extract(phoneme || surface_tone, '([1-5])$', 1), '') AS BIGINT) digit, strength_1 rounded, round(100 / (1 + exp(-(strength / 25 - 2))), 6) squashed, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 0 WHEN s2 >= s3 THEN 1 ELSE 2 END::BIGINT best, round(exp(s1) / (exp(s1) + exp(s2) + exp(s3)), 6) share, token_index * 2 * (6 * 8 + 2 * 16) * 4 bytes FROM (SELECT *, round(strength::DECIMAL(38, 18), 1)::DOUBLE strength_1 FROM y)",
+        "word_kinds": f"SELECT md5(word) word, CASE WHEN regexp_matches(regexp_replace(word, '[\\s\\p{{Z}}{ALL_MARKS}]', '', 'g'), '^[\\x{{4E00}}-\\x{{9FFF}}]*$') THEN 'zh' ELSE 'en' END AS language, regexp_matches(word, '^[\\s\\p{{Z}}{ALL_MARKS}]*$') pause FROM (SELECT DISTINCT unnest(string_split(text, ' ')) word FROM samples WHERE text IS NOT NULL)",
         "scan_pruned": "SELECT DISTINCT sample_id, token_index, phoneme, language, viseme_id, strength FROM tokens WHERE language = 'zh' AND strength >= 50 AND strength <= 100",
         "narrow_tokens": "SELECT DISTINCT sample_id, phoneme, coalesce(syllable_role, 'other') syllable_role, viseme_id FROM tokens",
         "nest_sequences": f"WITH {SEQ} SELECT sample_id, len(ps)::BIGINT n, array_to_string(ps, ' ') phonemes FROM q",
         "samples_with_tokens": f"WITH {T}, k AS (SELECT sample_id, count(*) n FROM (SELECT DISTINCT sample_id, token_index, phoneme FROM t) GROUP BY 1), m AS (SELECT sample_id, max_by(batch_id, (ingested_at, batch_id)) batch_id FROM samples GROUP BY 1) SELECT sample_id, batch_id, coalesce(n, 0)::BIGINT tokens FROM m LEFT JOIN k USING (sample_id) WHERE batch_id IS NOT NULL",
         "left_meta_join": f"WITH {T}, m AS (SELECT sample_id, max_by(batch_id, (ingested_at, batch_id)) batch_id FROM samples GROUP BY 1) SELECT batch_id, count(*) tokens, count(DISTINCT sample_id) samples FROM t LEFT JOIN m USING (sample_id) GROUP BY 1",
         "sources_union": "SELECT origin, count(*) n, count(DISTINCT sample_id) ids FROM (SELECT sample_id, 'samples' origin FROM samples UNION ALL SELECT sample_id, 'origins' FROM sample_origins) GROUP BY 1",
-        "echo_fields": f"WITH {T}, u AS (SELECT phoneme, min(default_viseme_id) predicted FROM phoneme_inventory WHERE phoneme IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT sample_id, token_index, predicted FROM t LEFT JOIN u USING (phoneme)) SELECT t.sample_id, t.token_index, teacher_word_index, teacher_char_index, predicted FROM t LEFT JOIN p ON t.sample_id = p.sample_id AND t.token_index = p.token_index",
+        "echo_fields": "WITH u AS (SELECT phoneme, min(default_viseme_id) predicted FROM phoneme_inventory WHERE phoneme IS NOT NULL GROUP BY 1), t AS (SELECT DISTINCT sample_id, token_index, phoneme, teacher_word_index, teacher_char_index FROM tokens), p AS (SELECT DISTINCT sample_id, token_index, predicted FROM t LEFT JOIN u ON t.phoneme = u.phoneme) SELECT t.sample_id, t.token_index, teacher_word_index, teacher_char_index, predicted FROM t LEFT JOIN p ON t.sample_id = p.sample_id AND t.token_index = p.token_index",
         "token_violations": f"WITH {T} SELECT rule, count(*) n FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS rule FROM t WHERE {c}" for n, c in rules) + ") GROUP BY 1",
+        "revalidated_pair": f"WITH {T}, y AS (SELECT * FROM t WHERE sample_id IS NOT NULL), bad AS (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, sample_id FROM y WHERE {c}" for n, c in record_rules) + " UNION ALL SELECT 'too many tokens', sample_id FROM y GROUP BY sample_id HAVING count(*) > 256) SELECT rule, count(DISTINCT sample_id) records, count(*) times FROM bad GROUP BY 1",
         "json_typed": "SELECT sample_id, generation->>'$.source' AS source, (generation->>'$.worker')::BIGINT worker, (generation->>'$.options.retry')::BOOLEAN retry FROM (SELECT DISTINCT sample_id, CASE WHEN json_valid(generation) THEN generation::JSON END generation FROM samples)",
         "categories": f"WITH {T} SELECT field, value, count(*) n FROM (" + " UNION ALL ".join(f"SELECT '{c}' field, CASE WHEN {c} IS NULL OR lower(trim({c})) IN ('', '[na]') THEN '[NA]' ELSE lower(regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) END AS value FROM t" for c in ("syllable_role", "articulatory_height", "teacher_raw_phoneme")) + ") GROUP BY 1, 2",
         "frequencies": f"WITH {T} {frequencies}",
@@ -184,6 +229,7 @@ SELECT sample_id, token_index, CASE WHEN sample_id IS NULL OR teacher_word_index
         "calibration": f"WITH {SCORED} SELECT viseme_id, count(*) n, CASE WHEN min(pseudo_strength) < max(pseudo_strength) THEN round(regr_slope(strength, pseudo_strength), 6) END slope, CASE WHEN min(pseudo_strength) < max(pseudo_strength) THEN round(regr_intercept(strength, pseudo_strength), 6) END intercept FROM s GROUP BY 1",
         "gate_checks": f"WITH {OVERALL} SELECT unnest(['training ran', 'no NaN or Inf', 'train loss finite', 'train accuracy', 'train strength error', 'validation present', 'validation accuracy', 'validation strength error']) AS \"check\", unnest([true, true, true, accuracy >= 0.95, mae <= 5, true, accuracy >= 0.95, mae <= 5]) passed FROM o, r",
         "log_windows": f"WITH {LOG} SELECT run, ((step - 1) // 5)::BIGINT AS \"window\", count(*) steps, round(avg(value), 6) AS mean FROM lg GROUP BY 1, 2",
+        "full_log_windows": f"WITH {LOG} SELECT * FROM (SELECT run, ((step - 1) // 5)::BIGINT AS \"window\", count(*) steps, round(avg(value), 6) AS mean FROM lg GROUP BY 1, 2) WHERE steps = 5 OR \"window\" = 0",
         "best_so_far": f"WITH {BEST} SELECT run, step, best, improved, since::BIGINT since FROM z3",
         "early_stop": f"WITH {BEST} SELECT run, min(step) step FROM z3 WHERE since >= 5 GROUP BY 1",
         "lr_schedule": "SELECT range step, round(3e-4 * CASE WHEN range < 100 THEN range / 100.0::DOUBLE ELSE greatest(0, 0.5 * (1 + cos(pi() * least(1, (range - 100) / 900.0::DOUBLE)))) END, 12) lr FROM range(1, 1001)",

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.nesting import nest
-from ..operators.validation import Rules, fail_fast, violations
+from ..operators.nesting import nest, records
+from ..operators.validation import Rules, auto_id, fail_fast, violations
 from ..storage import cut
 
 # Columns of the flat token table, and those a model reads.
@@ -56,7 +56,7 @@ def load_samples(spark: SparkSession, path: str, rules: Rules = Rules(), limit:
     lines = read_lines(spark, path)
     if limit is not None:
         lines = lines.orderBy("file", "line_no").limit(limit)
-    checked = fail_fast(violations(lines, "value", rules), "line_no")
+    checked = fail_fast(violations(lines, "value", rules), "line_no").withColumn("sample_id", auto_id(F.col("value"), F.concat_ws(":", "file", "line_no")))
     if not checked.limit(1).count():
         raise ValueError(f"{path}: no samples")
     return checked
@@ -69,10 +69,15 @@ def sibling(tokens_path: str) -> str:
     return tokens_path.rstrip("/")[: -len(".tokens.parquet")] + ".samples.parquet"
 
 
-def read_pair(spark: SparkSession, tokens_path: str, columns: tuple[str, ...] | None = None) -> DataFrame:
-    """Sentences of the two-table form, nested by sample_id; only the wanted token columns are scanned. A sample_id is one sentence even where its rows are apart."""
+def read_pair(spark: SparkSession, tokens_path: str, columns: tuple[str, ...] | None = None, rules: Rules | None = None) -> DataFrame:
+    """Sentences of the two-table form, nested by sample_id; only the wanted token columns are scanned. A sample_id is one sentence even where its rows are apart. With ``rules`` every sentence is put together as a record and checked like a JSON line; the first violation is an error, and so is a pair without sentences."""
     samples = spark.read.parquet(sibling(tokens_path))
     tokens = spark.read.parquet(tokens_path)
+    if rules is not None:
+        checked = cut(violations(records(tokens, samples), "value", rules), "checked")
+        fail_fast(checked, "sample_id")
+        if not checked.limit(1).count():
+            raise ValueError(f"{tokens_path}: no samples")
     if columns:
         tokens = tokens.select(*columns)
     return nest(tokens, samples)
@@ -83,7 +88,8 @@ def load_split(spark: SparkSession, path: str, **options: Any) -> DataFrame:
     return read_pair(spark, path, **options) if path.rstrip("/").endswith(".parquet") else load_samples(spark, path, **options)
 
 
-TSV_ESCAPES = {"\\b": "\b", "\\f": "\f", "\\r": "\r", "\\n": "\n", "\\t": "\t", "\\0": "\0", "\\'": "'", '\\"': '"', "\\a": "\a", "\\v": "\v"}
+# The escapes of the tab-separated format besides the doubled backslash.
+TSV_ESCAPES = {"\\t": "\t", "\\n": "\n", "\\r": "\r", "\\b": "\b", "\\f": "\f", "\\0": "\0", "\\'": "'", '\\"': '"', "\\`": "`", "\\=": "="}
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -7,6 +7,7 @@ import os
 import time
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,14 +110,21 @@ def percent_report(counts: DataFrame, field: str) -> str:
     return ", ".join(f"{r.value}: {100 * r.n / total:.2f}%" for r in rows)
 
 
+def cache_key(path: str, rows: int, fingerprint: str, weights: dict[str, float] | None = None, scale: float = 100.0) -> dict:
+    """What a cached encoding depends on: the source's name, size and time of change (of all its files), its rows, the dictionary, source weights and the strength scale."""
+    files = sorted(p for p in Path(path).rglob("*") if p.is_file()) if os.path.isdir(path) else [Path(path)]
+    return {"path": str(Path(path).resolve()), "size": sum(p.stat().st_size for p in files), "mtime_ns": max((p.stat().st_mtime_ns for p in files), default=0), "rows": rows, "vocabulary": fingerprint, "weights": weights or {}, "scale": scale}
+
+
 def cached(build, key: dict, folder: str, spark) -> DataFrame:
     """The frame ``build()`` makes, kept as Parquet under a hash of ``key``; another key is a miss. A half-written one has no success mark and is built again."""
     import hashlib
 
     digest = hashlib.md5(json.dumps(key, sort_keys=True, default=str).encode()).hexdigest()
     path = f"{folder.rstrip('/')}/{digest}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").limit(1).count()
+    except AnalysisException:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
