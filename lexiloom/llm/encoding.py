@@ -1,13 +1,20 @@
-"""Text read in a wrong encoding: found and restored by a hidden Markov model.
-
-There is one clean state and one state per encoding pair (the encoding the bytes were in, the one they were read as). In the
-clean state a character has its probability in clean text. In a pair's state a stretch of characters has the
-probability, in clean text, of what its bytes say in the right encoding; ASCII between such stretches is as likely as in
-clean text. Entering a state costs ``ENTER``, carrying on across a gap costs by its length. The best path labels each
-character; labelled spans get their pair's inverse transform, again and again while something is found (text garbled twice).
-
-Character probabilities are counted over the texts in which nothing was found so far, without the stretches that are hardly clean
-(:func:`doubtful`), and all remaining texts are searched again until nothing more is found. So no share of garbled text hides itself.
+"""Text read in a wrong encoding: found and restored by a hidden Markov model whose probabilities come from the data.
+
+States. In the *clean* state characters follow a Markov chain of character classes (script, case, kind of sign): a character has the
+probability of its class behind the class before it, times its own within the class. Each *pair* (the encoding the bytes were in, the one they
+were read as) is a state that emits stretches of characters, with the clean probability of what their bytes say in the right encoding; ASCII
+between them is as likely as in clean text, and a U+FFFD among them is a lost byte. A second state of each pair emits one such stretch alone. The
+state *lost* emits U+FFFD, which clean text does not have. The states are entered and left with probabilities of their own; the best path
+(Viterbi) labels each character, and each labelled span gets its pair's inverse transform. The restored text is searched
+again until nothing more is found, so text garbled several times comes back.
+
+Estimation. Counts begin with all texts without the stretches that are hardly clean (:func:`hardly_clean`), so that no share of garbled text
+makes itself look clean. Then all texts are labelled, characters counted as they read after restoration, the ways into and out of each
+state counted from the labelled spans, and all texts labelled again, until the marked texts stay the same. Nothing is fitted by hand: the
+probabilities a state has before anything is counted are ``PRIOR``.
+
+Speed. A pair can only be on the best path of a text if its positive gains over the clean state, summed over all its stretches, exceed what
+entering and leaving it cost. These sums are computed for whole batches at a time; the texts that pass for any pair, and no others, are searched.
 """
 
 from __future__ import annotations
@@ -17,55 +24,102 @@ import codecs
 import itertools
 import math
 import re
+import unicodedata
 from collections import Counter
-from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, measured_cut
+from ..storage import cut, measured_cut, tidy
 
-#: Log-probability costs: a span as a whole, and inside it each ASCII character and each other character of a gap.
-ENTER, GAP, GAP_ODD = 12.5, 0.05, 3.0
-#: Least log probability of a small letter behind another of its script; below NEVER a restored character counts as one that clean text never has, at a cost.
-SMALL = frozenset("абвгдежзийклмнопрстуфхцчшщъыьэюяёѕіјһԁԝѵ")
-SAME_SCRIPT, NEVER, NEVER_COST = -4.5, -13.5, 6.0
-#: Least gain of a stretch that may be part of a span.
-LEAST = -8
 LOST = "�"
-UTF8 = regex.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
-GB = regex.compile(rb"[\x81-\xfe][\x30-\x39][\x81-\xfe][\x30-\x39]|[\x81-\xfe][\x40-\x7e\x80-\xfe]")
-# The encodings text is wrongly read as.
+TOP = 0x110000
+# The encodings text is wrongly read as, by one and by several bytes, and those it may have been in. cp1252 stands for latin-1 too, cp949 for euc-kr.
 SINGLE = ("cp1252", "mac_roman", "cp437", "koi8_r", "cp1251", "cp1250", "cp866")
-MULTI = ("gb18030", "big5hkscs", "cp932", "euc_kr")
-RIGHT = {"utf-8": UTF8, "gb18030": GB}
+MULTI = ("gb18030", "big5hkscs", "cp932", "cp949")
+DOUBLE = ("gb18030", "big5", "cp932", "cp949")
+#: Chances before anything is counted: of entering any garbled state at a character, and of leaving it behind one; how many characters of text they weigh.
+PRIOR_ENTER, PRIOR_LEAVE, PRIOR_WEIGHT = 1e-4, 0.05, 1e4
+UTF8 = regex.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
+# What a character of each right encoding looks like in bytes.
+RIGHT = {
+    "utf-8": UTF8,
+    "gb18030": regex.compile(rb"[\x81-\xfe][\x30-\x39][\x81-\xfe][\x30-\x39]|[\x81-\xfe][\x40-\x7e\x80-\xfe]"),
+    "big5": regex.compile(rb"[\x81-\xfe][\x40-\x7e\xa1-\xfe]"),
+    "cp932": regex.compile(rb"[\x81-\x9f\xe0-\xfc][\x40-\x7e\x80-\xfc]|[\xa1-\xdf]"),
+    "cp949": regex.compile(rb"[\x81-\xfe][\x41-\x5a\x61-\x7a\x81-\xfe]"),
+}
+SAME = {"big5": "big5hkscs"}
+PAIRS = [(r, w) for w in SINGLE for r in ("utf-8", *DOUBLE, *SINGLE) if r != w] + [(r, w) for w in MULTI for r in ("utf-8", *DOUBLE) if SAME.get(r, r) != w]
+LOST_STATE = len(PAIRS)
+
+
+# Tables of the encodings
 
 
 @lru_cache(None)
 def byte_of(encoding: str) -> dict[int, int]:
-    """Code point -> byte. Bytes without a meaning, and the control characters they are read as, stand for themselves; so cp1252 covers latin-1."""
-    out = {}
-    for b in range(256):
-        out[b] = b if b < 128 or 0x80 <= b < 0xA0 else None
-    out = {k: v for k, v in out.items() if v is not None}
+    """Code point -> byte. Bytes without a meaning, and the control characters they are read as, stand for themselves."""
+    out = {b: b for b in range(0xA0)}
     for b in range(128, 256):
         c = bytes([b]).decode(encoding, "ignore")
         out[ord(c) if c else b] = b
     return out
 
 
-@dataclass(frozen=True)
-class Unit:
-    start: int
-    end: int
-    text: str
-    gain: float
-    pair: int
+@lru_cache(None)
+def byte_table(encoding: str) -> np.ndarray:
+    t = np.full(TOP, -1, np.int16)
+    for c, b in byte_of(encoding).items():
+        t[c] = b
+    return t
+
+
+@lru_cache(None)
+def text_of(encoding: str) -> np.ndarray:
+    """Byte -> code point, -1 for none; characters for which a byte has no meaning but itself are none."""
+    return np.array([ord(c) if b > 127 and len(c := bytes([b]).decode(encoding, "ignore")) == 1 and c != LOST else -1 for b in range(256)], np.int32)
+
+
+@lru_cache(None)
+def double_table(encoding: str) -> np.ndarray:
+    """Two bytes -> code point, -1 for none."""
+    t = np.full(1 << 16, -1, np.int32)
+    for hi in range(0x81, 0xFF):
+        for lo in range(0x40, 0xFF):
+            try:
+                c = bytes([hi, lo]).decode(encoding)
+            except UnicodeDecodeError:
+                continue
+            if len(c) == 1:
+                t[hi << 8 | lo] = ord(c)
+    return t
+
+
+@lru_cache(None)
+def four_table() -> np.ndarray:
+    """Place of four GB 18030 bytes below 0x85 in their order -> code point, -1 for none."""
+    data = [bytes([0x81 + k // 12600, 0x30 + k // 1260 % 10, 0x81 + k // 10 % 126, 0x30 + k % 10]).decode("gb18030", "ignore") for k in range(4 * 12600)]
+    return np.array([ord(c) if len(c) == 1 else -1 for c in data], np.int32)
+
+
+@lru_cache(None)
+def wide_table(encoding: str) -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> its two bytes, or its one, as a number; and the number of bytes. What is longer, or lacking, is one byte 0x3F, as U+FFFD."""
+    b, n = np.full(TOP, 0x3F, np.int32), np.ones(TOP, np.int8)
+    for c in itertools.chain(range(0xD800), range(0xE000, 0x10000)):
+        try:
+            d = chr(c).encode(encoding)
+        except UnicodeEncodeError:
+            continue
+        if len(d) <= 2:
+            b[c], n[c] = int.from_bytes(d), len(d)
+    return b, n
 
 
 class Widths(dict):
@@ -82,70 +136,232 @@ class Widths(dict):
 WIDTH = {w: Widths(w) for w in MULTI}
 
 
-#: Double-byte characters read as Cyrillic cost more to enter: Latin text written with look-alike letters resembles them.
-CYRILLIC_MORE, DOUBTFUL = 8.0, frozenset(("gb18030", w) for w in ("koi8_r", "cp1251", "cp866"))
-PAIRS = [(right, wrong) for right in RIGHT for wrong in (*SINGLE, *MULTI) if right != wrong]
+# Classes of characters
 
 
-CASED = re.compile("[\u0370-\u04ff]")
+def _blocks() -> list[tuple[int, int, str]]:
+    """(first, last, name) of ranges that are classes of their own, whatever their case."""
+    return [
+        (0x80, 0x9F, "control"), (0xA0, 0xA0, "blank"), (0xA1, 0xBF, "latin sign"), (0xD7, 0xD7, "latin sign"), (0xF7, 0xF7, "latin sign"), (0x250, 0x2AF, "phonetic"), (0x2B0, 0x2FF, "modifier"), (0x300, 0x36F, "mark"),
+        (0x2000, 0x206F, "general sign"), (0x20A0, 0x20CF, "currency"), (0x2100, 0x21FF, "symbol"), (0x2200, 0x22FF, "mathematics"), (0x2300, 0x23FF, "symbol"), (0x2500, 0x259F, "box"), (0x25A0, 0x27BF, "shape"),
+        (0x3000, 0x303F, "cjk sign"), (0x3040, 0x309F, "hiragana"), (0x30A0, 0x30FF, "katakana"), (0x3100, 0x312F, "bopomofo"), (0x3200, 0x33FF, "cjk square"), (0xAC00, 0xD7A3, "hangul"), (0x1100, 0x11FF, "jamo"), (0x3130, 0x318F, "jamo"),
+        (0xE000, 0xF8FF, "private"), (0xFE10, 0xFE6F, "form"), (0xFF01, 0xFF60, "full width"), (0xFF61, 0xFF9F, "half width"), (0xFFFD, 0xFFFD, "lost"), (0x1F000, 0x1FAFF, "emoji"), (0xFE00, 0xFE0F, "selector"), (0x200D, 0x200D, "selector"),
+    ]
 
 
-def observed(text: str, logp) -> list[float]:
-    """Running sums of the clean state's log probabilities. A small Greek or Russian letter (or one that looks Latin) behind another letter of its script has at least ``SAME_SCRIPT``: rare letters come in words."""
-    if not CASED.search(text):
-        return [0.0, *itertools.accumulate(map(logp, text))]
-    out, total, before = [0.0], 0.0, 0
-    for c in text:
-        p = logp(c)
-        kind = 1 if "\u0370" <= c <= "\u03ff" else 2 if "\u0400" <= c <= "\u04ff" else 0
-        if kind and kind == before and p < SAME_SCRIPT and (kind == 1 and c.islower() or c in SMALL):
-            p = SAME_SCRIPT
-        before = kind
-        total += p
-        out.append(total)
-    return out
+@lru_cache(None)
+def class_table() -> tuple[np.ndarray, np.ndarray]:
+    """Code point -> class, and the number of code points of each class. Han characters are split by the level GB 2312 has them on."""
+    names: dict[str, int] = {}
+    at = np.zeros(TOP, np.uint8)
+    get = lambda name: names.setdefault(name, len(names))
+    at[:] = get("other")
+    for c in itertools.chain(range(0x3000), range(0xA000, 0xD7A4), range(0xF900, 0x10000)):
+        ch = chr(c)
+        kind = unicodedata.category(ch)
+        if kind in ("Cn", "Co", "Cs"):
+            continue
+        if c < 128:
+            name = "lower" if ch.islower() else "upper" if ch.isupper() else "digit" if ch.isdigit() else "blank" if ch in " \t\r\n" else "sign" if c > 32 and c < 127 else "control"
+        elif kind[0] == "L":
+            script = unicodedata.name(ch, "other").split()[0]
+            name = f"{script} {kind}"
+        else:
+            name = kind
+        at[c] = get(name) if len(names) < 200 or name in names else names["other"]
+    for a, b, name in _blocks():
+        at[a : b + 1] = get(name)
+    at[0x3400:0xA000] = get("rare han")
+    at[0x20000:0x32000] = names["rare han"]
+    for level, rows in (("second han", range(0xD8, 0xF8)), ("first han", range(0xB0, 0xD8))):
+        k = get(level)
+        for hi in rows:
+            for lo in range(0xA1, 0xFF):
+                if c := bytes([hi, lo]).decode("gb2312", "ignore"):
+                    at[ord(c)] = k
+    return at, np.bincount(at, minlength=len(names)).astype(np.float64)
+
+
+CLEAN_ROWS = "kind string, a int, b int, n long"
+
+
+class Model:
+    """Log probabilities of the states, from counts ``(kind, a, b) -> n``: "char" of characters, "step" of pairs of classes, "enter" and "inside" of spans and of their characters and "alone" of spans of one stretch, by state, "labelled" of all characters that were labelled."""
+
+    def __init__(self, counts: Counter):
+        at, size = class_table()
+        kinds = len(size)
+        n = np.zeros(TOP)
+        steps = np.zeros((kinds, kinds))
+        enter, alone, inside, labelled = np.zeros(LOST_STATE + 1), np.zeros(LOST_STATE + 1), np.zeros(LOST_STATE + 1), 0
+        for (kind, a, b), k in counts.items():
+            if kind == "char":
+                n[a] = k
+            elif kind == "step":
+                steps[a, b] = k
+            elif kind == "labelled":
+                labelled = k
+            elif kind == "enter":
+                enter[a] = k
+            elif kind == "alone":
+                alone[a] = k
+            else:
+                inside[a] = k
+        total = n.sum()
+        # Within a class and behind a class half a count more for each: what was never seen is possible.
+        of = np.bincount(at, weights=n, minlength=kinds)
+        self.char = np.log((n + 0.5) / (of + 0.5 * size)[at]).astype(np.float32)
+        whole = of / max(total, 1.0)
+        base = 0.5 * (whole + 1.0 / kinds)  # where few steps were seen, classes as frequent as elsewhere
+        self.step = np.log((steps + 20 * base) / (steps.sum(1) + 20 * base.sum())[:, None]).astype(np.float32)
+        self.char[0xFFFD] = -50.0
+        self.read = self.char.copy()
+        self.read[0xA0] = self.char[0x20]  # where a no-break space is read, any blank may have been meant
+        prior = PRIOR_ENTER * PRIOR_WEIGHT / len(enter)
+        leave = (enter.sum() + PRIOR_LEAVE * 20) / (inside.sum() + 20)
+        self.enter = np.log((enter + prior) / (labelled + PRIOR_WEIGHT))
+        self.alone = np.log((alone + PRIOR_LEAVE * prior) / (labelled + PRIOR_WEIGHT))
+        self.stay, self.leave = math.log(max(1e-3, 1 - leave)), math.log(leave)
+        self.cost = -np.maximum(self.enter + self.leave, self.alone)
+
+    @cached_property
+    def best_after(self) -> np.ndarray:
+        """The largest log probability a character has behind any class."""
+        at, _ = class_table()
+        return self.char + self.step.max(0)[at]
+
+    @cached_property
+    def read_wide(self) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
+        """For each pair of encodings by several bytes: (pair, wrong, for each character the most its bytes are worth in the right encoding, -inf for nothing)."""
+        out = []
+        for p, (right, wrong) in enumerate(PAIRS):
+            if wrong in MULTI and right != "utf-8":
+                b, n = wide_table(wrong)
+                code = np.where(n == 2, double_table(right)[np.where(n == 2, b, 0)], -1)
+                out.append((p, np.where(code >= 0, self.best_after[np.maximum(code, 0)], -np.inf).astype(np.float32)))
+        return out
+
 
+def observed(codes: np.ndarray, model: Model) -> np.ndarray:
+    """Log probability of each character in the clean state, behind the one before it (a line break before the first)."""
+    at, _ = class_table()
+    k = at[codes]
+    before = np.empty_like(k)
+    before[0], before[1:] = at[10], k[:-1]
+    return model.step[before, k] + model.read[codes]
 
-def restored(r: str, logp) -> float:
-    return sum(p if (p := logp(c)) > NEVER else p - NEVER_COST for c in r)
+
+# Stretches of characters that are bytes of a right encoding
+
+
+class Unit(NamedTuple):
+    start: int
+    end: int
+    text: str
+    gain: float
+    pair: int
 
 
-def units(text: str, pair: int, logp, sums: list[float]) -> list[Unit]:
-    """Stretches of ``text`` whose bytes are characters of the right encoding."""
+def single_units(codes: np.ndarray, high: np.ndarray, wrong: str, right: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, code point) of all stretches read in a single-byte encoding that are one character of the right one. ``codes`` ends in four line breaks; ``high`` are the places of characters that may be high bytes."""
+    table = byte_table(wrong)
+    b0 = table[codes[high]].astype(np.int64)
+    start = high[b0 >= 128]
+    b0 = b0[b0 >= 128]
+    if right in SINGLE:
+        c = text_of(right)[b0]
+        ok = (c >= 0) & (c != codes[start])
+        return start[ok], np.ones(int(ok.sum()), np.int64), c[ok]
+    b1 = table[codes[start + 1]].astype(np.int64)
+    if right == "utf-8":
+        more = lambda b: (b >= 0x80) & (b <= 0xBF)
+        two = (b0 >= 0xC2) & (b0 <= 0xDF) & more(b1)
+        out = [(start[two], 2, (b0[two] & 31) << 6 | b1[two] & 63)]
+        long = np.flatnonzero((b0 >= 0xE0) & (b0 <= 0xF4) & more(b1))
+        s, x0, x1 = start[long], b0[long], b1[long]
+        x2 = table[codes[s + 2]].astype(np.int64)
+        c = (x0 & 15) << 12 | (x1 & 63) << 6 | x2 & 63
+        ok = (x0 <= 0xEF) & more(x2) & (c >= 0x800) & ((c < 0xD800) | (c > 0xDFFF))
+        out.append((s[ok], 3, c[ok]))
+        x3 = table[codes[s + 3]].astype(np.int64)
+        c = (x0 & 7) << 18 | (x1 & 63) << 12 | (x2 & 63) << 6 | x3 & 63
+        ok = (x0 >= 0xF0) & more(x2) & more(x3) & (c >= 0x10000) & (c < TOP)
+        out.append((s[ok], 4, c[ok]))
+    else:
+        c = np.where(b1 >= 0x40, double_table(right)[b0 << 8 | np.maximum(b1, 0)], -1)
+        ok = c >= 0
+        out = [(start[ok], 2, c[ok])]
+        if right == "cp932":
+            ok = (b0 >= 0xA1) & (b0 <= 0xDF)
+            out.append((start[ok], 1, text_of(right)[b0[ok]]))
+        if right == "gb18030":
+            four = np.flatnonzero((b0 >= 0x81) & (b1 >= 0x30) & (b1 <= 0x39))
+            s = start[four]
+            b2, b3 = table[codes[s + 2]].astype(np.int64), table[codes[s + 3]].astype(np.int64)
+            ok = (b2 >= 0x81) & (b2 <= 0xFE) & (b3 >= 0x30) & (b3 <= 0x39)
+            s, lead, place = s[ok], b0[four][ok], (((b0[four] - 0x81) * 10 + b1[four] - 0x30) * 126 + b2 - 0x81)[ok] * 10 + b3[ok] - 0x30
+            low = four_table()
+            c = np.where(lead >= 0x90, 0x10000 + place - 15 * 12600, low[np.minimum(place, len(low) - 1)])
+            ok = (c >= 0) & (c < TOP) & ((lead >= 0x90) | (place < len(low)))
+            out.append((s[ok], 4, c[ok]))
+    return np.concatenate([x[0] for x in out]), np.concatenate([np.full(len(x[0]), x[1]) for x in out]), np.concatenate([x[2] for x in out])
+
+
+def deeper_units(start: np.ndarray, length: np.ndarray, code: np.ndarray, wrong: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches whose characters are, once read rightly, UTF-8 sequences read in the same wrong encoding again."""
+    order = np.argsort(start, kind="stable")
+    start, length, code = start[order], length[order], code[order]
+    b = byte_table(wrong)[code].astype(np.int64)
+    end = start + length
+    n = len(start)
+    more = np.zeros(n + 2, bool)  # a continuation byte that follows the stretch before it
+    more[1:n] = (b[1:] >= 0x80) & (b[1:] <= 0xBF) & (start[1:] == end[:-1])
+    k = np.arange(n)
+    two = k[(b >= 0xC2) & (b <= 0xDF) & more[k + 1]]
+    three = k[(b >= 0xE0) & (b <= 0xEF) & more[k + 1] & more[k + 2]]
+    c2 = (b[two] & 31) << 6 | b[two + 1] & 63
+    c3 = (b[three] & 15) << 12 | (b[three + 1] & 63) << 6 | b[three + 2] & 63
+    ok = (c3 >= 0x800) & ((c3 < 0xD800) | (c3 > 0xDFFF))
+    three, c3 = three[ok], c3[ok]
+    return np.r_[start[two], start[three]], np.r_[end[two + 1] - start[two], end[three + 2] - start[three]], np.r_[c2, c3]
+
+
+def gains(codes: np.ndarray, upto: np.ndarray, start: np.ndarray, length: np.ndarray, code: np.ndarray, model: Model) -> np.ndarray:
+    """What each stretch gains over the clean state: its character's log probability behind the character of the stretch before it (or else behind the character before it), less that of what is read."""
+    at, _ = class_table()
+    k = at[code]
+    left = at[codes[np.maximum(start - 1, 0)]]
+    left[start == 0] = at[10]
+    ends = np.zeros(len(codes) + 1, np.int32)
+    ends[start + length] = np.arange(1, len(start) + 1)
+    there = ends[start]
+    before = np.where(there > 0, k[np.maximum(there - 1, 0)], left)
+    return model.step[before, k] + model.char[code] - (upto[start + length] - upto[start])
+
+
+def wide_units(text: str, pair: int, upto: list[float], model: Model) -> list[Unit]:
+    """Stretches of a text read in an encoding of several bytes, from one character boundary to the next, whose bytes are characters of the right one."""
     right, wrong = PAIRS[pair]
-    find = RIGHT[right]
-    out = []
-    if wrong in SINGLE:
-        data = codecs.charmap_encode(text, "replace", byte_of(wrong))[0]
-        for m in find.finditer(data):
-            s, e = m.span()
-            try:
-                r = m[0].decode(right)
-            except UnicodeDecodeError:
-                continue
-            if (gain := restored(r, logp) + sums[s] - sums[e]) > LEAST:
-                out.append(Unit(s, e, r, gain, pair))
-        return out
     data = (text.replace(LOST, "?") if LOST in text else text).encode(wrong, "replace")
-    found = [m.span() for m in find.finditer(data)]
+    found = [m.span() for m in RIGHT[right].finditer(data)]
     if not found:
-        return out
+        return []
+    at, _ = class_table()
     edges = [0, *itertools.accumulate(map(WIDTH[wrong].__getitem__, text))]
-    at = dict(zip(edges, itertools.count()))
-    # Matches that follow each other without a gap form units from one character boundary to the next.
-    start, parts = None, []
+    place = dict(zip(edges, itertools.count()))
+    parts, start = [], None
     for k, (s, e) in enumerate(found):
         if start is None:
-            if s not in at:
+            if s not in place:
                 continue
             start = s
-        follows = k + 1 < len(found) and found[k + 1][0] == e
-        if e not in at and follows:
+        if e not in place and k + 1 < len(found) and found[k + 1][0] == e:
             continue
         parts.append((start, e))
         start = None
+    out: list[Unit] = []
     for s, e in parts:
-        i, j, tail = at[s], at.get(e), ""
+        i, j, tail = place[s], place.get(e), ""
         if j is None:  # the last byte was read together with what follows
             j = bisect.bisect_left(edges, e)
             tail = data[e : edges[j]].decode("ascii", "replace")
@@ -153,244 +369,421 @@ def units(text: str, pair: int, logp, sums: list[float]) -> list[Unit]:
             r = data[s:e].decode(right) + tail
         except UnicodeDecodeError:
             continue
-        if (gain := restored(r, logp) + sums[i] - sums[j]) > LEAST and r != text[i:j]:
-            out.append(Unit(i, j, r, gain, pair))
+        if r == text[i:j] or not r:
+            continue
+        before = out[-1].text[-1] if out and out[-1].end == i else text[i - 1] if i else "\n"
+        value = 0.0
+        for c in r:
+            if c == LOST:
+                value += float(model.enter[LOST_STATE])
+                continue
+            value += float(model.step[at[ord(before)], at[ord(c)]]) + float(model.char[ord(c)])
+            before = c
+        out.append(Unit(i, j, r, value - (upto[j] - upto[i]), pair))
     return out
 
 
-@lru_cache(None)
-def sequences(right: str, wrong: str) -> regex.Pattern:
-    """Stretches of a text read in a single-byte encoding that are one character of the right one."""
-    of: dict[int, str] = {}
-    for c, b in byte_of(wrong).items():
-        of[b] = of.get(b, "") + chr(c)
-    one = lambda *ranges: "[" + re.escape("".join(of.get(b, "") for lo, hi in ranges for b in range(lo, hi + 1))) + "]"
-    if right == "utf-8":
-        more = one((0x80, 0xBF))
-        return re.compile(f"{one((0xC2, 0xDF))}{more}|{one((0xE0, 0xEF))}{more}{{2}}|{one((0xF0, 0xF4))}{more}{{3}}")
-    high = one((0x81, 0xFE))
-    return re.compile(f"{high}[0-9]{high}[0-9]|{high}{one((0x40, 0x7E), (0x80, 0xFE))}")
-
-
-DOUBLE = [wrong for right, wrong in PAIRS if right == "gb18030" and wrong in MULTI]
+def lost_units(text: str, upto: list[float]) -> list[Unit]:
+    return [Unit(m.start(), m.end(), m[0], upto[m.start()] - upto[m.end()], LOST_STATE) for m in re.finditer(LOST + "+", text)]
+
+
+# Search
+
+
+class Batch:
+    """Texts laid out as one array of code points, a line break between them and four behind the last."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.codes = np.frombuffer(("\n".join(texts) + "\n\n\n\n").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.first = np.cumsum(lens) - lens
+        self.owner = np.repeat(np.arange(len(texts)), lens)
+        self.owner = np.r_[self.owner, np.full(len(self.codes) - len(self.owner), max(0, len(texts) - 1))]
+        at, _ = class_table()
+        self.high = np.flatnonzero(single_high()[self.codes])
+
+    def singles(self):
+        """(pair, start, length, code) of the stretches of each pair with a single-byte wrong encoding."""
+        for p, (right, wrong) in enumerate(PAIRS):
+            if wrong in SINGLE:
+                found = [single_units(self.codes, self.high, wrong, right)]
+                while right == "utf-8" and len(found[-1][0]):  # garbled in the same way once more
+                    found.append(deeper_units(*found[-1], wrong))
+                yield p, *(np.concatenate(x) for x in zip(*found))
+
+    def wide_bytes(self, wrong: str) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all texts in an encoding of several, and the character each belongs to."""
+        b, n = wide_table(wrong)
+        value, width = b[self.codes], n[self.codes].astype(np.int64)
+        end = np.cumsum(width)
+        out = np.zeros(int(end[-1]) + 3, np.uint8)
+        two = width == 2
+        out[end[two] - 2] = value[two] >> 8
+        out[end - 1] = value & 255
+        return out, np.repeat(np.arange(len(width)), width)
+
+    def wide_utf8(self, wrong: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, code point) of UTF-8 sequences among those bytes, and the character of each byte."""
+        b, char = self.wide_bytes(wrong)
+        x = b[:-3].astype(np.int64)
+        lead = np.flatnonzero((x >= 0xC2) & (x <= 0xEF))
+        more = lambda k: (b[k] & 0xC0) == 0x80
+        lead = lead[more(lead + 1)]
+        two = lead[x[lead] <= 0xDF]
+        three = lead[(x[lead] >= 0xE0)]
+        three = three[more(three + 2)]
+        c3 = (x[three] & 15) << 12 | (b[three + 1].astype(np.int64) & 63) << 6 | b[three + 2] & 63
+        ok = (c3 >= 0x800) & ((c3 < 0xD800) | (c3 > 0xDFFF))
+        c2 = (x[two] & 31) << 6 | b[two + 1].astype(np.int64) & 63
+        return np.r_[two, three[ok]], np.r_[np.full(len(two), 2), np.full(int(ok.sum()), 3)], np.r_[c2, c3[ok]], char
 
 
-class Chances(dict):
-    """Character -> log probability, from a table."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table
-
-    def __missing__(self, c: str) -> float:
-        p = self[c] = float(self.table[ord(c)])
-        return p
-
-
-class MostGain(dict):
-    """Character -> the most a double-byte character read as another gains, in any of those pairs. Byte pairs stay pairs, so each character is a unit; infinite for one of another width."""
+@lru_cache(None)
+def single_high() -> np.ndarray:
+    """Whether a character is a high byte of any single-byte encoding."""
+    out = np.zeros(TOP, bool)
+    for w in SINGLE:
+        out |= byte_table(w) >= 128
+    return out
 
-    def __init__(self, logp):
-        self.logp = logp
 
-    def __missing__(self, c: str) -> float:
-        most = 0.0
-        for wrong in DOUBLE:
-            data = c.encode(wrong, "replace")
-            if c < "\x80" or c == LOST or data == b"?":
-                continue
-            if len(data) != 2:
-                most = math.inf
-            elif r := data.decode("gb18030", "ignore"):
-                most = max(most, restored(r, self.logp) - self.logp(c))
-        self[c] = most
-        return most
-
-
-def candidates(text: str, logp, most: MostGain) -> list[Unit]:
-    """Units of all pairs. A run of units of one pair pays ``ENTER``, so a pair whose positive gains together are no more is on no best path; no frequency decides but through the gain itself."""
-    sums, out = observed(text, logp), []
-    double = sum(map(most.__getitem__, text)) > ENTER
-    for pair, (right, wrong) in enumerate(PAIRS):
-        if wrong in SINGLE and not sequences(right, wrong).search(text) or right == "gb18030" and wrong in MULTI and not double:
+def hardly_clean(batch: Batch) -> np.ndarray:
+    """A mark for each character that is left out of the first counts, whatever its frequency: UTF-8 sequences read in a single-byte encoding, UTF-8 sequences of six bytes or
+    more together read in one of several, four accented letters or signs in a row, and U+FFFD. Double-byte characters read as other double-byte
+    ones or as Cyrillic stay, since clean text of those scripts is decodable too."""
+    codes = batch.codes
+    out = np.zeros(len(codes) + 1, np.int32)
+    for p, start, length, _ in batch.singles():
+        if PAIRS[p][0] == "utf-8":
+            np.add.at(out, start, 1)
+            np.add.at(out, start + length, -1)
+    latin = (codes >= 0x80) & (codes < 0x250)
+    edge = np.flatnonzero(np.diff(np.r_[False, latin, False]))
+    for s, e in zip(edge[::2], edge[1::2]):
+        if e - s >= 4:
+            out[s] += 1
+            out[e] -= 1
+    for wrong in MULTI:
+        s, n, _, char = batch.wide_utf8(wrong)
+        if len(s):
+            cover = np.zeros(len(char) + 1, np.int32)
+            np.add.at(cover, s, 1)
+            np.add.at(cover, s + n, -1)
+            inside = np.cumsum(cover[:-1]) > 0
+            edge = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+            a, b = edge[::2], edge[1::2]
+            keep = b - a >= 6
+            np.add.at(out, char[a[keep]], 1)
+            np.add.at(out, char[b[keep] - 1] + 1, -1)
+    marked = np.cumsum(out[:-1]) > 0
+    return marked | (codes == 0xFFFD)
+
+
+BREAK = -1e6
+
+
+def best_runs(value: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of values in order (``BREAK`` for what no run may contain; ``apart`` where a run may not reach over): the largest sum of a run of neighbours inside each part between breaks, and the part of each value."""
+    value = value.astype(np.float64)
+    gap = np.where(apart, BREAK, 0.0)
+    upto = np.cumsum(value + gap)
+    best = upto - np.minimum.accumulate(upto - value)
+    part = np.cumsum(apart | (value < BREAK / 2))
+    first = np.flatnonzero(np.diff(np.r_[-1, part]))
+    return np.maximum.reduceat(best, first), np.searchsorted(part[first], part)
+
+
+def chosen(batch: Batch, model: Model) -> dict[int, list]:
+    """Index of each text that may have a best path other than all clean -> its stretches so far: those of single-byte pairs as units, of others the numbers of their pairs.
+
+    A span lies between two characters that the pair cannot emit. Each character of it is worth at most the largest share that a stretch over it has of the stretch's gain, ASCII nothing
+    or more; if no run of neighbouring characters is worth what the span costs, no best path uses the pair there.
+    """
+    codes, n = batch.codes, len(batch.texts)
+    seen = observed(codes, model).astype(np.float64)
+    upto = np.r_[0.0, np.cumsum(seen)]
+    out: dict[int, list] = {}
+    # Characters that single-byte pairs can be about, and those behind them (ASCII may be a second byte).
+    lost = codes == 0xFFFD
+    near = np.unique(np.concatenate([batch.high, batch.high + 1, np.flatnonzero(lost)]))
+    place = np.zeros(len(codes) + 8, np.int32)
+    place[near] = np.arange(len(near))
+    ascii_ = codes < 0x80
+    hard = np.cumsum(~ascii_ & ~lost & ~single_high()[codes])
+    # A lost byte is explained in any case; inside a pair that saves leaving the state of lost ones.
+    base = np.where(ascii_[near], 0.0, np.where(lost[near], -model.leave, BREAK))
+    apart = np.r_[True, (np.diff(hard[near]) > 0) | (np.diff(batch.owner[near]) > 0)] if len(near) else np.zeros(0, bool)
+    for p, start, length, code in batch.singles():
+        if not len(start):
             continue
-        found = units(text, pair, logp, sums)
-        if sum(u.gain for u in found if u.gain > 0) > ENTER:
-            out += found
+        gain = gains(codes, upto, start, length, code, model)
+        value = base.copy()
+        for size in np.unique(length).tolist():
+            on = np.flatnonzero(length == size)
+            for k in range(size):
+                at = place[start[on] + k]
+                value[at] = np.maximum(value[at], gain[on] / size)
+        most, part = best_runs(value, apart)
+        keep = np.flatnonzero(most[part[place[start]]] > model.cost[p])
+        if len(keep):
+            of = batch.owner[start[keep]]
+            s = start[keep] - batch.first[of]
+            for t, *unit in zip(of.tolist(), s.tolist(), (s + length[keep]).tolist(), map(chr, code[keep].tolist()), gain[keep].tolist()):
+                out.setdefault(t, []).append(Unit(*unit, p))
+    for wrong in MULTI:
+        p = PAIRS.index(("utf-8", wrong))
+        s, length, code, char = batch.wide_utf8(wrong)
+        if len(s):
+            _, width = wide_table(wrong)
+            share = np.r_[0.0, np.cumsum(seen[char] / width[codes[char]])]
+            gain = (model.best_after[code] - (share[s + length] - share[s])) / length
+            value = np.where(ascii_[char], 0.0, np.where(lost[char], -model.leave, BREAK))
+            for size in (2, 3):
+                on = length == size
+                for k in range(size):
+                    value[s[on] + k] = gain[on]
+            owner = batch.owner[char]
+            most, part = best_runs(value, np.r_[True, np.diff(owner) > 0])
+            for t in np.unique(owner[s[most[part[s]] > model.cost[p]]]):
+                out.setdefault(int(t), []).append(p)
+    big = np.flatnonzero(codes >= 0x2000)
+    if len(big):
+        narrow = np.cumsum(~ascii_ & (codes < 0x2000))
+        apart = np.r_[True, (np.diff(narrow[big]) > 0) | (np.diff(batch.owner[big]) > 0)]
+        half = np.unique(batch.owner[(codes >= 0xFF61) & (codes <= 0xFF9F)])  # half-width letters shift the bytes of what follows
+        for p, worth in model.read_wide:
+            most, part = best_runs(np.where(lost[big], -model.leave, np.maximum(worth[codes[big]] - seen[big], BREAK)), apart)
+            texts = batch.owner[big[most[part] > model.cost[p]]]
+            for t in np.unique(np.r_[texts, half] if PAIRS[p][1] == "cp932" else texts):
+                out.setdefault(int(t), []).append(p)
+    for t in np.unique(batch.owner[lost]):
+        out.setdefault(int(t), [])
     return out
 
 
-def best_path(text: str, every: list[Unit]) -> tuple[float, list[Unit]]:
-    """Viterbi over stretches: the log-probability gain over the all-clean path, and the stretches labelled with a pair."""
-    every = sorted((u for u in every), key=lambda u: (u.end, u.start))
-    odd = np.cumsum([0, *(c > "\x7f" for c in text)])
-    ends, best = [], []  # best gain of paths that are clean again at ends[k], and their last stretch
-    last: dict[int, list[int]] = {}
-    score, back = [], []
+def best_path(text: str, every: list[Unit], upto: list[float], model: Model) -> tuple[float, list[tuple[Unit, bool]]]:
+    """Viterbi over stretches: the log-probability gain over the all-clean path, and the stretches labelled with a pair, with whether each begins a span.
+
+    Inside a pair ASCII may lie between stretches, at the chance of staying for each character, and lost bytes, at the chance of one besides; any other character ends the span.
+    """
+    every = sorted(every)
+    every.sort(key=lambda u: u[1])
+    # What lies between two places of a span: characters that end it, and what the others cost or gain.
+    between, odd, stay, lost = [0.0], [0], model.stay, float(model.enter[LOST_STATE])
+    for k, c in enumerate(text):
+        between.append(between[-1] + stay + (upto[k] - upto[k + 1] + lost if c == LOST else 0.0))
+        odd.append(odd[-1] + (c > "\x7f" and c != LOST))
+    enter, alone, leave = model.enter.tolist(), model.alone.tolist(), model.leave
+    ends, best = [], []  # best gain of paths that are clean again at ends[k], and their last node
+    inside: dict[tuple[int, int], tuple[list[int], list[tuple[float, int]]]] = {}  # by pair and characters that end a span so far: ends, best carried value
+    nodes: list[tuple[Unit, int, bool]] = []  # stretch, node before, whether it begins a span
     top, who = 0.0, -1
-    for k, u in enumerate(every):
-        p = bisect.bisect_right(ends, u.start) - 1
-        before, came = (best[p] if p >= 0 else (0.0, -1))
-        value = before - ENTER - (CYRILLIC_MORE if PAIRS[u.pair] in DOUBTFUL else 0.0)
-        seen = last.setdefault(u.pair, [])
-        for q in reversed(seen[-8:]):
-            v = every[q]
-            if v.end <= u.start:
-                n = int(odd[u.start] - odd[v.end])
-                carry = score[q] - GAP_ODD * n - GAP * (u.start - v.end - n)
-                if carry > value:
-                    value, came = carry, q
-        score.append(value + u.gain)
-        back.append(came)
-        seen.append(k)
-        if score[k] > top:
-            top, who = score[k], k
-        if ends and ends[-1] == u.end:
+    find = bisect.bisect_right
+    for u in every:
+        start, end, _, gain, pair = u
+        p = find(ends, start) - 1
+        before, came = best[p] if p >= 0 else (0.0, -1)
+        value, new = before + enter[pair], True
+        held = inside.get((pair, odd[start]))
+        if held:
+            q = find(held[0], start) - 1
+            if q >= 0:
+                carried, v = held[1][q]
+                carried += between[start] + stay
+                if carried > value:
+                    value, new = carried, False
+        value += gain
+        k = len(nodes)
+        nodes.append((u, came if new else v, new))
+        a, b = inside.setdefault((pair, odd[end]), ([], []))
+        here = (value - between[end], k)
+        if b and b[-1][0] >= here[0]:
+            here = b[-1]
+        if a and a[-1] == end:
+            b[-1] = here
+        else:
+            a.append(end)
+            b.append(here)
+        value += leave
+        single = before + alone[pair] + gain
+        if single > value and single > top:
+            nodes.append((u, came, True))
+            top, who = single, k + 1
+        elif value > top:
+            top, who = value, k
+        if ends and ends[-1] == end:
             best[-1] = (top, who)
         else:
-            ends.append(u.end)
+            ends.append(end)
             best.append((top, who))
     path = []
     while who >= 0:
-        path.append(every[who])
-        who = back[who]
+        u, who, new = nodes[who]
+        path.append((u, new))
     return top, path[::-1]
 
 
-def repair(text: str, logp, rounds: int = 3, most: MostGain | None = None) -> tuple[float, str]:
-    """Gain of the first search (0: nothing found) and the restored text. Replacement characters mark bytes lost for good; they stay."""
-    first, most = 0.0, MostGain(logp) if most is None else most
-    for n in range(rounds):
-        found = candidates(text, logp, most)
-        gain, path = best_path(text, found) if found else (0.0, [])
-        if not path:
-            break
-        first = first or gain
-        out, at = [], 0
-        for u in path:
-            out += [text[at : u.start], u.text]
-            at = u.end
-        text = "".join(out) + text[at:]
-    return first, text
-
-
-class Clean:
-    """Log probabilities of characters in clean text."""
+def text_units(text: str, given: list, upto: list[float], model: Model) -> list[Unit]:
+    out = [u for u in given if isinstance(u, Unit)]
+    for p in given:
+        if not isinstance(p, Unit):
+            found = wide_units(text, p, upto, model)
+            if sum(u.gain for u in found if u.gain > 0) - model.leave * text.count(LOST) > model.cost[p]:
+                out += found
+    return out + (lost_units(text, upto) if LOST in text else [])
 
-    def __init__(self, counts: dict[int, int]):
-        total = sum(counts.values()) + 1
-        self.floor = math.log(0.5 / total) if total > 1 else -16.0
-        self.table = np.full(0x110000, min(self.floor, -14.0), np.float32)
-        for c, n in counts.items():
-            self.table[c] = math.log(n / total)
 
-    def __call__(self, c: str) -> float:
-        return float(self.table[ord(c)])
+def restore(text: str, path: list[Unit]) -> str:
+    out, at = [], 0
+    for u in path:
+        out += [text[at : u.start], u.text]
+        at = u.end
+    return "".join(out) + text[at:]
 
 
-#: Bytes a stretch has at least to be left out of the counts, where shorter ones are common in clean text.
-LONG_UTF8, LONG_GB = regex.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+"), 4
-LATIN = ("cp1252", "mac_roman", "cp437", "cp1250")
+class Labels:
+    """Labels of texts: gains, restored texts, and the counts of :class:`Model` over them as they read afterwards."""
 
+    def __init__(self, model: Model):
+        self.model, self.counts = model, Counter()
 
-@lru_cache(None)
-def latin_runs(wrong: str) -> re.Pattern:
-    return re.compile("[" + re.escape("".join(chr(c) for c, b in byte_of(wrong).items() if b > 0x80 and chr(c) != LOST)) + f"]{{{LONG_GB},}}")
+    def search(self, texts: list[str]) -> dict[int, tuple[float, list[tuple[Unit, bool]]]]:
+        batch, out = Batch(texts), {}
+        for t, given in chosen(batch, self.model).items():
+            text = texts[t]
+            upto = [0.0, *np.cumsum(observed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), self.model).astype(np.float64)).tolist()]
+            gain, path = best_path(text, text_units(text, given, upto, self.model), upto, self.model)
+            if path:
+                out[t] = gain, path
+        return out
 
+    def run(self, texts: list[str]) -> tuple[list[float | None], list[str]]:
+        """Gain of the first search (None: nothing found) and the restored text of each. A round raises the probability of a text, so rounds end."""
+        first: list[float | None] = [None] * len(texts)
+        now, todo, seen = list(texts), list(range(len(texts))), {}
+        while todo:
+            found = self.search([now[t] for t in todo])
+            again = []
+            for k, (gain, path) in found.items():
+                t = todo[k]
+                if first[t] is None:
+                    first[t] = gain
+                spans: list[list[Unit]] = []
+                for u, new in path:
+                    spans.append([u]) if new else spans[-1].append(u)
+                for span in spans:
+                    one, pair = len(span) == 1, span[0].pair
+                    self.counts["alone" if one else "enter", pair, 0] += 1
+                    if not one:
+                        self.counts["inside", pair, 0] += span[-1].end - span[0].start
+                fixed = restore(now[t], [u for u, _ in path])
+                if fixed != now[t] and fixed not in seen.setdefault(t, {texts[t]}):
+                    seen[t].add(fixed)
+                    now[t] = fixed
+                    again.append(t)
+            todo = again
+        return first, now
+
+    def count(self, texts: list[str]) -> None:
+        count(self.counts, texts)
+        self.counts["labelled", 0, 0] += sum(map(len, texts))
+
+
+def count(counts: Counter, texts: list[str], leave_out=None) -> None:
+    """Adds characters and steps between classes; ``leave_out`` marks characters of a :class:`Batch` that do not count. U+FFFD never counts."""
+    at, size = class_table()
+    batch = Batch(texts)
+    k = at[batch.codes].astype(np.int64)
+    ok = batch.codes != 0xFFFD
+    ok[len(batch.codes) - 3 :] = False
+    if leave_out is not None:
+        ok &= ~leave_out(batch)
+    n = np.bincount(batch.codes[ok])
+    for c in np.flatnonzero(n):
+        counts["char", int(c), 0] += int(n[c])
+    both = ok[1:] & ok[:-1]
+    s = np.bincount(k[:-1][both] * len(size) + k[1:][both])
+    for x in np.flatnonzero(s):
+        counts["step", int(x) // len(size), int(x) % len(size)] += int(s[x])
+
+
+def _total(rows: DataFrame) -> Counter:
+    """Sums of the counts of all tasks; at most a row per code point, pair of classes and state reaches the driver."""
+    t = rows.groupBy("kind", "a", "b").agg(F.sum("n").alias("n")).toArrow()
+    return Counter(dict(zip(zip(t.column("kind").to_pylist(), t.column("a").to_pylist(), t.column("b").to_pylist()), t.column("n").to_pylist())))
+
+
+def _counts_batch(counts: Counter) -> pa.RecordBatch:
+    keys = list(counts)
+    return pa.RecordBatch.from_pydict({"kind": [k[0] for k in keys], "a": [k[1] for k in keys], "b": [k[2] for k in keys], "n": [counts[k] for k in keys]}, schema=pa.schema([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("n", pa.int64())]))
+
+
+#: Characters of text that are laid out together.
+LAID_OUT = 1_000_000
+
+
+def _portions(texts: list[str]):
+    """Slices of about ``LAID_OUT`` characters."""
+    start, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= LAID_OUT:
+            yield slice(start, k + 1)
+            start, size = k + 1, 0
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def first_counts(texts: DataFrame, column: str) -> Counter:
+    def run(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            every = [t for t in batch.column(0).to_pylist() if t]
+            for part in _portions(every):
+                count(counts, every[part], hardly_clean)
+        yield _counts_batch(counts)
 
-def doubtful(text: str) -> str:
-    """``text`` without the stretches that are hardly clean, whatever their frequency, so that a source full of them does not count as clean.
+    return _total(texts.select(column).mapInArrow(run, CLEAN_ROWS))
 
-    They are UTF-8 sequences read in a single-byte encoding, six bytes or more of such sequences read as double-byte characters, and runs
-    of four or more accented letters and signs that are double-byte characters. Double-byte characters read as Cyrillic or as other double-byte
-    characters stay, since clean text of those scripts is decodable too.
-    """
-    for wrong in SINGLE:
-        text = sequences("utf-8", wrong).sub(" ", text)
-    for wrong in LATIN:
-        def gb(m):
-            try:
-                codecs.charmap_encode(m[0], "strict", byte_of(wrong))[0].decode("gb18030")
-            except UnicodeError:
-                return m[0]
-            return " "
 
-        text = latin_runs(wrong).sub(gb, text)
-    for wrong in MULTI:
-        data = text.replace(LOST, "?").encode(wrong, "replace")
-        spans = [m.span() for m in LONG_UTF8.finditer(data) if m.end() - m.start() >= 6]
-        if spans:
-            edges = [0, *itertools.accumulate(map(WIDTH[wrong].__getitem__, text))]
-            out, at = [], 0
-            for s, e in spans:
-                i, j = bisect.bisect_left(edges, s), bisect.bisect_left(edges, e)
-                out.append(text[at:i])
-                at = max(at, j)
-            text = " ".join(out) + " " + text[at:]
-    return text
-
-
-def count_characters(texts: DataFrame, column: str) -> Counter:
-    """Counts over all texts, doubtful stretches left out; at most one row per code point reaches the driver."""
+def label(texts: DataFrame, column: str, model: Model) -> tuple[DataFrame, Counter]:
+    """``texts(column)`` with ``gain, restored`` (null where nothing was found), written; and the counts over all of them as they read then."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        n = np.zeros(0x110000, np.int64)
+        labels = Labels(shared.value)
         for batch in batches:
-            for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
-                codes = np.frombuffer("".join(t if t.isascii() else doubtful(t) for t in part.column(0).to_pylist() if t).encode("utf-32-le", "surrogatepass"), np.uint32)
-                if len(codes):
-                    b = np.bincount(codes)
-                    n[: len(b)] += b
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["c", "n"])
-
-    rows = texts.select(column).mapInArrow(run, "c long, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
-    return Counter(dict(zip(rows.column("c").to_pylist(), rows.column("n").to_pylist())))
-
-
-def search(texts: DataFrame, column: str, clean: Clean, out: str = "found") -> DataFrame:
-    """``texts`` with ``out`` STRUCT<gain, restored>: null where nothing was found."""
-    model = texts.sparkSession.sparkContext.broadcast(clean)
-
-    @F.pandas_udf("gain double, restored string")
-    def label(s: pd.Series) -> pd.DataFrame:
-        m = model.value
-        logp = Chances(m.table).__getitem__
-        most = MostGain(logp)
-        gains, restored = [], []
-        for t in s:
-            g = r = None
-            if t and not t.isascii():
-                gain, fixed = repair(t, logp, most=most)
-                if gain > 0:
-                    g, r = gain, fixed
-                elif LOST in t:
-                    g, r = 0.0, t
-            gains.append(g)
-            restored.append(r)
-        return pd.DataFrame({"gain": gains, "restored": restored}).astype({"gain": "float64"})
-
-    return texts.withColumn(out, label(column))
-
-
+            every = batch.column(0).to_pylist()
+            for part in _portions(every):
+                some = every[part]
+                gain, fixed = labels.run(some)
+                labels.count(fixed)
+                restored = [None if g is None else f for g, f in zip(gain, fixed)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(gain, pa.float64()), pa.array(restored, pa.string()), *[pa.nulls(len(some), t) for t in (pa.string(), pa.int32(), pa.int32(), pa.int64())]], names=[column, "gain", "restored", "kind", "a", "b", "n"])
+        c = _counts_batch(labels.counts)
+        none = [pa.nulls(c.num_rows, t) for t in (pa.string(), pa.float64(), pa.string())]
+        yield pa.RecordBatch.from_arrays([*none, *c.columns], names=[column, "gain", "restored", "kind", "a", "b", "n"])
+
+    out = cut(texts.select(column).mapInArrow(run, f"{column} string, gain double, restored string, {CLEAN_ROWS}").where("kind is not null or restored is not null"), "labelled")
+    return out.where("restored is not null").select(column, "gain", "restored"), _total(out.where("kind is not null").select("kind", "a", "b", "n"))
+
+
+@tidy
 def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, gain, restored`` of the rows of which any part was read in a wrong encoding. ``restored`` equals the original where no byte was lost; null and empty texts are never found.
 
-    The model is fitted on distinct texts, so copies of one garbled text, however many, do not make it look clean. Each distinct
-    text is searched with the counts over all of them, then the unmarked ones with the counts over those until no more is marked (a round
-    marks one text at least), and the marked ones with the last counts; results go back to all rows.
+    The model is fitted on distinct texts, so copies of one garbled text, however many, do not make it look clean. Estimation ends when a round
+    marks the same texts as the one before (or as an earlier one, should rounds alternate); results go back to all rows.
     """
     t = documents.select(key, text).where(F.col(text).isNotNull() & (F.col(text) != "")).withColumn("_h", F.xxhash64(text))
-    one = cut(t.select(F.col(text).alias("_t"), "_h").dropDuplicates(["_h", "_t"]), "texts")
-    unmarked, parts, counts = one, [], count_characters(one, "_t")
+    one = cut(t.select(F.col(text).alias("_t"), "_h").dropDuplicates(["_h", "_t"]).select("_t"), "texts")
+    counts, seen = first_counts(one, "_t"), set()
     while True:
-        clean = Clean(counts)
-        searched, seen = measured_cut(search(unmarked, "_t", clean), "searched", n=F.count("found.restored"))
-        new = searched.where("found.restored is not null")
-        parts.append(new.withColumnRenamed("found", "was"))
-        if not seen["n"]:
+        found, counts = label(one, "_t", Model(counts))
+        marks = found.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("_t", "restored").cast("decimal(38,0)")), F.lit(0))).first()
+        if tuple(marks) in seen:
             break
-        counts = counts - count_characters(new, "_t")
-        unmarked = searched.where("found.restored is null").drop("found")
-    was = reduce(DataFrame.unionByName, parts)
-    marked = cut(search(was, "_t", clean).withColumn("found", F.when(F.col("found.restored").isNotNull(), F.col("found")).otherwise(F.col("was"))).drop("was"), "marked")
-    return t.join(marked, (t["_h"] == marked["_h"]) & (t[text] == marked["_t"])).select(t[key], "found.gain", "found.restored")
+        seen.add(tuple(marks))
+    marked = cut(found.withColumn("_m", F.xxhash64("_t")), "marked")
+    return t.join(marked, (t["_h"] == marked["_m"]) & (t[text] == marked["_t"])).select(t[key], "gain", "restored")
