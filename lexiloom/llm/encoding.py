@@ -491,7 +491,7 @@ def best_runs(value: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndar
     best = upto - np.minimum.accumulate(upto - value)
     part = np.cumsum(apart | (value < BREAK / 2))
     first = np.flatnonzero(np.diff(np.r_[-1, part]))
-    return np.maximum.reduceat(best, first), np.searchsorted(part[first], part)
+    return np.maximum.reduceat(best, first), part - part[0]  # every part has a value, so they are numbered without gaps
 
 
 def chosen(batch: Batch, model: Model) -> dict[int, list]:
@@ -634,6 +634,58 @@ def text_units(text: str, given: list, upto: list[float], model: Model) -> list[
     return out + (lost_units(text, upto) if LOST in text else [])
 
 
+def labelled(text: str, every: list[Unit], upto: list[float], model: Model) -> tuple[float, list[tuple[Unit, bool]]]:
+    """:func:`best_path` over the stretches of the pairs that can be on it.
+
+    The pair that promises most is tried alone first, giving a path L. A span of another pair takes the place of some characters of L, which lose their part of what L's
+    spans there gain after their costs (or more). If no run of characters is worth more by the other pair than that, and by more than the span costs, the best path needs
+    no span of that pair, whatever else it has.
+    """
+    pairs: dict[int, list[Unit]] = {}
+    for u in every:
+        pairs.setdefault(u.pair, []).append(u)
+    if len(pairs) - (LOST_STATE in pairs) < 2:
+        return best_path(text, every, upto, model)
+    n, seen = len(text), np.asarray(upto)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    base = np.where(codes < 0x80, 0.0, BREAK)
+    lost = codes == 0xFFFD
+    base[lost] = (seen[:-1] - seen[1:])[lost] + float(model.enter[LOST_STATE])
+    worth = {}
+    for p, us in pairs.items():
+        if p != LOST_STATE:
+            v = base.copy()
+            start, end, gain = (np.array(x) for x in zip(*[(u.start, u.end, u.gain) for u in us]))
+            size = end - start
+            for k in range(int(size.max())):
+                on = size > k
+                np.maximum.at(v, start[on] + k, gain[on] / size[on])
+            worth[p] = v
+    no = np.zeros(n, bool)
+    no[0] = True
+    promise = {p: best_runs(v, no)[0].max() - model.cost[p] for p, v in worth.items()}
+    first = max(promise, key=promise.get)
+    sure = pairs[first] + pairs.get(LOST_STATE, [])
+    gain, path = best_path(text, sure, upto, model)
+    less = np.zeros(n)
+    spans: list[list[Unit]] = []
+    for u, new in path:
+        spans.append([u]) if new else spans[-1].append(u)
+    for span in spans:
+        p, s, e = span[0].pair, span[0].start, span[-1].end
+        inside = np.zeros(n)
+        for u in span:
+            inside[u.start : u.end] = u.gain / (u.end - u.start) if u.gain > 0 else u.gain
+        inside[s:e][lost[s:e] & (inside[s:e] == 0)] = base[s:e][lost[s:e] & (inside[s:e] == 0)]
+        up = inside.clip(min=0).sum()
+        net = max(0.0, inside.sum() - model.cost[p])
+        less += np.where(inside > 0, inside * (net / up if up else 0.0), inside)
+    more = [p for p, v in worth.items() if p != first and best_runs(np.where(v > BREAK / 2, v - less, v), no)[0].max() > model.cost[p]]
+    if not more:
+        return gain, path
+    return best_path(text, sure + [u for p in more for u in pairs[p]], upto, model)
+
+
 def restore(text: str, path: list[Unit]) -> str:
     out, at = [], 0
     for u in path:
@@ -653,7 +705,7 @@ class Labels:
         for t, given in chosen(batch, self.model).items():
             text = texts[t]
             upto = [0.0, *np.cumsum(observed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64), self.model).astype(np.float64)).tolist()]
-            gain, path = best_path(text, text_units(text, given, upto, self.model), upto, self.model)
+            gain, path = labelled(text, text_units(text, given, upto, self.model), upto, self.model)
             if path:
                 out[t] = gain, path
         return out
@@ -781,7 +833,7 @@ def garbled(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     counts, seen = first_counts(one, "_t"), set()
     while True:
         found, counts = label(one, "_t", Model(counts))
-        marks = found.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("_t", "restored").cast("decimal(38,0)")), F.lit(0))).first()
+        marks = found.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("_t").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(marks) in seen:
             break
         seen.add(tuple(marks))
