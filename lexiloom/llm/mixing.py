@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import checked_broadcast, cut, tidy
 from ..operators.prefix import running_total
 
 
@@ -15,6 +15,7 @@ def targets_in_force(mix_targets: DataFrame) -> DataFrame:
     return ok.groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
 
 
+@tidy
 def mix(sized: DataFrame, mix_targets: DataFrame, total: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Chosen documents and shares, from ``sized(doc_id, source, n_tokens)``.
 
@@ -30,7 +31,7 @@ def mix(sized: DataFrame, mix_targets: DataFrame, total: int | None = None, seed
     """
     spark = sized.sparkSession
     want = targets_in_force(mix_targets)
-    sized = cut(sized.join(F.broadcast(want.select("source")), "source").select("doc_id", "source", "n_tokens").where("n_tokens > 0"), "sized")
+    sized = cut(sized.join(checked_broadcast(want.select("source")), "source").select("doc_id", "source", "n_tokens").where("n_tokens > 0"), "sized")
     have = {r.source: r.t for r in sized.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
     rows = want.collect()
     weight = sum(r.target_weight for r in rows if have.get(r.source))
@@ -48,11 +49,11 @@ def mix(sized: DataFrame, mix_targets: DataFrame, total: int | None = None, seed
     placed = running_total(sized.withColumn("_k", F.xxhash64("doc_id", F.lit(seed))), ["source"], [F.col("_k"), F.col("doc_id")], F.col("n_tokens"), "upto")
     p = plan.select(F.col("source").alias("_s"), "full", "rest")
     repeats = F.col("full") + F.when(F.col("upto") - F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)
-    mixture = cut(placed.join(F.broadcast(p), F.col("source") == F.col("_s")).select("doc_id", "source", "n_tokens", repeats.cast("long").alias("repeats")).where("repeats > 0"), "mixture")
+    mixture = cut(placed.join(checked_broadcast(p), F.col("source") == F.col("_s")).select("doc_id", "source", "n_tokens", repeats.cast("long").alias("repeats")).where("repeats > 0"), "mixture")
     used = mixture.groupBy("source").agg(F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     all_used = used.agg(F.sum("tokens").alias("all_tokens"))
-    shares = plan.drop("full", "rest").join(F.broadcast(used), "source", "left").crossJoin(F.broadcast(all_used)).select(
+    shares = plan.drop("full", "rest").join(checked_broadcast(used), "source", "left").crossJoin(all_used).select(
         "source", "target_weight", "target_share", "max_repeats", "available_tokens", "budget_tokens", zero("documents"), zero("most_repeats"), zero("tokens"),
         F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share"),
     )

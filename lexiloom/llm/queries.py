@@ -92,7 +92,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    listed = docs.join(F.broadcast(mixing.targets_in_force(table(spark, d, "mix_targets")).select("source")), "source", "left_semi")
+    listed = docs.join(checked_broadcast(mixing.targets_in_force(table(spark, d, "mix_targets")).select("source")), "source", "left_semi")
     n = bpe.encode(listed.withColumn("k", F.struct("doc_id", "source")), "k", only_count=True)
     return n.select("k.doc_id", "k.source", "n_tokens")
 
