@@ -11,6 +11,8 @@ from .components import components
 
 # Shingle length, sketch size, largest bucket, threshold.
 SHINGLE, SKETCH, BUCKET, THRESHOLD = 4, 8, 512, 0.8
+#: Sets filed under one hash that are compared in one unit of work.
+BLOCK = 4096
 
 
 def sequences(tokens: DataFrame) -> DataFrame:
@@ -59,15 +61,24 @@ def sketch_pairs(sets: DataFrame, k: int = SKETCH, cap: int = BUCKET) -> tuple[D
     return pairs, sizes.where(F.col("n") > cap)
 
 
+@tidy
 def prefix_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Candidate pairs that any pair at or above the threshold is among: sets sharing one of their rarest hashes, as many of them as such a pair cannot all lack."""
     rare = cut(sets.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count("*").alias("n")), "counts")
     ranked = sets.select("id", F.size("hashes").alias("size"), F.explode("hashes").alias("hash")).join(rare, "hash")
     kept = ranked.groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("o"))
     kept = kept.select("id", "size", F.explode(F.slice("o", F.lit(1), F.col("size") - F.ceil(F.col("size") * threshold - 1e-9).cast("int") + 1)).alias("h")).select("id", "size", F.col("h.hash").alias("hash"), F.col("h.n").alias("n")).where("n > 1")
-    x = kept.select(F.col("id").alias("a"), F.col("size").alias("sa"), "hash")
-    y = kept.select(F.col("id").alias("b"), F.col("size").alias("sb"), "hash")
-    return x.join(y, "hash").where("a < b").where((F.col("sb") >= threshold * F.col("sa") - 1e-9) & (F.col("sa") >= threshold * F.col("sb") - 1e-9)).select("a", "b").distinct()
+    with skew_safe(sets.sparkSession):
+        # Hashes that many sets are filed under are cut into blocks by a hash of the set; each pair of blocks is a join key of its own.
+        kept = cut(kept, "prefixes")
+        long = cut(kept.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("hash", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "long")
+        dealt = kept.join(long, "hash", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("id", "size", "hash", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        x = dealt.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("own").alias("oa"), "hash", "i", "j")
+        y = dealt.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("own").alias("ob"), "hash", "i", "j")
+        near = (F.col("sb") >= threshold * F.col("sa") - 1e-9) & (F.col("sa") >= threshold * F.col("sb") - 1e-9)
+        return cut(x.join(y, ["hash", "i", "j"]).where("a < b and (i = j or oa <> ob)").where(near).select("a", "b").distinct(), "candidates")
 
 
 def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH, cap: int = BUCKET) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -104,7 +115,7 @@ def duplicate_groups(samples: DataFrame, tokens: DataFrame, threshold: float = T
     one = seqs.groupBy("phonemes").agg(F.min("sample_id").alias("id"))
     sets = cut(one.select("id", shingles(F.col("phonemes")).alias("hashes")), "sets")
     if exact:
-        candidates = cut(prefix_pairs(sets, threshold), "candidates")
+        candidates = prefix_pairs(sets, threshold)
         near, skipped = verified(sets, candidates, threshold), sets.select(F.lit(0).cast("long").alias("hash"), F.lit(0).cast("long").alias("n")).limit(0)
     else:
         near, candidates, skipped = near_pairs(sets, threshold, k, cap)

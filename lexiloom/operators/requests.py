@@ -14,12 +14,12 @@ SILENCE = "_"
 def request_rows(requests: DataFrame, payload: str = "payload", key: str = "request_id") -> DataFrame:
     """``key, position`` (from 0), ``phoneme, char_index, word_index, word, entry`` of each entry of ``visemes`` in a JSON request, and ``error``.
 
-    A missing, null or empty symbol and "-" are silence; missing indexes are 0, a missing word is empty. ``entry`` is what the caller sent, for the
+    Null entries are left out. A missing, null or empty symbol and "-" are silence; missing indexes are 0, a missing word is empty. ``entry`` is what the caller sent, for the
     answer. A request without entries, an unreadable and a null one give one row with ``error`` and no entry, so that one bad request stops no batch.
     """
     v = F.try_parse_json(payload)
     found = F.try_variant_get(v, "$.visemes", "array<variant>")
-    rows = requests.select(key, F.posexplode_outer(F.filter(found, lambda x: x.isNotNull())).alias("position", "entry"))
+    rows = requests.select(key, F.posexplode_outer(F.filter(found, lambda x: ~F.is_variant_null(x))).alias("position", "entry"))
     g = lambda path, kind: F.try_variant_get("entry", path, kind)
     ipa = g("$.ipa", "string")
     there = F.col("entry").isNotNull()

@@ -7,6 +7,7 @@ reporting is the minimum over (line, token, order) and quarantine is a filter; n
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,114 +36,152 @@ class Rules:
     extra: dict = field(default_factory=dict, hash=False, compare=False)
 
 
-def kind(v: Column) -> Column:
-    """JSON type of a variant: OBJECT, ARRAY, STRING, BOOLEAN, BIGINT, DOUBLE, DECIMAL, VOID; null if missing."""
-    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+def missing(v: Column) -> Column:
+    return v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(False))
 
 
 def _at(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$['{key}']", "variant")
 
 
+def _members(v: Column) -> Column:
+    """The members of an object, null for any other value."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
+
+
+def _elements(v: Column) -> Column:
+    """The elements of an array, null for any other value."""
+    return F.try_variant_get(v, "$", "array<variant>")
+
+
 def _text(v: Column) -> Column:
     return F.try_variant_get(v, "$", "string")
 
 
-def _number(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "double")
+def _leaky(keys: Column) -> Column:
+    return F.coalesce(F.arrays_overlap(keys, F.array(*map(F.lit, LEAKS))), F.lit(False))
 
 
-def _keys(v: Column) -> Column:
-    return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+WHOLE = ("BIGINT", "INT", "SMALLINT", "TINYINT")
 
 
-def missing(v: Column) -> Column:
-    return v.isNull() | F.coalesce(kind(v) == "VOID", F.lit(True))
+class Value:
+    """A scalar of a record, read once: ``kind`` (null if it is missing, VOID for null), ``text`` and ``number``. Built of a struct by :meth:`read`, used by the checks."""
+
+    def __init__(self, block: Column, name: str):
+        c = block[name]
+        self.kind = c["kind"]
+        self.text = c["text"] if name in TEXTS else None
+        self.number = c["number"] if name in NUMBERS else None
+
+    @staticmethod
+    def read(v: Column, name: str) -> Column:
+        """Only what the checks of this field ask for: each reading of a VARIANT costs."""
+        return F.struct(F.schema_of_variant(v).alias("kind"), *([_text(v).alias("text")] if name in TEXTS else []), *([F.try_variant_get(v, "$", "double").alias("number")] if name in NUMBERS else [])).alias(name)
 
+    def given(self) -> Column:
+        return self.kind.isNotNull()
 
-def _is(v: Column, *kinds: str) -> Column:
-    return F.coalesce(kind(v).isin(*kinds), F.lit(False))
+    def missing(self) -> Column:
+        return self.kind.isNull() | (self.kind == "VOID")
 
+    def numeric(self) -> Column:
+        return F.coalesce(self.kind.isin(*WHOLE, "DOUBLE", "FLOAT") | self.kind.startswith("DECIMAL"), F.lit(False))
 
-def _numeric(v: Column) -> Column:
-    return _is(v, "BIGINT", "DOUBLE", "DECIMAL", "INT", "SMALLINT", "TINYINT", "FLOAT")
+    def whole(self) -> Column:
+        return self.numeric() & F.coalesce(self.number == F.floor(self.number), F.lit(False))
 
+    def string(self) -> Column:
+        return F.coalesce(self.kind == "STRING", F.lit(False))
 
-def _whole(v: Column) -> Column:
-    n = _number(v)
-    return _numeric(v) & F.coalesce(n == F.floor(n), F.lit(False))
+    def category(self) -> Column:
+        """Whether it can be a category."""
+        return self.missing() | F.coalesce(self.kind.isin("STRING", "BOOLEAN"), F.lit(False)) | self.numeric()
 
+    def flag(self) -> Column:
+        return self.missing() | F.coalesce(self.kind == "BOOLEAN", F.lit(False)) | (self.string() & F.lower(strip(self.text)).isin("true", "false"))
 
-def _leaky(v: Column) -> Column:
-    return F.coalesce(F.arrays_overlap(_keys(v), F.array(*map(F.lit, LEAKS))), F.lit(False))
+    def word(self) -> Column:
+        """Lower case, trimmed; null if missing or blank."""
+        return F.when(~self.missing(), F.nullif(F.lower(strip(self.text)), F.lit("")))
 
 
-def _category(v: Column) -> Column:
-    """Whether a value can be a category."""
-    return missing(v) | _is(v, "STRING", "BOOLEAN") | _numeric(v)
+PLAIN = ("phoneme", "language", "surface_tone", "stress", "syllable_role")
+LABELS = ("viseme_id", "strength", "strength_source", "raw_value")
+TEXTS = frozenset(("phoneme", "language", "strength_source", *BOUNDARY[:4]))
+NUMBERS = frozenset(("surface_tone", "stress", "viseme_id", "strength"))
 
 
-def _flag(v: Column) -> Column:
-    return missing(v) | _is(v, "BOOLEAN") | (_is(v, "STRING") & F.lower(strip(_text(v))).isin("true", "false"))
+def read_tokens(tokens: Column) -> Column:
+    """An array of VARIANT tokens as an array of structs of what the checks look at. Objects are taken apart in steps, so that each value is read once, however many checks use it."""
+    own = F.transform(tokens, _members)
+    blocks = ("labels", "features", "articulatory", "boundary")
+    opened = F.transform(own, lambda m: F.struct(m.alias("m"), *[_members(m[b]).alias(b) for b in blocks]))
 
+    def values(t: Column) -> Column:
+        m = t["m"]
+        out = [m.isNotNull().alias("object"), F.filter(F.map_keys(m), lambda k: ~k.isin("labels", "teacher_metadata")).alias("keys")]
+        out += [Value.read(m[c], c) for c in PLAIN]
+        for b, fields in (("labels", LABELS), ("articulatory", ARTICULATORY), ("boundary", BOUNDARY)):
+            inner = t[b]
+            there = F.when(inner.isNotNull(), F.struct(F.map_keys(inner).alias("keys"), *[Value.read(inner[c], c) for c in fields]))
+            out += [missing(m[b]).alias(f"no_{b}"), there.alias(b)]
+        return F.struct(*out, F.map_keys(t["features"]).alias("feature_keys"))
 
-def _word(v: Column) -> Column:
-    """Lower case, trimmed; null if missing or blank."""
-    return F.when(~missing(v), F.nullif(F.lower(strip(_text(v))), F.lit("")))
+    return F.transform(opened, values)
 
 
-def _block(name: str, v: Column, fields: tuple[str, ...], checks: list) -> list:
-    there = ~missing(v)
-    extra = F.size(F.array_except(_keys(v), F.array(*map(F.lit, fields)))) > 0
-    out = [(f"{name} is no object", there & ~_is(v, "OBJECT")), (f"{name} has target fields", there & _leaky(v)), (f"{name} has unknown fields", there & F.coalesce(extra, F.lit(False)))]
-    return out + [(f"{name}.{c} is no {what}", there & ~test(_at(v, c))) for c, what, test in checks]
+def _block(name: str, t: Column, fields: tuple[str, ...], checks: list) -> list:
+    there, block = ~t[f"no_{name}"], t[name]
+    extra = F.size(F.array_except(block["keys"], F.array(*map(F.lit, fields)))) > 0
+    out = [(f"{name} is no object", there & block.isNull()), (f"{name} has target fields", there & _leaky(block["keys"])), (f"{name} has unknown fields", there & block.isNotNull() & F.coalesce(extra, F.lit(False)))]
+    return out + [(f"{name}.{c} is no {what}", there & block.isNotNull() & ~test(Value(block, c))) for c, what, test in checks]
 
 
 def token_checks(t: Column, r: Rules) -> list[tuple[str, Column]]:
-    """(rule, violated) of one token, in order. A rule that needs an object is not violated by what is none."""
-    obj = _is(t, "OBJECT")
-    lang, tone, stress, labels = _word(_at(t, "language")), _at(t, "surface_tone"), _at(t, "stress"), _at(t, "labels")
-    tone_value, stress_value = F.when(tone.isNull(), 0).otherwise(_number(tone)), F.when(stress.isNull(), 0).otherwise(_number(stress))
-    phoneme, own = _at(t, "phoneme"), F.try_variant_get(t, "$", "map<string,variant>")
-    feature_keys = F.map_keys(F.map_filter(own, lambda k, _: ~k.isin("labels", "teacher_metadata")))
-    has = ~missing(labels) & _is(labels, "OBJECT")
-    viseme, strength = _at(labels, "viseme_id"), _at(labels, "strength")
-    human = F.coalesce(F.lower(_text(_at(labels, "strength_source"))).isin(*HUMAN_SOURCES), F.lit(False))
+    """(rule, violated) of one token of :func:`read_tokens`, in order. A rule that needs an object is not violated by what is none."""
+    phoneme, language, tone, stress, role = (Value(t, c) for c in PLAIN)
+    viseme, strength, source, raw = (Value(t["labels"], c) for c in LABELS)
+    lang = language.word()
+    tone_value, stress_value = F.when(~tone.given(), 0).otherwise(tone.number), F.when(~stress.given(), 0).otherwise(stress.number)
+    has = t["labels"].isNotNull()
+    human = F.coalesce(F.lower(source.text).isin(*HUMAN_SOURCES), F.lit(False))
     rules = [
-        ("target fields among features", F.coalesce(F.arrays_overlap(feature_keys, F.array(*map(F.lit, LEAKS))), F.lit(False))),
-        ("target fields in features block", _leaky(_at(t, "features"))),
-        ("phoneme missing", ~_is(phoneme, "STRING") | (strip(_text(phoneme)) == "")),
-        ("language is no category", ~_category(_at(t, "language"))),
+        ("target fields among features", _leaky(t["keys"])),
+        ("target fields in features block", _leaky(t["feature_keys"])),
+        ("phoneme missing", ~phoneme.string() | (strip(phoneme.text) == "")),
+        ("language is no category", ~language.category()),
         ("language missing", lang.isNull()),
         ("language not supported", F.coalesce(~lang.isin(*r.languages), F.lit(False))),
-        ("surface_tone is no integer", tone.isNotNull() & ~_whole(tone)),
-        ("stress is no integer", stress.isNotNull() & ~_whole(stress)),
+        ("surface_tone is no integer", tone.given() & ~tone.whole()),
+        ("stress is no integer", stress.given() & ~stress.whole()),
         ("Chinese tone out of range", (lang == "zh") & ~tone_value.isin(*r.zh_tones)),
         ("Chinese stress", (lang == "zh") & (stress_value != r.zh_stress)),
         ("English tone", (lang == "en") & (tone_value != r.en_tone)),
         ("English stress out of range", (lang == "en") & ~stress_value.isin(*r.en_stress)),
-        ("syllable_role is no category", ~_category(_at(t, "syllable_role"))),
-        *([("labels missing", missing(labels))] if r.require_labels else []),
-        ("labels is no object", ~missing(labels) & ~_is(labels, "OBJECT")),
-        ("viseme_id missing", has & viseme.isNull()),
-        ("strength missing", has & strength.isNull()),
-        ("viseme_id is no integer", has & viseme.isNotNull() & ~_whole(viseme)),
-        *([("viseme_id out of range", has & _whole(viseme) & ~_number(viseme).between(0, r.classes - 1))] if r.check_class else []),
-        ("strength is no number", has & strength.isNotNull() & ~_numeric(strength)),
-        ("strength is not finite", has & _numeric(strength) & ~(F.abs(_number(strength)) < float("inf"))),
-        *([("strength out of range", has & _numeric(strength) & ~_number(strength).between(*r.strength))] if r.check_strength else []),
-        ("human strength with raw value", has & human & ~missing(_at(labels, "raw_value"))),
-        *_block("articulatory", _at(t, "articulatory"), ARTICULATORY, [(c, "category", _category) for c in ARTICULATORY]),
-        *_block("boundary", _at(t, "boundary"), BOUNDARY, [("boundary_type", "category", _category), *[(c, "flag", _flag) for c in BOUNDARY[:4]]]),
+        ("syllable_role is no category", ~role.category()),
+        *([("labels missing", t["no_labels"])] if r.require_labels else []),
+        ("labels is no object", ~t["no_labels"] & ~has),
+        ("viseme_id missing", has & ~viseme.given()),
+        ("strength missing", has & ~strength.given()),
+        ("viseme_id is no integer", has & viseme.given() & ~viseme.whole()),
+        *([("viseme_id out of range", has & viseme.whole() & ~viseme.number.between(0, r.classes - 1))] if r.check_class else []),
+        ("strength is no number", has & strength.given() & ~strength.numeric()),
+        ("strength is not finite", has & strength.numeric() & ~(F.abs(strength.number) < float("inf"))),
+        *([("strength out of range", has & strength.numeric() & ~strength.number.between(*r.strength))] if r.check_strength else []),
+        ("human strength with raw value", has & human & ~raw.missing()),
+        *_block("articulatory", t, ARTICULATORY, [(c, "category", Value.category) for c in ARTICULATORY]),
+        *_block("boundary", t, BOUNDARY, [("boundary_type", "category", Value.category), *[(c, "flag", Value.flag) for c in BOUNDARY[:4]]]),
     ]
+    obj = t["object"]
     return [("token is no object", ~obj), *[(n, obj & F.coalesce(c, F.lit(False))) for n, c in rules]]
 
 
 def sample_checks(v: Column, r: Rules, given: Column | None = None) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
     """Checks before and behind those of the tokens; ``given`` is the array of tokens where they are gathered from several paths, null if there is no list."""
-    obj = _is(v, "OBJECT")
+    obj = _members(v).isNotNull()
     tokens, version, meta = _at(v, "tokens"), _text(_at(v, "schema_version")), _at(v, "teacher_metadata")
-    listed, n = _is(tokens, "ARRAY"), F.size(F.try_variant_get(tokens, "$", "array<variant>"))
+    listed, n = _elements(tokens).isNotNull(), F.size(_elements(tokens))
     absent = missing(tokens)
     if given is not None:
         listed, n, absent = given.isNotNull(), F.size(given), absent & given.isNull()
@@ -155,11 +194,14 @@ def sample_checks(v: Column, r: Rules, given: Column | None = None) -> tuple[lis
         ("tokens empty", obj & listed & (n == 0)),
         ("too many tokens", obj & listed & (n > r.max_tokens)),
     ]
-    return first, [("teacher_metadata is no object", obj & ~missing(meta) & ~_is(meta, "OBJECT"))]
+    return first, [("teacher_metadata is no object", obj & ~missing(meta) & _members(meta).isNull())]
 
 
 def _broken(checks: list[tuple[str, Column]], at: Column, base: int) -> Column:
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(at.cast("int").alias("token"), F.lit(base + k).alias("ord"), F.lit(n).alias("rule"))) for k, (n, c) in enumerate(checks)]))
+    """Violations as an array; what breaks no rule, the usual case, gets the empty one without building any."""
+    found = [(F.coalesce(c, F.lit(False)), F.struct(at.cast("int").alias("token"), F.lit(base + k).alias("ord"), F.lit(n).alias("rule"))) for k, (n, c) in enumerate(checks)]
+    some = reduce(lambda x, y: x | y, [c for c, _ in found])
+    return F.when(some, F.array_compact(F.array(*[F.when(c, v) for c, v in found]))).otherwise(F.array().cast("array<struct<token:int,ord:int,rule:string>>"))
 
 
 def violations(records: DataFrame, payload: str, rules: Rules = Rules(), tokens: str | None = None) -> DataFrame:
@@ -167,7 +209,7 @@ def violations(records: DataFrame, payload: str, rules: Rules = Rules(), tokens:
     given = F.col(tokens) if tokens else None
     first, last = sample_checks(F.col("_v"), rules, given)
     listed = F.coalesce(F.try_variant_get(F.col("_v"), "$['tokens']", "array<variant>") if given is None else given, F.expr("cast(array() as array<variant>)"))
-    inside = F.flatten(F.transform(listed, lambda t, i: _broken(token_checks(t, rules), i, 100)))
+    inside = F.flatten(F.transform(read_tokens(listed), lambda t, i: _broken(token_checks(t, rules), i, 100)))
     every = F.concat(_broken(first, F.lit(-1), 0), inside, _broken(last, F.lit(2**31 - 1), 900))
     unreadable = F.array(F.struct(F.lit(-1).alias("token"), F.lit(-1).alias("ord"), F.lit("unreadable").alias("rule")))
     return records.withColumn("_v", F.col(payload) if tokens else F.try_parse_json(payload)).withColumn("violations", F.when(F.col("_v").isNull(), unreadable).otherwise(every)).drop("_v")

@@ -451,3 +451,106 @@ def test_missing_classes_reads_every_strength(spark, tmp_path):
     t = [("s", i, i, 50.0) for i in range(16)] + [("s", 16, 16, None)]
     spark.createDataFrame(t, "sample_id string, token_index long, viseme_id long, strength double").write.parquet(f"{tmp_path}/tokens.parquet")
     assert [r.viseme_id for r in core_queries.missing_classes(spark, str(tmp_path)).collect()] == [17]
+
+
+def test_long_prefix_lists_are_cut(spark, monkeypatch):
+    """Sets that all share their hashes, in blocks of three: the same pairs as in one."""
+    r = random.Random(9)
+    sets = [(f"s{i:02d}", sorted(r.sample(range(12), 10))) for i in range(30)]
+    df = spark.createDataFrame(sets, "id string, hashes array<long>")
+    found = []
+    for block in (4096, 3):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        found.append(sorted(tuple(x) for x in dedup.verified(df, dedup.prefix_pairs(df, 0.8), 0.8).select("a", "b").collect()))
+    want = sorted((a, b) for a, x in sets for b, y in sets if a < b and len({*x} & {*y}) / len({*x} | {*y}) >= 0.8)
+    assert found[0] == found[1] == want and want
+
+
+def test_metric_states_merge(spark):
+    r = random.Random(1)
+    data = [(r.choice("abc"), r.randrange(4), r.randrange(4), r.uniform(0, 100), r.uniform(0, 100)) for _ in range(200)] + [("a", None, 1, 5.0, None), ("b", 1, None, None, 3.0)]
+    df = spark.createDataFrame(data, "day string, t int, p int, x double, y double")
+    whole = metrics.finalise(metrics.merge_states(metrics.state(df, "t", "p", "x", "y")), 4).first()
+    parts = [metrics.state(df.where(F.col("day") == k), "t", "p", "x", "y") for k in "abc"]
+    merged = metrics.finalise(metrics.merge_states(*parts), 4).first()
+    assert all(whole[c] == pytest.approx(merged[c]) for c in whole.asDict())
+    direct = metrics.errors(df, F.col("x"), F.col("y")).first()
+    assert whole.mae == pytest.approx(direct.mae) and whole.rmse == pytest.approx(direct.rmse) and whole.accuracy == pytest.approx(metrics.overall(metrics.confusion(df, "t", "p", 4)).first().accuracy)
+    empty = metrics.finalise(metrics.state(df.limit(0), "t", "p", "x", "y"), 4).first()
+    assert (empty.accuracy, empty.mae, empty.total) == (0.0, 0.0, 0)
+    assert metrics.masked(df.limit(0), F.lit(True), "t", "p", "x", "y").first().mae == 0.0
+    row = lambda *v: spark.createDataFrame([v], "accuracy double, macro_f1 double, mae double")
+    assert [r.passed for r in metrics.acceptance(row(0.95, 0.92, 8.0), row(0.955, 0.0, 0.0)).collect()] == [True] * 3
+    assert [r.passed for r in metrics.acceptance(row(0.94, float("nan"), None), row(0.955, 0.0, 0.0)).collect()] == [False] * 3
+
+
+def test_service_requests(spark):
+    from lexiloom.operators import requests
+
+    body = {"visemes": [{"ipa": None, "word": "，"}, {"ipa": "-", "word": "好", "wordIndex": 1, "charIndex": 1}, {"ipa": "a", "word": "好", "wordIndex": 1, "charIndex": 1, "startPercent": 0.5}, {"word": "。", "wordIndex": 2}, {"ipa": "t", "word": "hi", "wordIndex": 3}, None]}
+    df = spark.createDataFrame([("r1", json.dumps(body)), ("r2", json.dumps({"visemes": []})), ("r3", "{bad"), ("r4", None)], "request_id string, payload string")
+    rows_ = requests.request_rows(df)
+    got = [(r.phoneme, r.char_index, r.word_index, r.word) for r in rows_.where("request_id = 'r1'").orderBy("position").collect()]
+    assert got == [("_", 0, 0, "，"), ("_", 1, 1, "好"), ("a", 1, 1, "好"), ("_", 0, 2, "。"), ("t", 0, 3, "hi")]
+    assert sorted(r.request_id for r in rows_.where("error is not null").collect()) == ["r2", "r3", "r4"]
+    tones = spark.createDataFrame([("r1", 1, 3)], "request_id string, char_index long, tone long")
+    t = requests.request_tokens(rows_, tones).orderBy("position").collect()
+    assert [r.surface_tone for r in t] == [5, 3, 3, 5, 0] and [r.language for r in t] == ["zh"] * 4 + ["en"]
+    assert [(r.word_start, r.word_end) for r in t] == [(True, True), (True, False), (False, True), (True, True), (True, True)]
+    assert [r.phrase_end for r in t] == [True, False, False, True, True] and [r.phrase_start for r in t] == [False, True, False, False, True]
+    assert [r.boundary_type for r in t] == ["minor", "none", "none", "major", "none"] and [r.syllable_role for r in t] == ["silence", "silence", "nucleus", "silence", "onset"]
+    out = requests.responses(requests.request_tokens(rows_, tones).withColumns({"predicted": F.lit("open"), "strength": F.lit(1.5)}))
+    answer = json.loads(out.first().visemes)
+    assert [a["ipa"] for a in answer] == ["-", "-", "a", "-", "t"] and answer[2]["startPercent"] == 0.5 and "startPercent" not in answer[0] and answer[0]["word"] == "，" and "charIndex" not in answer[0]
+
+
+def test_revalidated_pair(spark, tmp_path):
+    cols = "sample_id string, token_index long, phoneme string, language string, surface_tone long, stress long, viseme_id long, strength double"
+    good = spark.createDataFrame([("a", 2, "x", "zh", 1, 0, 3, 5.0), ("a", 1, "y", "zh", 1, 0, 3, 5.0)], cols)
+    s = spark.createDataFrame([("a", "A", 1)], "sample_id string, text string, ingested_at int")
+    sinks.write_pair(good, s, str(tmp_path / "good.tokens.parquet"))
+    assert readers.read_pair(spark, str(tmp_path / "good.tokens.parquet"), rules=validation.Rules()).count() == 1
+    assert [t["phoneme"] for t in json.loads(nesting.records(good, s).first().value)["tokens"]] == ["y", "x"]
+    sinks.write_pair(good.withColumn("stress", F.lit(2).cast("long")), s, str(tmp_path / "bad.tokens.parquet"))
+    with pytest.raises(validation.InvalidRecord):
+        readers.read_pair(spark, str(tmp_path / "bad.tokens.parquet"), rules=validation.Rules())
+
+
+def test_generated_corpus_has_its_duplicates(spark):
+    from lexiloom.sources import generate
+
+    c = generate.corpus(spark, 200, exact=0.1, near=0.1, seed=3, shortest=90, longest=120)
+    assert sorted(map(tuple, c.collect())) == sorted(map(tuple, generate.corpus(spark, 200, exact=0.1, near=0.1, seed=3, shortest=90, longest=120).repartition(3).collect()))
+    s = c.select("sample_id").distinct().withColumn("text", F.lit(None).cast("string"))
+    groups = {r.sample_id: r.root for r in dedup.duplicate_groups(s, c)["groups"].collect()}
+    pairs = {(r.sample_id, r.copy_of) for r in c.where("copy_of is not null").select("sample_id", "copy_of").distinct().collect()}
+    same = sum(groups[a] == groups[b] for a, b in pairs)
+    assert len(pairs) == same == 40
+
+
+def test_reports(spark):
+    from lexiloom.sources import reports
+
+    checks = spark.createDataFrame([("a", True), ("b", False)], "check string, passed boolean")
+    assert "FAIL" in reports.gate_report(checks).splitlines()[-1] and "pass" in reports.gate_report(checks.where("passed"))
+    t = spark.createDataFrame([("s", 1, "x"), ("s", 2, "y"), ("r", 1, "x")], "sample_id string, token_index long, phoneme string")
+    text = reports.profile_report(profile.lengths(t), profile.frequencies(t, ("phoneme",)), ("phoneme",))
+    assert "sentences" in text and "x: 66.67%, y: 33.33%" in text
+    m = metrics.confusion(spark.createDataFrame([(0, 0), (1, 0)], "t int, p int"), "t", "p", 2)
+    assert "accuracy" in reports.evaluation_report(metrics.overall(m), metrics.errors(spark.createDataFrame([(1.0, 2.0)], "t double, p double"), F.col("t"), F.col("p")), metrics.per_class(m))
+
+
+def test_cache_key_follows_the_source(tmp_path):
+    p = tmp_path / "x"
+    p.write_text("a")
+    one = sinks.cache_key(str(p), 1, "v", {"human": 2.0})
+    assert one == sinks.cache_key(str(p), 1, "v", {"human": 2.0}) != sinks.cache_key(str(p), 2, "v", {"human": 2.0})
+    p.write_text("ab")
+    assert sinks.cache_key(str(p), 1, "v", {"human": 2.0}) != one
+
+
+def test_tsv_escapes(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "x.tsv").write_text("\\`\\=\\'\n")
+    assert readers.read_tsv(spark, str(tmp_path / "x.tsv"), T.StructType([T.StructField("s", T.StringType())])).first().s == "`='"
