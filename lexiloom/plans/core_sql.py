@@ -192,7 +192,7 @@ SELECT sample_id, token_index, CASE WHEN sample_id IS NULL OR teacher_word_index
         "boundary_counts": f"WITH {T} SELECT count(*) tokens, count(*) FILTER (boundary_phrase_end = 'true') phrase_ends, count(*) FILTER (boundary_word_end = 'true') word_ends, count(*) FILTER (lower(strength_source) IN ('human', 'human_gold')) human, count(DISTINCT phoneme) phonemes FROM t",
         "unknown_rate": f"WITH {T}, k AS (SELECT count(*) tokens, count(*) FILTER (phoneme IS NULL OR phoneme NOT IN ({inv})) unknown FROM t) SELECT tokens, unknown, round(unknown::DOUBLE / nullif(tokens, 0), 6) unknown_rate FROM k",
         "top_unknown": f"WITH {T} SELECT phoneme, count(*) n FROM t WHERE phoneme NOT IN ({inv}) GROUP BY 1 ORDER BY n DESC, min((sample_id, token_index)), phoneme LIMIT 10",
-        "missing_classes": f"WITH {T} SELECT range viseme_id FROM range(18) WHERE range NOT IN (SELECT viseme_id FROM t WHERE strength > 99.5 AND viseme_id IS NOT NULL)",
+        "missing_classes": f"WITH {T} SELECT range viseme_id FROM range(18) WHERE range NOT IN (SELECT viseme_id FROM t WHERE viseme_id IS NOT NULL)",
         "strength_histogram": f"WITH {T} SELECT viseme_id, CASE WHEN strength >= 100 THEN 21 ELSE floor(strength / 100 * 20)::BIGINT + 1 END bucket, count(*) n FROM t WHERE {OK} GROUP BY 1, 2",
         "phrase_positions": f"WITH {T} SELECT {position} phrase_position, count(*) n FROM t GROUP BY 1",
         "manifest_check": "WITH n AS (SELECT split_name, count(*) n FROM (SELECT sample_id, max_by(split_name, (assigned_at, split_name)) split_name FROM split_members GROUP BY 1) GROUP BY 1), r AS (SELECT counts FROM split_report_v2 ORDER BY run_id DESC LIMIT 1), f AS (SELECT 'train' field, counts.train::VARCHAR stated FROM r UNION ALL SELECT 'validation', counts.validation::VARCHAR FROM r UNION ALL SELECT 'test', counts.test::VARCHAR FROM r) SELECT field, stated, coalesce(n, 0)::VARCHAR actual FROM f LEFT JOIN n ON field = split_name WHERE stated IS DISTINCT FROM coalesce(n, 0)::VARCHAR",
