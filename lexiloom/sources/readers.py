@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..operators.nesting import nest, records
 from ..operators.validation import Rules, auto_id, fail_fast, violations
-from ..storage import cut
+from ..storage import checked_broadcast, cut, tidy
 
 # Columns of the flat token table, and those a model reads.
 MODEL_COLUMNS = (
@@ -23,6 +23,7 @@ MODEL_COLUMNS = (
 )
 
 
+@tidy
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, value`` of non-blank lines, trimmed; ``line_no`` counts all physical lines of a file from 1.
 
@@ -45,7 +46,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = parts.select(F.col("file").alias("_f"), F.col("start").alias("_s"), before.alias("before"), "first")
     value = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")
-    out = placed.join(offsets, (F.col("file") == F.col("_f")) & (F.col("start") == F.col("_s"))).select("file", (F.col("before") + F.col("k") - F.col("first") + 1).alias("line_no"), value.alias("value"))
+    out = placed.join(checked_broadcast(cut(offsets, "offsets")), (F.col("file") == F.col("_f")) & (F.col("start") == F.col("_s"))).select("file", (F.col("before") + F.col("k") - F.col("first") + 1).alias("line_no"), value.alias("value"))
     return out.where("value <> ''")
 
 
