@@ -1,3 +1,4 @@
+import collections
 import json
 import math
 import random
@@ -466,6 +467,42 @@ def test_long_prefix_lists_are_cut(spark, monkeypatch):
     assert found[0] == found[1] == want and want
 
 
+def test_pairs_beyond_the_threshold_are_not_written(spark, monkeypatch):
+    """Sets under common hashes that differ in too many are counted, not written as pairs, in blocks too; the number of candidates is that of the definition."""
+    r = random.Random(11)
+    sets = [(f"s{i:03d}", sorted(r.sample(range(300), 30))) for i in range(120)]
+    sets += [(f"t{i:03d}", sorted([*h[:-1], 1000 + i])) for i, (_, h) in enumerate(sets[:15])] + [("u0", [-5]), ("u1", [-5]), ("u2", [2**40])]
+    df = spark.createDataFrame(sets, "id string, hashes array<long>")
+    alike = lambda x, y: len({*x} & {*y}) / len({*x} | {*y})
+    want = sorted((a, b) for a, x in sets for b, y in sets if a < b and alike(x, y) >= 0.8)
+    assert len(want) == 16
+    often = collections.Counter(h for _, x in sets for h in x)
+    buckets = collections.Counter(h for _, x in sets for h in sorted(x)[:8])
+
+    def candidates(cap):
+        inside = [(i, x) for i, x in sets if any(buckets[h] > cap for h in sorted(x)[:8])]
+        n = collections.Counter(h for _, x in inside for h in x)
+        rare = {i: set(sorted(x, key=lambda h: (n[h], h))[: len(x) - math.ceil(len(x) * 0.8 - 1e-9) + 1]) for i, x in inside}
+        low = {i: {h for h in sorted(x)[:8] if buckets[h] <= cap} for i, x in sets}
+        size = {i: len(x) for i, x in sets}
+        near = lambda a, b: size[b] >= 0.8 * size[a] - 1e-9 and size[a] >= 0.8 * size[b] - 1e-9
+        return sum(bool(low[a] & low[b]) or bool(rare.get(a, set()) & rare.get(b, set())) and near(a, b) for a in low for b in low if a < b)
+
+    assert max(often.values()) > 5
+    for block in (4096, 5):
+        monkeypatch.setattr(dedup, "BLOCK", block)
+        pairs = dedup.prefix_pairs(df, 0.8)
+        assert sorted(tuple(x) for x in dedup.verified(df, pairs, 0.8).select("a", "b").collect()) == want
+        assert pairs.count() < 2 * len(want)
+        for cap in (3, 10, 1000):
+            near, pairs, _ = dedup.near_pairs(df, 0.8, cap=cap)
+            assert {(x.a, x.b) for x in near.collect()} <= {*want} and pairs.where("a is not null").count() < 2 * len(want)
+            assert pairs.agg(F.sum("n")).first()[0] == candidates(cap)
+    monkeypatch.setattr(dedup, "FREQUENT_ROWS", 10)
+    assert sorted(tuple(x) for x in dedup.verified(df, dedup.prefix_pairs(df, 0.8), 0.8).select("a", "b").collect()) == want
+    assert dedup.prefix_pairs(df.limit(0), 0.8).count() == 0
+
+
 def test_metric_states_merge(spark):
     r = random.Random(1)
     data = [(r.choice("abc"), r.randrange(4), r.randrange(4), r.uniform(0, 100), r.uniform(0, 100)) for _ in range(200)] + [("a", None, 1, 5.0, None), ("b", 1, None, None, 3.0)]
