@@ -201,6 +201,24 @@ def test_closest_subset_in_bounded_memory():
     assert sum(s * c for s, c in splits.closest_subset(small, 301, most=64).items()) in range(298, 305)
 
 
+def test_closest_subset_is_the_same_with_little_memory():
+    """The closest total, whatever the bytes for bit sets; also where it takes more than the smallest sizes and none is hit."""
+    assert splits.closest_subset({10: 1, 7: 2}, 14, most=0) == {7: 2}
+    r = random.Random(4)
+    for k in range(60):
+        sizes = {r.randrange(1, 60) * (1 + 29 * (k % 3)): r.randrange(1, 4) for _ in range(r.choice((1, 5, 24)))}
+        sums = 1
+        for s, c in sizes.items():
+            for _ in range(c):
+                sums |= sums << s
+        sums = [t for t in range(sums.bit_length()) if sums >> t & 1]
+        target = r.randrange(0, sums[-1] + 20)
+        want = min(sums, key=lambda t: (abs(t - target), t))
+        takes = [splits.closest_subset(sizes, target, most=most) for most in (128 << 20, 500, 0)]
+        assert takes[0] == takes[1] == takes[2] and sum(s * c for s, c in takes[0].items()) == want
+        assert all(0 < c <= sizes[s] for s, c in takes[0].items())
+
+
 def test_assign_splits(spark):
     g = [(f"s{i}", "hot" if i < 100 else f"g{i // 3}") for i in range(300)]
     df = spark.createDataFrame(g, "sample_id string, group_id string")
