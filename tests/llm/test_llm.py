@@ -263,6 +263,15 @@ def test_alike_is_exact(spark, join, block, frequent, monkeypatch):
     assert got == want and len(want) > 20
 
 
+def test_long_lists_are_dealt_by_sides(spark, monkeypatch):
+    """36 sets of one side and 4 of the other under one run: a row each, and one per block of the larger side for the 4."""
+    monkeypatch.setattr(similar, "BLOCK", 5)
+    df = spark.createDataFrame([(f"{i:02d}", [0, 1], 2 if i % 10 == 3 else 1) for i in range(40)], "id string, runs array<long>, flag int")
+    rows, _, _ = similar.filed(df, cosine.Cosine(0.6))
+    assert rows.count() == 36 + 4 * 8
+    assert similar.alike(df, cosine.Cosine(0.6)).count() == 36 * 4
+
+
 def test_counts_of_runs_are_exact(spark):
     sets = random_sets(120, 5)
     df = spark.createDataFrame([(f"{i}", sorted(s), 3) for i, s in enumerate(sets)], "id string, runs array<long>, flag int")
