@@ -160,6 +160,30 @@ def test_planned_batches(spark):
     assert batching.plan_batches(df.limit(0), "id", "len", 100, seed=1).count() == 0
 
 
+def test_shuffle_files_go_with_their_write(spark):
+    """A written step leaves no shuffle files behind, whenever the driver collects its garbage, and no setting; its rows and joins of it are whole."""
+    import os
+    import time
+
+    from lexiloom.storage import cut
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    setting = spark.conf.get(key, None)
+    df = spark.range(0, 20_000, 1, 4).withColumn("key", F.col("id") % 100).repartition(4, "key")
+    grouped = df.groupBy("id").agg(F.max("key").alias("key"))
+    old = files()
+    written = cut(grouped)
+    both = cut(written.join(grouped, ["id", "key"]))
+    for _ in range(20):
+        if not files() - old:
+            break
+        time.sleep(0.2)
+    assert not files() - old and spark.conf.get(key, None) == setting
+    assert both.count() == grouped.count() == written.distinct().count() == 20_000
+
+
 def test_hot_key_is_split(spark, monkeypatch):
     """A key with half of all rows: a side grouped by the key keeps AQE from splitting the join, a written one does not."""
     from lexiloom.storage import cut, skew_safe
