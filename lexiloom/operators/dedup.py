@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SILENT, text_signature
-from ..storage import cut, measured_cut, tidy
+from ..storage import cut, drop_cut, measured_cut, tidy
 from .components import components
 
 # Shingle length, sketch size, largest bucket, threshold.
@@ -20,6 +20,8 @@ SHINGLE, SKETCH, BUCKET, THRESHOLD = 4, 8, 512, 0.8
 BLOCK = 4096
 #: Rows of the table of frequent hashes that may be broadcast (16 bytes each); parities kept of a set; pairs looked at together in a task.
 FREQUENT_ROWS, BITS, PAIRS = 1 << 17, 256, 1 << 20
+#: Parts, by hash, in which the sets of skipped buckets are compared one after the other; each is written, and its shuffle files go, before the next.
+PARTS = 2
 
 
 def sequences(tokens: DataFrame) -> DataFrame:
@@ -296,15 +298,18 @@ def near_pairs(sets: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH, c
     get the exact prefix search instead, so the cap loses no pair the sketch would have found. Each candidate is met once, under the first hash
     both are filed under; those whose parities rule them out are no rows but counted in the ``n`` of rows without ends.
     """
-    sets = cut(sets, "sets")
-    kept, skipped = sketch_buckets(sets, k, cap)
+    given = cut(sets, "sets")
+    kept, skipped = sketch_buckets(given, k, cap)
     skipped = cut(skipped, "skipped")
-    sets = cut(sets.join(kept, "id", "left"), "sketched")
-    pairs = _met(_sketch_rows(sets), threshold, sized=False)
+    inside = given.select("id", F.explode(bottom_k(F.col("hashes"), k)).alias("hash")).join(skipped.select("hash"), "hash", "left_semi").select("id", F.lit(True).alias("inside")).distinct()
+    # One copy of the sets: it has what both searches need, and the one it is made of goes.
+    sets = cut(given.join(kept, "id", "left").join(inside, "id", "left"), "sketched")
+    drop_cut(given)
+    pairs = cut(_met(_sketch_rows(sets), threshold, sized=False), "candidates")
     if skipped.limit(1).count():
-        inside = sets.select("id", F.explode(bottom_k(F.col("hashes"), k)).alias("hash")).join(skipped.select("hash"), "hash", "left_semi").select("id").distinct()
-        pairs = pairs.unionByName(_met(_prefix_rows(cut(sets.join(inside, "id", "left_semi"), "inside"), threshold, counted=True), threshold, sized=True))
-    pairs = cut(pairs, "candidates")
+        rows = _prefix_rows(sets.where("inside"), threshold, counted=True)
+        for part in range(PARTS):
+            pairs = pairs.unionByName(cut(_met(rows.where(F.pmod("hash", F.lit(PARTS)) == part), threshold, sized=True), "candidates"))
     return verified(sets, pairs.where("a is not null"), threshold), pairs, skipped
 
 

@@ -527,6 +527,22 @@ def test_pairs_beyond_the_threshold_are_not_written(spark, monkeypatch):
     assert dedup.prefix_pairs(df.limit(0), 0.8).count() == 0
 
 
+def test_sketch_search_holds_one_copy_of_the_sets(spark):
+    """After the sketch search the sets lie in the shared folder once, and those of skipped buckets were compared in parts, whose pairs are all counted."""
+    import os
+
+    from lexiloom.storage import shared_dir
+
+    r = random.Random(12)
+    df = spark.createDataFrame([(f"s{i:03d}", sorted(r.sample(range(200), 20))) for i in range(100)], "id string, hashes array<long>")
+    folder = shared_dir(spark).removeprefix("file:")
+    old = {*os.listdir(folder)}
+    near, pairs, skipped = dedup.near_pairs(df, 0.8, cap=3)
+    left = collections.Counter(x.split("-")[0] for x in {*os.listdir(folder)} - old)
+    assert (left["sets"], left["inside"], left["sketched"], left["candidates"]) == (0, 0, 1, 1 + dedup.PARTS) and skipped.count()
+    assert dedup.PARTS > 1 and near.count() == 0 and pairs.agg(F.sum("n")).first()[0] > 100
+
+
 def test_metric_states_merge(spark):
     r = random.Random(1)
     data = [(r.choice("abc"), r.randrange(4), r.randrange(4), r.uniform(0, 100), r.uniform(0, 100)) for _ in range(200)] + [("a", None, 1, 5.0, None), ("b", 1, None, None, 3.0)]
