@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators import dedup, metrics, nesting, split, validation
 from .session import build_session
 from .sources import readers, sinks
+from .storage import cut, drop_cut
 
 
 def validate(spark, a) -> int:
@@ -34,7 +35,9 @@ def split_data(spark, a) -> int:
     found = dedup.duplicate_groups(nesting.latest_samples(samples) if "ingested_at" in samples.columns else samples, tokens)
     assigned = split.assign(found["groups"], ratios, a.seed)
     report = [r.asDict() for r in split.split_report(assigned, ratios).collect()]
-    leaks = split.leaks(assigned, dedup.signatures(samples, dedup.sequences(tokens))).count()
+    seqs = cut(dedup.sequences(tokens), "sequences")
+    leaks = split.leaks(assigned, dedup.signatures(samples, seqs)).count()
+    drop_cut(seqs)
     print(json.dumps({"splits": report, "leaks": leaks}))
     if leaks or any(r["n"] == 0 and r["target"] > 0 for r in report):
         return 1

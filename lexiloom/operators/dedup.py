@@ -50,10 +50,13 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def signatures(samples: DataFrame, seqs: DataFrame) -> DataFrame:
-    """``sample_id, signature``: the phoneme sequence always, the text if not empty; namespaced. Samples without tokens have none, not even of their text."""
-    t = samples.groupBy("sample_id").agg(F.min("text").alias("text"))
-    both = seqs.join(t, "sample_id", "left").select("sample_id", F.concat(F.lit("p:"), F.array_join("phonemes", " ")).alias("p"), F.concat(F.lit("t:"), F.nullif(text_signature(F.col("text")), F.lit(""))).alias("t"))
-    return both.select("sample_id", F.explode(F.array_compact(F.array("p", "t"))).alias("signature"))
+    """``sample_id, signature``: the phoneme sequence always, the text if not empty; namespaced. Samples without tokens have none, not even of their text.
+
+    Only ids of ``seqs`` meet the texts, so the sequences are not shuffled; as both parts read ``seqs``, it should be :func:`cut`.
+    """
+    t = samples.groupBy("sample_id").agg(F.min("text").alias("text")).select("sample_id", F.nullif(text_signature(F.col("text")), F.lit("")).alias("text")).where("text is not null")
+    texts = t.join(seqs.select("sample_id"), "sample_id", "left_semi").select("sample_id", F.concat(F.lit("t:"), "text").alias("signature"))
+    return seqs.select("sample_id", F.concat(F.lit("p:"), F.array_join("phonemes", " ")).alias("signature")).unionByName(texts)
 
 
 def exact_edges(sigs: DataFrame) -> DataFrame:

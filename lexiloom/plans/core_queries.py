@@ -261,7 +261,7 @@ def encode_inventory(spark, d):
 
 def exact_groups(spark, d):
     """Signatures several samples have: size and first member."""
-    s = dedup.signatures(table(spark, d, "samples"), dedup.sequences(table(spark, d, "tokens")))
+    s = dedup.signatures(table(spark, d, "samples"), cut(dedup.sequences(table(spark, d, "tokens")), "sequences"))
     return s.groupBy("signature").agg(F.count("*").alias("n"), F.min("sample_id").alias("first")).where("n > 1").select(F.md5("signature").alias("signature"), "n", "first")
 
 
@@ -301,7 +301,7 @@ def split_report(spark, d):
 
 def split_leaks(spark, d):
     """Leaks of the split made here: none."""
-    s = dedup.signatures(table(spark, d, "samples"), dedup.sequences(table(spark, d, "tokens")))
+    s = dedup.signatures(table(spark, d, "samples"), cut(dedup.sequences(table(spark, d, "tokens")), "sequences"))
     return split.leaks(cut(split_assign(spark, d), "assigned"), s)
 
 
@@ -309,7 +309,7 @@ def current_leaks(spark, d):
     """Leaks of the current splits: duplicate groups and signatures in several of them."""
     m = table(spark, d, "split_members").where("sample_id is not null and split_name is not null")
     now = m.groupBy("sample_id").agg(F.max(F.struct("assigned_at", "split_name")).alias("m")).select("sample_id", F.col("m.split_name").alias("split"))
-    s = dedup.signatures(table(spark, d, "samples"), dedup.sequences(table(spark, d, "tokens")))
+    s = dedup.signatures(table(spark, d, "samples"), cut(dedup.sequences(table(spark, d, "tokens")), "sequences"))
     found = split.leaks(cut(duplicate_groups(spark, d).join(now, "sample_id"), "assigned"), s)
     return found.select("kind", F.md5("key").alias("key"), "splits")
 
@@ -318,7 +318,7 @@ def contamination(spark, d):
     """Signatures whose samples lie in several of the current splits."""
     m = table(spark, d, "split_members").where("sample_id is not null and split_name is not null")
     now = m.groupBy("sample_id").agg(F.max(F.struct("assigned_at", "split_name")).alias("m")).select("sample_id", F.col("m.split_name").alias("split"))
-    s = dedup.signatures(table(spark, d, "samples"), dedup.sequences(table(spark, d, "tokens")))
+    s = dedup.signatures(table(spark, d, "samples"), cut(dedup.sequences(table(spark, d, "tokens")), "sequences"))
     return s.join(now, "sample_id").groupBy("signature").agg(F.count_distinct("split").alias("splits"), F.count("*").alias("n")).where("splits > 1").select(F.md5("signature").alias("signature"), "splits", "n")
 
 

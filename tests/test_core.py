@@ -527,6 +527,21 @@ def test_pairs_beyond_the_threshold_are_not_written(spark, monkeypatch):
     assert dedup.prefix_pairs(df.limit(0), 0.8).count() == 0
 
 
+def test_signatures_do_not_shuffle_sequences(spark, rows):
+    """Signatures of texts and sequences are found without a join of the sequences, which would shuffle each of them; samples without tokens have none."""
+    from lexiloom.storage import cut
+
+    seqs = cut(spark.createDataFrame([("a", ["x", "y"]), ("b", []), ("c", ["x", "y"]), ("d", ["z"])], "sample_id string, phonemes array<string>"), "sequences")
+    samples = spark.createDataFrame([("a", " hi\n you"), ("a", "later"), ("b", None), ("c", "hi you"), ("d", "  "), ("none", "hi you")], "sample_id string, text string")
+    found = dedup.signatures(samples, seqs)
+    assert rows(found, "sample_id", "signature") == sorted([("a", "p:x y"), ("a", "t:hi you"), ("b", "p:"), ("c", "p:x y"), ("c", "t:hi you"), ("d", "p:z")], key=repr)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    joins = [k for k, x in enumerate(plan) if "Join" in x]
+    below = [x for k in joins for n, x in enumerate(plan) if n > k and all(depth(y) > depth(plan[k]) for y in plan[k + 1 : n + 1])]
+    assert joins and below and not any("phonemes" in x for x in below)
+
+
 def test_sketch_search_holds_one_copy_of_the_sets(spark):
     """After the sketch search the sets lie in the shared folder once, and those of skipped buckets were compared in parts, whose pairs are all counted."""
     import os
