@@ -324,7 +324,7 @@ def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 @tidy
 def duplicate_groups(samples: DataFrame, tokens: DataFrame, threshold: float = THRESHOLD, k: int = SKETCH, cap: int = BUCKET, exact: bool = True) -> dict[str, DataFrame]:
-    """Frames: ``groups(sample_id, root)`` of every sample with tokens, ``near(a, b, similarity)``, ``exact(a, b)``, ``candidates(a, b, n)``, ``skipped(hash, n)``.
+    """Frames: ``groups(sample_id, root)`` of every sample with tokens, ``near(a, b, similarity)``, ``exact(a, b)``, ``candidates(a, b, n)``, ``skipped(hash, n)``, ``sequences(sample_id, phonemes)``.
 
     Near search works on one sample per phoneme sequence; copies join its group through the exact edges. ``exact`` searches by
     prefixes, which finds every pair at or above the threshold and compares fewer (``candidates`` are those compared); else sketches are compared.
@@ -341,7 +341,7 @@ def duplicate_groups(samples: DataFrame, tokens: DataFrame, threshold: float = T
     near = cut(near, "near")
     roots = components(copies.unionByName(near.select("a", "b")))
     groups = seqs.select("sample_id").join(roots.withColumnRenamed("id", "sample_id"), "sample_id", "left").select("sample_id", F.coalesce("root", "sample_id").alias("root"))
-    return {"groups": groups, "near": near, "exact": copies, "candidates": candidates, "skipped": skipped}
+    return {"groups": groups, "near": near, "exact": copies, "candidates": candidates, "skipped": skipped, "sequences": seqs}
 
 
 def summary(found: dict[str, DataFrame]) -> DataFrame:

@@ -309,8 +309,9 @@ def current_leaks(spark, d):
     """Leaks of the current splits: duplicate groups and signatures in several of them."""
     m = table(spark, d, "split_members").where("sample_id is not null and split_name is not null")
     now = m.groupBy("sample_id").agg(F.max(F.struct("assigned_at", "split_name")).alias("m")).select("sample_id", F.col("m.split_name").alias("split"))
-    s = dedup.signatures(table(spark, d, "samples"), cut(dedup.sequences(table(spark, d, "tokens")), "sequences"))
-    found = split.leaks(cut(duplicate_groups(spark, d).join(now, "sample_id"), "assigned"), s)
+    same = _duplicates(spark, d)
+    s = dedup.signatures(table(spark, d, "samples"), same["sequences"])
+    found = split.leaks(cut(same["groups"].join(now, "sample_id"), "assigned"), s)
     return found.select("kind", F.md5("key").alias("key"), "splits")
 
 

@@ -542,6 +542,18 @@ def test_signatures_do_not_shuffle_sequences(spark, rows):
     assert joins and below and not any("phonemes" in x for x in below)
 
 
+def test_current_leaks_reads_tokens_once(spark, monkeypatch, tmp_path):
+    """Sequences are made once for the groups and the signatures; the leaks are those of both."""
+    from lexiloom.plans import core_queries
+
+    spark.createDataFrame([("a", "x"), ("b", "x"), ("c", "z")], "sample_id string, text string").write.parquet(f"{tmp_path}/samples.parquet")
+    spark.createDataFrame([(k, i, p) for k, w in (("a", "tuvw"), ("b", "tuvw"), ("c", "mnop")) for i, p in enumerate(w)], "sample_id string, token_index long, phoneme string").write.parquet(f"{tmp_path}/tokens.parquet")
+    spark.sql("select col1 sample_id, col2 split_name, timestamp'2025-01-01' assigned_at from values ('a', 'train'), ('b', 'test'), ('c', 'train')").write.parquet(f"{tmp_path}/split_members.parquet")
+    made, real = [], dedup.sequences
+    monkeypatch.setattr(dedup, "sequences", lambda t: made.append(1) or real(t))
+    assert sorted((r.kind, r.splits) for r in core_queries.current_leaks(spark, str(tmp_path)).collect()) == [("group", 2), ("signature", 2), ("signature", 2)] and len(made) == 1
+
+
 def test_sketch_search_holds_one_copy_of_the_sets(spark):
     """After the sketch search the sets lie in the shared folder once, and those of skipped buckets were compared in parts, whose pairs are all counted."""
     import os
